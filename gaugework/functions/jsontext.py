@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Numbers whose canonical text differs from the variant rendering: exponents,
 # more digits than a double keeps, and very small fractions.
 _UNUSUAL_NUMBER = r"[0-9][eE][+-]?[0-9]|[0-9.]{16}|\.0{6}"
-_STRING_LITERAL = r'"(?:[^"\\]|\\.)*"'
+# Possessive loops: the regex engine walks long strings without recursion.
+_STRING_LITERAL = r'"(?:[^"\\]++|\\.)*+"'
 
 
 def _col(c: Column | str) -> Column:

@@ -50,8 +50,8 @@ _NOT_FUNCTIONS = (
 )
 
 _QUOTES = (
-    r"('(?:[^'\\]|\\[\s\S]|'')*'|\$((?:[A-Za-z_][A-Za-z0-9_]*)?)\$[\s\S]*?\$\2\$)"
-    r'|("(?:[^"]|"")*")'
+    r"('(?:[^'\\]++|\\[\s\S]|'')*+'|\$((?:[A-Za-z_][A-Za-z0-9_]*)?)\$[\s\S]*?\$\2\$)"
+    r'|("(?:[^"]++|"")*+")'
 )
 _NAME = r"[a-z_][a-z0-9_$]*"
 
@@ -69,7 +69,7 @@ def _clean(sql: Column) -> Column:
     """
     bare = _without_literals(sql)
     plain = F.regexp_replace(bare, r'"([a-z_][a-z0-9_$]*)"', "$1")
-    marked = F.regexp_replace(plain, r'"(?:[^"]|"")*"', "_quoted_name_")
+    marked = F.regexp_replace(plain, r'"(?:[^"]++|"")*+"', "_quoted_name_")
     uncommented = F.regexp_replace(marked, r"--[^\n]*|/\*[\s\S]*?\*/", " ")
     return F.lower(uncommented)
 
@@ -121,7 +121,7 @@ def policy_reason(
     def checks(bare: Column, clean: Column) -> Column:
         statements = F.filter(F.split(clean, ";"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
         first = F.regexp_extract(clean, rf"^[\s(]*({_NAME})", 1)
-        outside_names = F.regexp_replace(bare, r'"(?:[^"]|"")*"', " ")
+        outside_names = F.regexp_replace(bare, r'"(?:[^"]++|"")*+"', " ")
         names = table_names(clean)
         own = cte_names(clean)
         foreign = F.filter(names, lambda n: n.contains(".") | ~F.array_contains(own, n))

@@ -224,4 +224,7 @@ def sql(body: str) -> str:
     if not needed:
         return body.strip()
     parts = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in needed)
-    return f"WITH {parts}\n{body.strip()}"
+    own = body.strip()
+    if own.upper().startswith("WITH "):
+        return f"WITH {parts},\n{own[5:]}"
+    return f"WITH {parts}\n{own}"
