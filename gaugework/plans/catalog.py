@@ -1,6 +1,9 @@
 """All registered queries (importing the query modules fills the registry)."""
 
-from gaugework.plans import evidence_queries  # noqa: F401
+from gaugework.plans import (  # noqa: F401
+    evidence_queries,
+    sql_queries,
+)
 from gaugework.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

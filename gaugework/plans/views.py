@@ -302,7 +302,7 @@ class Views:
             F.col("_shape").alias("shape"),
             F.replace(F.element_at(texts, F.col("_shape") + 1), F.lit("{k}"), key.cast("string")).alias("sql"),
             (key % 29 != 3).alias("parse_valid"),
-            ~((key % 19 == 0) & (idx == key % 2)).alias("succeeded"),
+            ((key % 19 != 0) | (idx != key % 2)).alias("succeeded"),
             F.when(cust % 17 == 0, F.reverse(columns)).otherwise(columns).alias("columns"),
         )
 
