@@ -2,6 +2,7 @@
 
 from gaugework.plans import (  # noqa: F401
     evidence_queries,
+    history_queries,
     source_queries,
     sql_queries,
 )

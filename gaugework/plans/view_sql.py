@@ -198,10 +198,10 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
     "v_submissions": """
         SELECT event_id AS submission_id, event_type AS kind, 'key-' || user_id || '-' || (k % 20) AS key,
-               'digest-' || (k % 40) AS digest, ts AS at
+               'digest-' || (k % 40) AS digest, ts AS at_time
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
     "v_transitions": """
-        SELECT 'job-' || user_id AS job_id, event_id AS seq, ts AS at,
+        SELECT 'job-' || user_id AS job_id, event_id AS seq, ts AS at_time,
                CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancel_requested'
                     WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS status,
                CASE WHEN event_type = 'error' AND k % 7 <> 0 THEN 'target_timeout' END AS error_code,

@@ -53,10 +53,12 @@ def _line_code(line: Column, parsed: Column) -> Column:
 def parse_case_lines(lines: DataFrame) -> DataFrame:
     """Lines with case columns and ``code`` (NULL for an acceptable case).
 
-    One pass, no shuffle; duplicates are found in ``split_cases``.
+    One pass, no shuffle; duplicates are found in ``split_cases``.  The parsed
+    document and the finished columns each come out of a one-row generator, so that
+    a later filter on ``code`` is not pushed below it and never parses again.
     """
     present = lines.filter(F.trim("line") != "")
-    parsed = present.withColumn("_doc", parse_strict("line"))
+    parsed = present.select("*", F.explode(F.array(parse_strict("line"))).alias("_doc"))
     doc = F.col("_doc")
 
     def raw(name: str) -> Column:
@@ -72,20 +74,28 @@ def parse_case_lines(lines: DataFrame) -> DataFrame:
     refusal = raw("expected_refusal")
     columns = parsed.select(
         *present.columns,
-        _line_code(F.col("line"), doc).alias("_json_code"),
-        fields.isNotNull().alias("_object"),
-        F.size(F.array_except(fields, F.array(*[F.lit(f) for f in FIELDS]))).alias("_unknown"),
-        raw("schema_version").alias("_version"),
-        F.when(raw("case_id").startswith('"'), F.try_variant_get(doc, "$.case_id", "string")).alias("case_id"),
-        raw("input").alias("input"),
-        given("expected").alias("expected"),
-        F.coalesce(refusal == "true", F.lit(False)).alias("expected_refusal"),
-        refusal.alias("_refusal"),
-        given("expected_schema").alias("expected_schema"),
-        tolerance.alias("numeric_tolerance"),
-        given("numeric_tolerance").alias("_tolerance"),
-        F.coalesce(slices, F.array().cast("array<string>")).alias("slices"),
-        raw("slices").alias("_slices"),
+        F.inline(
+            F.array(
+                F.struct(
+                    _line_code(F.col("line"), doc).alias("_json_code"),
+                    fields.isNotNull().alias("_object"),
+                    F.size(F.array_except(fields, F.array(*[F.lit(f) for f in FIELDS]))).alias("_unknown"),
+                    raw("schema_version").alias("_version"),
+                    F.when(
+                        raw("case_id").startswith('"'), F.try_variant_get(doc, "$.case_id", "string")
+                    ).alias("case_id"),
+                    raw("input").alias("input"),
+                    given("expected").alias("expected"),
+                    F.coalesce(refusal == "true", F.lit(False)).alias("expected_refusal"),
+                    refusal.alias("_refusal"),
+                    given("expected_schema").alias("expected_schema"),
+                    tolerance.alias("numeric_tolerance"),
+                    given("numeric_tolerance").alias("_tolerance"),
+                    F.coalesce(slices, F.array().cast("array<string>")).alias("slices"),
+                    raw("slices").alias("_slices"),
+                )
+            )
+        ),
     )
     bad = (
         (F.col("_unknown") > 0)
@@ -93,7 +103,10 @@ def parse_case_lines(lines: DataFrame) -> DataFrame:
         | F.col("case_id").isNull()
         | F.col("input").isNull()
         | ~F.coalesce(F.col("_refusal").isin("true", "false"), F.lit(True))
-        | (F.col("_tolerance").isNotNull() & (F.col("numeric_tolerance").isNull() | ~F.col("_tolerance").rlike("^[-0-9]")))
+        | (
+            F.col("_tolerance").isNotNull()
+            & (F.col("numeric_tolerance").isNull() | ~F.col("_tolerance").rlike("^[-0-9]"))
+        )
         | ~F.coalesce(F.col("_slices").rlike(r'^\[("|\])'), F.lit(True))
         | (F.size(case_codes()) > 0)
     )
@@ -102,36 +115,48 @@ def parse_case_lines(lines: DataFrame) -> DataFrame:
         .when(~F.col("_object"), "case_not_object")
         .when(F.coalesce(bad, F.lit(True)), "invalid_case")
     )
-    kept = [c for c in columns.columns if not c.startswith("_")]
-    return columns.withColumn("code", code).select(*kept, "code").withColumn(
-        "slices", F.array_sort("slices")
-    )
+    kept = [c for c in columns.columns if not c.startswith("_") and c != "slices"]
+    return columns.select(*kept, F.array_sort("slices").alias("slices"), code.alias("code"))
+
+
+CASE_COLUMNS = (
+    "case_id", "input", "expected", "expected_refusal", "expected_schema", "numeric_tolerance", "slices",
+)
 
 
 def split_cases(
     lines: DataFrame, name: str, revision: int
 ) -> tuple[DataFrame, DataFrame]:
-    """(cases, rejects).  The first of several equal case ids is kept."""
+    """(cases, rejects).  The first of several equal case ids is kept.
+
+    Cases are one scan and one combinable aggregate; the rejects carry positions
+    and codes only, so they shuffle no content.
+    """
     parsed = parse_case_lines(lines)
-    marked = first_occurrence(
-        parsed.filter(F.col("code").isNull()), ["case_id"], ["file", "position"]
+    place = F.struct("file", "position")
+    first = parsed.filter(F.col("code").isNull()).groupBy("case_id").agg(
+        F.min_by(F.struct(*CASE_COLUMNS[1:]), place).alias("_case")
     )
-    cases = marked.filter("is_first").select(
+    cases = first.select(
         F.lit(name).alias("dataset_name"),
         F.lit(revision).alias("dataset_revision"),
-        "case_id", "input", "expected", "expected_refusal", "expected_schema",
-        "numeric_tolerance", "slices",
+        "case_id",
+        "_case.*",
     )
-    broken = parsed.filter(F.col("code").isNotNull()).select("file", "position", "code")
-    copies = marked.filter(~F.col("is_first")).select(
-        "file", "position", F.lit("duplicate_case_id").alias("code")
+    slim = parsed.select("file", "position", "case_id", "code")
+    marked = first_occurrence(
+        slim.withColumn("case_id", F.when(F.col("code").isNull(), F.col("case_id"))),
+        ["case_id"],
+        ["file", "position"],
     )
-    empty = parsed.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(
+    code = F.coalesce("code", F.when(~F.col("is_first"), F.lit("duplicate_case_id")))
+    rejects = marked.select("file", "position", code.alias("code")).filter(F.col("code").isNotNull())
+    empty = lines.filter(F.trim("line") != "").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(
         F.lit(None).cast("string").alias("file"),
-        F.lit(None).cast(dict(parsed.dtypes)["position"]).alias("position"),
+        F.lit(None).cast(dict(slim.dtypes)["position"]).alias("position"),
         F.lit("empty_dataset").alias("code"),
     )
-    return cases, broken.unionByName(copies).unionByName(empty)
+    return cases, rejects.unionByName(empty)
 
 
 def read_cases(
