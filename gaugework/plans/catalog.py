@@ -5,6 +5,7 @@ from gaugework.plans import (  # noqa: F401
     history_queries,
     source_queries,
     sql_queries,
+    stream_queries,
 )
 from gaugework.plans.registry import ORACLES, QUERIES
 

@@ -101,33 +101,7 @@ class Views:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """Two recorded runs: a length heuristic with two cut-offs."""
-        doc = F.col("doc_id")
-        run = F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("run_id"), F.lit(k).alias("k"), F.lit(c).alias("cut"))
-                    for n, k, c in (("baseline", 1, 400), ("candidate", 2, 350))
-                ]
-            )
-        )
-        rows = self.table("documents").select(
-            "doc_id", "lang", "n_chars", estimated_units("text").alias("input_units"), run.alias("r")
-        ).select("*", "r.*")
-        failed = (F.col("run_id") == "candidate") & (F.col("lang") == "es") & ((doc * 17) % 101 < 8)
-        refused = (doc * 31 + F.col("k")) % 97 < 5
-        return rows.select(
-            "run_id",
-            F.concat(F.lit("doc-"), doc).alias("case_id"),
-            F.when(~failed, F.when(F.col("n_chars") >= F.col("cut"), "1").otherwise("0")).alias("output"),
-            F.when(~failed, F.when(refused, "refused").otherwise("completed")).alias("outcome"),
-            F.when(~failed & refused, "policy_block").alias("refusal_code"),
-            F.when(~failed, F.col("input_units")).alias("input_units"),
-            F.when(~failed, F.lit(1)).cast("bigint").alias("output_units"),
-            (5 + (doc * 13 + F.col("k")) % 50).cast("double").alias("latency_ms"),
-            F.when(failed, "target_timeout").alias("failure_code"),
-            failed.alias("retryable"),
-        )
+        return responses(self.table("documents"))
 
     @cached_property
     def attached(self) -> DataFrame:
@@ -330,6 +304,36 @@ class Views:
         return transitions(self.table("events"))
 
 
+def responses(documents: DataFrame) -> DataFrame:
+    """Two recorded runs: a length heuristic with two cut-offs (works on streams too)."""
+    doc = F.col("doc_id")
+    run = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(n).alias("run_id"), F.lit(k).alias("k"), F.lit(c).alias("cut"))
+                for n, k, c in (("baseline", 1, 400), ("candidate", 2, 350))
+            ]
+        )
+    )
+    rows = documents.select(
+        "doc_id", "lang", "n_chars", estimated_units("text").alias("input_units"), run.alias("r")
+    ).select("*", "r.*")
+    failed = (F.col("run_id") == "candidate") & (F.col("lang") == "es") & ((doc * 17) % 101 < 8)
+    refused = (doc * 31 + F.col("k")) % 97 < 5
+    return rows.select(
+        "run_id",
+        F.concat(F.lit("doc-"), doc).alias("case_id"),
+        F.when(~failed, F.when(F.col("n_chars") >= F.col("cut"), "1").otherwise("0")).alias("output"),
+        F.when(~failed, F.when(refused, "refused").otherwise("completed")).alias("outcome"),
+        F.when(~failed & refused, "policy_block").alias("refusal_code"),
+        F.when(~failed, F.col("input_units")).alias("input_units"),
+        F.when(~failed, F.lit(1)).cast("bigint").alias("output_units"),
+        (5 + (doc * 13 + F.col("k")) % 50).cast("double").alias("latency_ms"),
+        F.when(failed, "target_timeout").alias("failure_code"),
+        failed.alias("retryable"),
+    )
+
+
 def log_events(events: DataFrame) -> DataFrame:
     """Events as request log lines (works on streams too)."""
     user = F.col("user_id")

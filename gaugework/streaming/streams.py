@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import (
+    DataStreamWriter,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+)
 
 from gaugework.operators.oplog import DURATION_BUCKETS, LEGAL_TRANSITIONS
 from gaugework.functions import bounded_duration, status_class
@@ -108,7 +111,11 @@ def lifecycle_stream(transitions: DataFrame) -> DataFrame:
 
 
 class _LeaseWatch(StatefulProcessor):
-    """One event-time timer per lease holder, moved by every heartbeat."""
+    """One event-time timer per lease holder, moved by every heartbeat.
+
+    A gap inside one batch is found by comparing neighbours, a gap at the end by the
+    timer, so the result does not depend on how heartbeats fall into batches.
+    """
 
     def __init__(self, lease_ms: int) -> None:
         self._lease_ms = lease_ms
@@ -118,21 +125,23 @@ class _LeaseWatch(StatefulProcessor):
         self._deadline = handle.getValueState("deadline", "ms BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        latest = max(int(pd.Timestamp(r["ts"]).tz_localize("UTC").value // 1_000_000) for r in rows)
-        deadline = latest + self._lease_ms
-        if self._deadline.exists():
-            known = self._deadline.get()[0]
-            if known >= deadline:
-                return
-            self._handle.deleteTimer(known)
-        self._deadline.update((deadline,))
-        self._handle.registerTimer(deadline)
-        yield from ()
+        known = self._deadline.get()[0] if self._deadline.exists() else None
+        deadline = known
+        for ms in sorted(r["ms"] for r in rows):
+            if deadline is not None and ms > deadline:
+                yield Row(holder=key[0], deadline_ms=deadline, event="lease_expired")
+            deadline = max(ms + self._lease_ms, deadline or 0)
+        if deadline != known:
+            if known is not None:
+                self._handle.deleteTimer(known)
+            self._deadline.update((deadline,))
+            self._handle.registerTimer(deadline)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        deadline = expiredTimerInfo.getExpiryTimeInMs()
         self._deadline.clear()
-        yield Row(holder=key[0], deadline_ms=deadline, event="lease_expired")
+        yield Row(
+            holder=key[0], deadline_ms=expiredTimerInfo.getExpiryTimeInMs(), event="lease_expired"
+        )
 
     def close(self) -> None:
         pass
@@ -145,7 +154,8 @@ def lease_watch_stream(heartbeats: DataFrame, lease_seconds: int, delay: str) ->
     """
     use_rocksdb(heartbeats.sparkSession)
     return (
-        heartbeats.withWatermark("ts", delay)
+        heartbeats.withColumn("ms", F.unix_millis("ts"))
+        .withWatermark("ts", delay)
         .groupBy("holder")
         .transformWithState(
             statefulProcessor=_LeaseWatch(lease_seconds * 1_000),
@@ -166,8 +176,8 @@ def gates_stream(
     gates: DataFrame,
     path: str,
     checkpoint: str,
-):
-    """Start a query that refreshes gate results with every micro-batch.
+) -> DataStreamWriter:
+    """A writer that refreshes gate results with every micro-batch.
 
     The stream keeps per (run, metric, slice) totals as state; each batch writes the
     gates of the totals so far as ``path/batch=<id>``, so a retried batch replaces
