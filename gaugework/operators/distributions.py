@@ -12,6 +12,7 @@ from gaugework.functions import decimal_sum
 from gaugework.operators.ordered import (
     HOT_ROWS,
     join_ranges,
+    needs_ranges,
     range_offsets,
     split_hot_groups,
 )
@@ -27,14 +28,15 @@ def quantile_summary(
     suppress_below: int | None = None,
     approx: bool = False,
     counts: Mapping[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """sample_count, minimum, p50, p95, maximum, mean per group.
 
     Exact form: equal values collapse into one counted row (combined before the
     shuffle), groups with very many distinct values are cut into value ranges, and
     the value at rank ceil(p * n) is read off running counts.  No group is ever
-    held in memory.  ``approx=True`` uses the mergeable sketch instead.
+    held in memory.  A small input uses the built-in nearest-rank aggregate, and
+    ``approx=True`` the mergeable sketch.
     ``counts`` adds conditional row counts computed in the same pass.
     """
     measured = (F.col(value) if isinstance(value, str) else value).cast("double")
@@ -44,14 +46,20 @@ def quantile_summary(
         for name, c in extra.items()
     ]
     rows = df.withColumn("_value", measured)
-    if approx:
-        points = F.percentile_approx("_value", [0.5, 0.95], 10_000)
+    plain = not approx and not needs_ranges(df, hot_rows)
+    if approx or plain:
+        if approx:
+            points = F.percentile_approx("_value", [0.5, 0.95], 10_000)
+            ranks = [F.element_at(points, i) for i in (1, 2)]
+        else:
+            within = "within group (order by _value)"
+            ranks = [F.expr(f"percentile_disc({p}) {within}") for p in (0.5, 0.95)]
         summary = rows.groupBy(*keys).agg(
             *partial,
             F.count("_value").alias("sample_count"),
             F.min("_value").alias("minimum"),
-            F.element_at(points, 1).alias("p50"),
-            F.element_at(points, 2).alias("p95"),
+            ranks[0].alias("p50"),
+            ranks[1].alias("p95"),
             F.max("_value").alias("maximum"),
             decimal_sum("_value").alias("_exact"),
             F.sum(F.when(F.abs("_value") >= 1e14, F.col("_value"))).alias("_huge"),

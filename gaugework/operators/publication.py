@@ -33,38 +33,65 @@ DENIED_KEYS = (
     "tax_id",
 )
 
-# Unsafe text patterns, tried in this order.  Word borders are
+# Unsafe text patterns, tried in this order, each with texts of which
+# one must occur (in lower case) for the pattern to match at all.  Word borders are
 # written out because a border is an ASCII notion here.
 _LEFT, _RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _ATEXT = r"a-z0-9.!#$%&'*+/=?^_`{|}~-"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 UNSAFE_PATTERNS = (
-    ("email address", rf"(?i)(?:^|[^{_ATEXT}])[{_ATEXT}]+@{_LABEL}(?:\.{_LABEL})+(?:$|[^a-z0-9-])"),
-    ("URL", rf"(?i)(?:{_LEFT}(?:https?|ftp)://|{_LEFT}www\.)\S+"),
-    ("URL", rf"(?i){_LEFT}(?:javascript|data|file|mailto):\S+"),
-    ("credential", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("credential", rf"{_LEFT}(?:AKIA|ASIA)[A-Z0-9]{{16}}{_RIGHT}"),
-    ("credential", rf"{_LEFT}(?:github_pat_|gh[pousr]_)[A-Za-z0-9_]{{20,}}{_RIGHT}"),
-    ("credential", rf"{_LEFT}xox[baprs]-[A-Za-z0-9-]{{9,}}[A-Za-z0-9]{_RIGHT}"),
-    ("credential", rf"{_LEFT}AIza[A-Za-z0-9_-]{{19,}}[A-Za-z0-9_]{_RIGHT}"),
-    ("credential", rf"{_LEFT}(?:sk|rk|pk)[_-](?:live[_-])?[A-Za-z0-9_-]{{15,}}[A-Za-z0-9_]{_RIGHT}"),
+    ("email address", ("@",), rf"(?i)(?:^|[^{_ATEXT}])[{_ATEXT}]+@{_LABEL}(?:\.{_LABEL})+(?:$|[^a-z0-9-])"),
+    ("URL", ("://", "www."), rf"(?i)(?:{_LEFT}(?:https?|ftp)://|{_LEFT}www\.)\S+"),
+    (
+        "URL",
+        ("javascript:", "data:", "file:", "mailto:"),
+        rf"(?i){_LEFT}(?:javascript|data|file|mailto):\S+",
+    ),
+    ("credential", ("private key-----",), r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("credential", ("akia", "asia"), rf"{_LEFT}(?:AKIA|ASIA)[A-Z0-9]{{16}}{_RIGHT}"),
     (
         "credential",
+        ("github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
+        rf"{_LEFT}(?:github_pat_|gh[pousr]_)[A-Za-z0-9_]{{20,}}{_RIGHT}",
+    ),
+    ("credential", ("xox",), rf"{_LEFT}xox[baprs]-[A-Za-z0-9-]{{9,}}[A-Za-z0-9]{_RIGHT}"),
+    ("credential", ("aiza",), rf"{_LEFT}AIza[A-Za-z0-9_-]{{19,}}[A-Za-z0-9_]{_RIGHT}"),
+    (
+        "credential",
+        ("sk_", "sk-", "rk_", "rk-", "pk_", "pk-"),
+        rf"{_LEFT}(?:sk|rk|pk)[_-](?:live[_-])?[A-Za-z0-9_-]{{15,}}[A-Za-z0-9_]{_RIGHT}",
+    ),
+    (
+        "credential",
+        ("eyj",),
         rf"{_LEFT}eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{7,}}[A-Za-z0-9_]{_RIGHT}",
     ),
-    ("credential", rf"(?i){_LEFT}(?:basic|bearer)\s+[A-Za-z0-9+/_=.-]{{7,}}[A-Za-z0-9_]{_RIGHT}"),
     (
         "credential",
+        ("basic", "bearer"),
+        rf"(?i){_LEFT}(?:basic|bearer)\s+[A-Za-z0-9+/_=.-]{{7,}}[A-Za-z0-9_]{_RIGHT}",
+    ),
+    (
+        "credential",
+        ("api", "access", "client", "password", "passwd", "credential"),
         rf"(?i){_LEFT}(?:api[ _-]?key|access[ _-]?token|client[ _-]?secret|password|passwd|credential)\s*[:=]\s*\S+",
     ),
 )
 
 
 def unsafe_kind(text: Column) -> Column:
-    """The first unsafe kind found in a text, or NULL."""
+    """The first unsafe kind found in a text, or NULL.
+
+    Cheap substring tests on the lower-cased text keep most texts away from the
+    regular expressions.
+    """
+    lower = F.lower(text)
     kind = None
-    for name, pattern in UNSAFE_PATTERNS:
-        hit = text.rlike(pattern)
+    for name, needed, pattern in UNSAFE_PATTERNS:
+        likely = lower.contains(needed[0])
+        for word in needed[1:]:
+            likely = likely | lower.contains(word)
+        hit = likely & text.rlike(pattern)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
     return kind
 

@@ -108,64 +108,78 @@ def _words(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def policy_reason(
-    sql: Column,
-    parse_valid: Column | None = None,
+def sql_text_audit(
+    executions: DataFrame,
     tables: Sequence[str] = ALLOWED_TABLES,
     functions: Sequence[str] = ALLOWED_FUNCTIONS,
     denied: Sequence[str] = PROHIBITED_FUNCTIONS,
     max_bytes: int = MAX_SQL_BYTES,
-) -> Column:
-    """``allowed`` or the first failing reason in the policy's fixed order."""
-    # One-element arrays name an intermediate value, so it is written once.
-    def checks(bare: Column, clean: Column) -> Column:
-        statements = F.filter(F.split(clean, ";"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
-        first = F.regexp_extract(clean, rf"^[\s(]*({_NAME})", 1)
-        outside_names = F.regexp_replace(bare, r'"(?:[^"]++|"")*+"', " ")
-        names = table_names(clean)
-        own = cte_names(clean)
-        foreign = F.filter(names, lambda n: n.contains(".") | ~F.array_contains(own, n))
-        schemas = F.transform(foreign, lambda n: F.split(n, r"\."))
-        system = F.exists(
-            schemas,
-            lambda p: (F.size(p) > 1) & F.arrays_overlap(F.slice(p, F.lit(1), F.size(p) - 1), _words(SYSTEM_SCHEMAS)),
-        )
-        unknown = F.exists(
-            schemas,
-            lambda p: (F.size(p) > 2)
-            | ((F.size(p) == 2) & ~F.element_at(p, 1).isin(*ALLOWED_SCHEMAS))
-            | ~F.element_at(p, -1).isin(*tables),
-        )
-        called = F.array_except(function_names(clean), own)
-        refused = F.exists(
-            called, lambda f: f.isin(*denied) | ~f.isin(*functions)
-        )
-        words = _matches(clean, rf"\b({_NAME})\b")
-        operation = F.arrays_overlap(words, _words(PROHIBITED_WORDS)) | clean.rlike(LOCKING)
-        reason = F.when(F.octet_length(sql) > max_bytes, "sql_too_large")
-        if parse_valid is not None:
-            reason = reason.when(~F.coalesce(parse_valid, F.lit(True)), "invalid_sql")
-        return (
-            reason.when(F.size(statements) == 0, "invalid_sql")
-            .when(F.size(statements) > 1, "multiple_statements")
-            .when(outside_names.rlike(r"--|/\*"), "comments_not_allowed")
-            .when(~first.isin("select", "with"), "non_query_statement")
-            .when(operation, "prohibited_operation")
-            .when(system, "system_schema")
-            .when(unknown, "table_not_allowed")
-            .when(refused, "prohibited_function")
-            .otherwise("allowed")
-        )
-
-    staged = F.transform(F.array(F.struct(_without_literals(sql).alias("b"), _clean(sql).alias("c"))), lambda s: checks(s["b"], s["c"]))
-    return F.element_at(staged, 1)
-
-
-def sql_text_audit(executions: DataFrame, **policy) -> DataFrame:
-    """Add ``allowed``, ``reason_code`` and ``parse_valid`` to each execution."""
-    flag = F.col("parse_valid") if "parse_valid" in executions.columns else None
-    audited = executions.withColumn("reason_code", policy_reason(F.col("sql"), flag, **policy))
-    valid = ~F.col("reason_code").isin("sql_too_large", "invalid_sql")
-    return audited.withColumn("allowed", F.col("reason_code") == "allowed").withColumn(
-        "parse_valid", valid
+) -> DataFrame:
+    """Add ``allowed``, ``reason_code`` and ``parse_valid`` to each execution.
+
+    The reason is ``allowed`` or the first failing rule in the policy's fixed order.
+    Each stage leaves through a one-row generator, so no text is scanned twice.
+    """
+    own_columns = [c for c in executions.columns if c not in ("allowed", "reason_code", "parse_valid")]
+    recorded = F.col("parse_valid") if "parse_valid" in executions.columns else F.lit(True)
+    sql = F.col("sql")
+    texts = executions.select(
+        *own_columns,
+        F.coalesce(recorded, F.lit(True)).alias("_recorded"),
+        F.inline(F.array(F.struct(_without_literals(sql).alias("_bare"), _clean(sql).alias("_clean")))),
+    )
+    clean = F.col("_clean")
+    own = cte_names(clean)
+    facts = texts.select(
+        *own_columns,
+        "_recorded",
+        F.inline(
+            F.array(
+                F.struct(
+                    F.size(F.filter(F.split(clean, ";"), lambda s: s.rlike(r"\S"))).alias("_statements"),
+                    F.regexp_extract(clean, rf"^[\s(]*({_NAME})", 1).alias("_first"),
+                    F.regexp_replace(F.col("_bare"), r'"(?:[^"]++|"")*+"', " ").rlike(r"--|/\*").alias("_comment"),
+                    (
+                        F.arrays_overlap(_matches(clean, rf"\b({_NAME})\b"), _words(PROHIBITED_WORDS))
+                        | clean.rlike(LOCKING)
+                    ).alias("_operation"),
+                    own.alias("_own"),
+                    F.transform(table_names(clean), lambda n: F.split(n, r"\.")).alias("_tables"),
+                    function_names(clean).alias("_called"),
+                )
+            )
+        ),
+    )
+    foreign = F.filter("_tables", lambda p: (F.size(p) > 1) | ~F.array_contains("_own", F.element_at(p, 1)))
+    system = F.exists(
+        foreign,
+        lambda p: (F.size(p) > 1)
+        & F.arrays_overlap(F.slice(p, F.lit(1), F.size(p) - 1), _words(SYSTEM_SCHEMAS)),
+    )
+    unknown = F.exists(
+        foreign,
+        lambda p: (F.size(p) > 2)
+        | ((F.size(p) == 2) & ~F.element_at(p, 1).isin(*ALLOWED_SCHEMAS))
+        | ~F.element_at(p, -1).isin(*tables),
+    )
+    refused = F.exists(
+        F.array_except("_called", "_own"), lambda f: f.isin(*denied) | ~f.isin(*functions)
+    )
+    reason = (
+        F.when(F.octet_length("sql") > max_bytes, "sql_too_large")
+        .when(~F.col("_recorded") | (F.col("_statements") == 0), "invalid_sql")
+        .when(F.col("_statements") > 1, "multiple_statements")
+        .when(F.col("_comment"), "comments_not_allowed")
+        .when(~F.col("_first").isin("select", "with"), "non_query_statement")
+        .when(F.col("_operation"), "prohibited_operation")
+        .when(system, "system_schema")
+        .when(unknown, "table_not_allowed")
+        .when(refused, "prohibited_function")
+        .otherwise("allowed")
+    )
+    judged = facts.select(*own_columns, F.explode(F.array(reason)).alias("reason_code"))
+    return judged.select(
+        "*",
+        (F.col("reason_code") == "allowed").alias("allowed"),
+        (~F.col("reason_code").isin("sql_too_large", "invalid_sql")).alias("parse_valid"),
     )

@@ -460,7 +460,7 @@ def _(v):
         listed = F.to_json(F.array(c))
         return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
-    docs = v.table("documents").select("doc_id", "text")
+    docs = v.spread("documents", "doc_id", "text")
     loud = F.concat(F.lit("  "), F.replace(F.replace(F.upper("text"), F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit("\t")))
     outputs = docs.select(
         (doc - doc % 2).alias("even"), doc.alias("case_doc"),

@@ -11,7 +11,7 @@ from gaugework.plans.evidence_queries import comparison, gate_cases, results
 from gaugework.plans.registry import query
 from gaugework.plans.views import Views
 from gaugework.schemas import POLICY, RECORDED_RESPONSE
-from gaugework.session import scratch_path
+from gaugework.session import scratch_path, spread_small
 from gaugework.sources import cases as case_source
 from gaugework.sources import evidence, policies
 from gaugework.sources import responses as response_source
@@ -43,7 +43,8 @@ def raw_lines(v: Views) -> DataFrame:
         .when(kind == 18, F.lit("   "))
         .otherwise(good)
     )
-    return v.table("documents").select(F.lit("documents").alias("file"), doc.alias("position"), line.alias("line"))
+    docs = v.spread("documents", "doc_id", "text", "lang", "source", "n_chars")
+    return docs.select(F.lit("documents").alias("file"), doc.alias("position"), line.alias("line"))
 
 
 @query(
@@ -80,7 +81,7 @@ def _(v):
     FROM v_cases""",
 )
 def _(v):
-    return case_source.case_lines(v.cases)
+    return case_source.case_lines(spread_small(v.cases))
 
 
 @query("case_round_trip", "SELECT count(*) AS cases, true AS same_content, CAST(0 AS BIGINT) AS rejects FROM documents")
@@ -321,7 +322,8 @@ def _row(*columns: str) -> str:
 
 @query("table_fingerprint", _lanes("", _row("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "lineitem"))
 def _(v):
-    return fingerprint.table_fingerprint(v.table("lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"]
+    return fingerprint.table_fingerprint(v.spread("lineitem", *columns))
 
 
 @query(
@@ -452,7 +454,7 @@ def _kind(text: str) -> str:
     SELECT * FROM (SELECT CAST(doc_id AS VARCHAR) AS row_id, 'text' AS path, {_kind('text')} AS kind FROM documents) WHERE kind IS NOT NULL""",
 )
 def _(v):
-    return publication.publication_audit(v.table("documents"), "doc_id", ["text"])
+    return publication.publication_audit(v.spread("documents", "doc_id", "text"), "doc_id", ["text"])
 
 
 @query(

@@ -147,20 +147,16 @@ VIEWS: dict[str, str] = {
                CASE l_returnflag WHEN 'A' THEN 'succeeded' WHEN 'N' THEN 'running' ELSE 'failed' END AS status,
                l_shipdate AS started_at, l_shipdate + to_hours(CAST(l_quantity AS INTEGER)) AS lease_expires_at
         FROM lineitem""",
-    "v_numbered": """
-        SELECT l_orderkey, l_partkey, l_quantity, l_returnflag,
-               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS row_idx
-        FROM lineitem""",
     "v_result_rows": """
-        SELECT 'sql-' || l_orderkey AS case_id, 'expected' AS side, row_idx,
+        SELECT 'sql-' || l_orderkey AS case_id, 'expected' AS side, l_linenumber AS row_idx,
                '[' || l_partkey || ',' || CAST(l_quantity AS INTEGER) || ',"' || l_returnflag || '"]' AS row_key
-        FROM v_numbered
+        FROM lineitem
         UNION ALL
         SELECT 'sql-' || l_orderkey, 'actual',
-               CASE WHEN l_orderkey % 5 = 1 AND row_idx <= 2 THEN 3 - row_idx ELSE row_idx END,
-               '[' || (l_partkey + CASE WHEN l_orderkey % 5 = 2 AND row_idx = 1 THEN 1 ELSE 0 END) || ','
+               CASE WHEN l_orderkey % 5 = 1 AND l_linenumber <= 2 THEN 3 - l_linenumber ELSE l_linenumber END,
+               '[' || (l_partkey + CASE WHEN l_orderkey % 5 = 2 AND l_linenumber = 1 THEN 1 ELSE 0 END) || ','
                    || CAST(l_quantity AS INTEGER) || ',"' || l_returnflag || '"]'
-        FROM v_numbered WHERE NOT (l_orderkey % 5 = 0 AND row_idx = 1)""",
+        FROM lineitem WHERE NOT (l_orderkey % 5 = 0 AND l_linenumber = 1)""",
     "v_sql_expectations": """
         SELECT 'sql-' || o_orderkey AS case_id, o_orderkey, o_custkey,
                CASE WHEN o_orderkey % 10 < 7 THEN 'query' WHEN o_orderkey % 10 < 9 THEN 'clarification' ELSE 'refusal' END AS behavior,

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import estimated_units
 from gaugework.operators.joins import attach_responses
-from gaugework.operators.ordered import ranked
 from gaugework.operators.scoring import score
 from gaugework.operators.sqlscore import row_key
+from gaugework.session import spread_small
 
 FLAGSHIP = ("exact_match", "refusal", "latency")
 GATE_ROWS = """
@@ -51,6 +51,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table for row-heavy work (see ``spread_small``)."""
+        return spread_small(self.table(name).select(*columns))
+
     def values(self, rows: str, names: str) -> DataFrame:
         return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
 
@@ -185,32 +189,21 @@ class Views:
         )
 
     # --- text-to-SQL evidence ------------------------------------------------
-    @cached_property
-    def numbered_lines(self) -> DataFrame:
-        rows = self.table("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"
-        )
-        order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")]
-        return ranked(rows, ["l_orderkey"], F.col("l_linenumber"), order, "row_idx")
-
     @cached_property
     def result_rows(self) -> DataFrame:
         """Expected and actual rows per order; some answers drop, swap or change rows."""
-        kind, idx = F.col("l_orderkey") % 5, F.col("row_idx")
-        base = self.numbered_lines.select("l_orderkey", "row_idx", "l_partkey", "l_quantity", "l_returnflag")
+        kind, idx = F.col("l_orderkey") % 5, F.col("l_linenumber")
         changed = F.when((kind == 2) & (idx == 1), 1).otherwise(0)
         moved = F.when((kind == 1) & (idx <= 2), 3 - idx).otherwise(idx)
-        sides = base.select(
+        sides = self.spread("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").select(
             "l_orderkey",
             "l_quantity",
             "l_returnflag",
             F.inline(
                 F.array(
+                    F.struct(F.lit("expected").alias("side"), idx.alias("place"), F.col("l_partkey").alias("part")),
                     F.struct(
-                        F.lit("expected").alias("side"), idx.alias("place"), F.col("l_partkey").alias("part")
-                    ),
-                    F.struct(
-                        F.when((kind == 0) & (idx == 1), F.lit(None)).otherwise(F.lit("actual")).alias("side"),
+                        F.when((kind != 0) | (idx != 1), F.lit("actual")).alias("side"),
                         moved.alias("place"),
                         (F.col("l_partkey") + changed).alias("part"),
                     ),
@@ -263,7 +256,7 @@ class Views:
     def sql_executions(self) -> DataFrame:
         """One or two SQL texts per query answer, from twelve statement shapes."""
         key, cust, idx = F.col("_key"), F.col("_cust"), F.col("execution_idx")
-        queries = self.sql_outputs.filter(F.col("kind") == "query").withColumn(
+        queries = spread_small(self.sql_outputs.filter(F.col("kind") == "query")).withColumn(
             "execution_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), key % 2))
         )
         shape = F.when(cust % 3 == 0, (cust + idx) % 12).otherwise(key % 3)

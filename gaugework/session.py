@@ -59,6 +59,43 @@ def known_size(df: DataFrame) -> int | None:
         return None
 
 
+# Below this many stored bytes no group can be too large for one task.
+SMALL_INPUT_BYTES = 256 << 20
+
+
+def input_size(df: DataFrame) -> int | None:
+    """Stored bytes of all tables the plan reads (estimates of joins multiply; these add)."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(
+            int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
+        )
+    except Exception:
+        return None
+
+
+def small_input(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
+    """Whether the plan reads little enough for the plain form of an operator.
+
+    Only chooses between plans with the same result; unknown sizes count as large.
+    """
+    size = input_size(df)
+    return size is not None and 0 <= size <= limit
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread rows of a table that fits one read task over all cores.
+
+    Large tables come in many tasks anyway and are returned as they are.
+    """
+    spark = df.sparkSession
+    size = input_size(df)
+    one_task = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if size is None or size > one_task:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,
