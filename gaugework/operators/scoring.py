@@ -464,6 +464,16 @@ class PandasScorer:
             return None, "invalid_evaluator_output"
         return values, None
 
+    def _parts(self, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Halve a failing batch until the rows that fail stand alone."""
+        values, error = self._batch(frame)
+        if error != "evaluator_exception" or len(frame) <= 1:
+            yield self._long(frame, values, error)
+            return
+        middle = len(frame) // 2
+        yield from self._parts(frame.iloc[:middle])
+        yield from self._parts(frame.iloc[middle:])
+
     def _long(self, frame: pd.DataFrame, values, error) -> pd.DataFrame:
         parts = []
         for metric in self.metrics:
@@ -489,12 +499,7 @@ class PandasScorer:
 
         def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                values, error = self._batch(frame)
-                if error != "evaluator_exception":
-                    yield self._long(frame, values, error)
-                    continue
-                for index in range(len(frame)):
-                    row = frame.iloc[index : index + 1]
-                    yield self._long(row, *self._batch(row))
+                if len(frame):
+                    yield from self._parts(frame)
 
         return rows.mapInPandas(batches, OBSERVATIONS)
