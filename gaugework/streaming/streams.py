@@ -66,7 +66,7 @@ class _Lifecycle(StatefulProcessor):
     """Current state per job and the violations found so far, in arrival order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("state", "status STRING, at TIMESTAMP, seq BIGINT")
+        self._state = handle.getValueState("state", "status STRING, micros BIGINT, seq BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         ordered = sorted(rows, key=lambda r: r["seq"])
@@ -80,7 +80,7 @@ class _Lifecycle(StatefulProcessor):
                 codes.append("not_queued_first")
             if status is not None and status != row["status"] and f"{status}>{row['status']}" not in LEGAL_TRANSITIONS:
                 codes.append("illegal_transition")
-            if at is not None and row["at"] < at:
+            if at is not None and row["micros"] < at:
                 codes.append("time_moved_back")
             if (row["status"] == "failed") != (row["error_code"] is not None):
                 codes.append("error_code_mismatch")
@@ -90,7 +90,7 @@ class _Lifecycle(StatefulProcessor):
                 codes.append("started_without_attempt")
             for code in codes:
                 yield Row(job_id=key[0], seq=row["seq"], status=row["status"], code=code)
-            status, at, last = row["status"], row["at"], row["seq"]
+            status, at, last = row["status"], row["micros"], row["seq"]
         if last is not None:
             self._state.update((status, at, last))
             yield Row(job_id=key[0], seq=last, status=status, code=None)
@@ -102,7 +102,8 @@ class _Lifecycle(StatefulProcessor):
 def lifecycle_stream(transitions: DataFrame) -> DataFrame:
     """Violations (code set) and the current state per batch (code NULL)."""
     use_rocksdb(transitions.sparkSession)
-    return transitions.groupBy("job_id").transformWithState(
+    timed = transitions.withColumn("micros", F.unix_micros("at"))
+    return timed.groupBy("job_id").transformWithState(
         statefulProcessor=_Lifecycle(),
         outputStructType="job_id STRING, seq BIGINT, status STRING, code STRING",
         outputMode="Append",
