@@ -19,33 +19,25 @@ LANES = 16
 
 def row_text(columns: Sequence[str]) -> Column:
     """Unambiguous text of a row; NULL differs from every value."""
-    parts = []
-    for name in columns:
-        text = F.col(name).cast("string")
-        parts.append(
-            F.when(text.isNull(), F.lit("-")).otherwise(
-                F.concat(F.length(text).cast("string"), F.lit(":"), text)
-            )
-        )
-    return F.concat_ws("|", *parts)
-
-
-def _lane(i: int) -> Column:
-    return F.conv(F.substring("_hash", 4 * i + 1, 4), 16, 10).cast("bigint")
+    parts = ", ".join(
+        f"coalesce(concat(length(cast(`{c}` as string)), ':', cast(`{c}` as string)), '-')" for c in columns
+    )
+    return F.expr(f"concat_ws('|', {parts})")
 
 
 def fingerprint(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     """(keys, rows, fingerprint) of the multiset of ``text`` values per key."""
     hashed = df.select(*keys, F.sha2(text, 256).alias("_hash"))
+    lanes = range(LANES)
     sums = hashed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.sum(_lane(i)).alias(f"_s{i}") for i in range(LANES)],
-    )
-    folded = F.concat_ws(
-        ",",
-        F.col("rows").cast("string"),
-        *[F.coalesce(F.col(f"_s{i}"), F.lit(0)).cast("string") for i in range(LANES)],
+        *[
+            F.expr(f"sum(cast(conv(substring(_hash, {4 * i + 1}, 4), 16, 10) as bigint)) as _s{i}")
+            for i in lanes
+        ],
     )
+    named = ", ".join(f"cast(coalesce(_s{i}, 0) as string)" for i in lanes)
+    folded = F.expr(f"concat_ws(',', cast(rows as string), {named})")
     return sums.select(
         *keys, "rows", F.concat(F.lit("sha256:"), F.sha2(folded, 256)).alias("fingerprint")
     )

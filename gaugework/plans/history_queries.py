@@ -167,7 +167,7 @@ def _(v):
 @query(
     "keyset_page",
     """
-    SELECT o_orderkey, epoch_us(o_orderdate) AS o_orderdate, true AS has_next FROM orders
+    SELECT o_orderkey, epoch_us(o_orderdate) AS o_orderdate, count(*) OVER () > 40 AS has_next FROM orders
     WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1998-06-01 00:00:00', 500) ORDER BY o_orderdate, o_orderkey LIMIT 40""",
 )
 def _(v):
@@ -179,7 +179,7 @@ def _(v):
 @query(
     "list_runs",
     """
-    SELECT run_id, suite, dataset, target, status, epoch_us(created_at) AS created_at, true AS has_next FROM v_history_runs
+    SELECT run_id, suite, dataset, target, status, epoch_us(created_at) AS created_at, count(*) OVER () > 25 AS has_next FROM v_history_runs
     WHERE dataset = 'dataset-3' AND (created_at, run_id) < (TIMESTAMP '1999-01-01 00:00:00', 'run-5') ORDER BY created_at DESC, run_id DESC LIMIT 25""",
 )
 def _(v):
@@ -190,7 +190,7 @@ def _(v):
 @query(
     "list_jobs",
     """
-    SELECT job_id, kind, status, epoch_us(created_at) AS created_at, true AS has_next FROM v_jobs
+    SELECT job_id, kind, status, epoch_us(created_at) AS created_at, count(*) OVER () > 30 AS has_next FROM v_jobs
     WHERE kind = 'run' AND status = 'queued' ORDER BY created_at DESC, job_id DESC LIMIT 30""",
 )
 def _(v):
@@ -200,7 +200,7 @@ def _(v):
 @query(
     "list_decisions",
     """
-    SELECT decision_id, suite, status, baseline_target, candidate_target, epoch_us(created_at) AS created_at, true AS has_next FROM v_history_decisions
+    SELECT decision_id, suite, status, baseline_target, candidate_target, epoch_us(created_at) AS created_at, count(*) OVER () > 50 AS has_next FROM v_history_decisions
     WHERE status = 'failed' AND suite = '1-URGENT' ORDER BY created_at DESC, decision_id DESC LIMIT 50""",
 )
 def _(v):
@@ -379,7 +379,7 @@ def _(v):
 @query(
     "claim_page",
     f"""
-    SELECT epoch_us(available_at) AS available_at, epoch_us(created_at) AS created_at, job_id, true AS has_next FROM v_jobs
+    SELECT epoch_us(available_at) AS available_at, epoch_us(created_at) AS created_at, job_id, count(*) OVER () > 20 AS has_next FROM v_jobs
     WHERE status = 'queued' AND available_at <= TIMESTAMP '{_AS_OF}' ORDER BY 1, 2, 3 LIMIT 20""",
 )
 def _(v):

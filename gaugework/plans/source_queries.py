@@ -233,7 +233,7 @@ def _(v):
     SELECT 'p1' AS pair_id, 'aggregate' AS section, count(*) AS rows FROM v_comparison
     UNION ALL SELECT 'p1', 'gate', count(*) FROM v_gate_results
     UNION ALL SELECT 'p1', 'change_counts', count(*) FROM v_gate_results
-    UNION ALL SELECT 'p1', 'newly_failing', count(*) FROM v_gate_cases WHERE change = 'newly_failing'
+    UNION ALL SELECT 'p1', 'newly_failing', count(*) FROM v_gate_cases WHERE change = 'newly_failing' HAVING count(*) > 0
     UNION ALL SELECT 'p1', 'decision', 1""",
 )
 def _(v):

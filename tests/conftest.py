@@ -12,5 +12,7 @@ from gaugework.session import local_session  # noqa: E402
 def spark():
     session = local_session("8", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    # Tiny inputs: compiling generated code would take most of the time.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
