@@ -272,12 +272,16 @@ def job_attempt_history(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
         & (F.col("_most") == F.col("_rows"))
     )
     labelled = base.select(
-        "job_id", F.col("status").alias("job_status"), "attempt_count", complete.alias("complete")
+        "job_id", F.col("status").alias("job_status"), "attempt_count", complete.alias("complete"),
+        F.col("_rows").isNull().alias("_none"),
     )
-    return labelled.join(
-        attempts.select(
-            "job_id", "attempt_number", F.col("status").alias("attempt_status"), "started_at"
-        ),
-        "job_id",
-        "left",
+    facts = attempts.select(
+        "job_id", "attempt_number", F.col("status").alias("attempt_status"), "started_at"
+    )
+    # An inner join can be split on a job with very many attempts; an outer one not.
+    tried = labelled.filter(~F.col("_none")).drop("_none").join(facts, "job_id")
+    untried = labelled.filter("_none").select(
+        "job_id", "job_status", "attempt_count", "complete",
+        *[F.lit(None).cast(kind).alias(name) for name, kind in facts.dtypes if name != "job_id"],
     )
+    return tried.unionByName(untried)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugework.functions import canonical_json, valid_code
+from gaugework.functions import valid_code
 from gaugework.operators.scoring import observation
 
 # Metric names and the default result limits.
@@ -30,6 +30,12 @@ MAX_ROWS, MAX_COLUMNS, MAX_CELLS, MAX_BYTES = 1_000, 64, 25_000, 1 << 20
 
 
 # --- row keys ---------------------------------------------------------------
+def _number(value: Column) -> Column:
+    """One text per double: whole numbers without a point (so -0.0 is 0)."""
+    whole = (value == F.floor(value)) & (F.abs(value) <= MAX_SAFE_INTEGER)
+    return F.when(whole, value.try_cast("bigint").cast("string")).otherwise(value.cast("string"))
+
+
 def _cell(field: T.StructField) -> tuple[Column, Column]:
     """(JSON text, unsupported) of one typed column."""
     c, kind = F.col(f"`{field.name}`"), field.dataType
@@ -40,14 +46,12 @@ def _cell(field: T.StructField) -> tuple[Column, Column]:
         return c.cast("string"), F.abs(c.cast("decimal(20,0)")) > MAX_SAFE_INTEGER
     if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
         value = c.cast("double")
-        return canonical_json(value.cast("string")), F.isnan(value) | (
-            F.abs(value) == float("inf")
-        )
+        return _number(value), F.isnan(value) | (F.abs(value) == float("inf"))
     if isinstance(kind, T.DecimalType):
         whole = c == F.floor(c)
         inexact = c.cast("double").cast("string").cast("decimal(38,18)") != c.cast("decimal(38,18)")
         text = F.when(whole, F.floor(c).cast("decimal(38,0)").cast("string")).otherwise(
-            canonical_json(c.cast("double").cast("string"))
+            _number(c.cast("double"))
         )
         return text, F.when(whole, F.abs(c) > MAX_SAFE_INTEGER).otherwise(inexact)
     if isinstance(kind, T.DateType):
