@@ -37,22 +37,14 @@ def _unicode_fold(values: pd.Series) -> pd.Series:
     return values.map(fold)
 
 
-# ASCII, accented Latin letters and plain typographic quotes and dashes: NFKC leaves
-# them alone and lower case is their case folding (but for the sharp s).
-_PLAIN_TEXT = r"[^\x00-\x7F\u00C0-\u00FF\u0152\u0153\u2013\u2014\u2018\u2019\u201C\u201D]"
-
-
 def normalize_text(c: Column | str) -> Column:
-    """NFKC, case folding and whitespace collapse.
-
-    Western European text never leaves the JVM; only texts with other characters
-    are passed to the Arrow UDF.
-    """
+    """NFKC, case folding and whitespace collapse; ASCII text never leaves the JVM."""
     c = _col(c)
-    plain = ~c.rlike(_PLAIN_TEXT)
-    folded = F.replace(F.lower(c), F.lit("\u00df"), F.lit("ss"))
-    collapsed = F.trim(F.regexp_replace(folded, r"[\s\x1c-\x1f]+", " "))
-    return F.when(plain, collapsed).otherwise(_unicode_fold(F.when(~plain, c)))
+    ascii_only = F.octet_length(c) == F.char_length(c)
+    folded = F.trim(F.regexp_replace(F.lower(c), r"[\s\x1c-\x1f]+", " "))
+    return F.when(ascii_only, folded).otherwise(
+        _unicode_fold(F.when(~ascii_only, c))
+    )
 
 
 def content_digest(c: Column | str) -> Column:
