@@ -225,8 +225,8 @@ def alignment_violations(
     by_metric = evidence.groupBy("pair_id", "metric").agg(
         F.bool_or(F.col("role") == "baseline").alias("_b"),
         F.bool_or(F.col("role") == "candidate").alias("_c"),
-        F.min("evaluator").alias("_low"),
-        F.max("evaluator").alias("_high"),
+        F.min(F.xxhash64("evaluator")).alias("_low"),
+        F.max(F.xxhash64("evaluator")).alias("_high"),
     )
     metrics = by_metric.select(
         "pair_id",

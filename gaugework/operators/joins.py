@@ -96,10 +96,15 @@ def pair_sides(pairs: DataFrame) -> DataFrame:
     )
 
 
+_STATUS = ("error", "skipped", "scored")
+
+
 def pair_runs(observations: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both sides of every (pair, case, metric), in one shuffle.
 
-    A side without an observation is an error; ``slices`` ride along if present.
+    A side without an observation is an error.  ``slices`` ride along as a key (they
+    belong to the case), and states travel as numbers, so the aggregation hashes and
+    never sorts.
     """
     rows = join_small(
         observations,
@@ -107,19 +112,26 @@ def pair_runs(observations: DataFrame, pairs: DataFrame) -> DataFrame:
         lambda o, p: o["run_id"] == p["_run"],
         salt_on="case_id",
     )
-    carried = [F.first("slices", ignorenulls=True).alias("slices")] if "slices" in observations.columns else []
-
-    def side(role: str, column: str):
-        return F.max(F.when(F.col("role") == role, F.col(column)))
-
-    paired = rows.groupBy("pair_id", "case_id", "metric").agg(
-        *carried,
-        F.coalesce(side("baseline", "status"), F.lit("error")).alias("baseline_status"),
-        side("baseline", "value").alias("baseline_value"),
-        F.coalesce(side("candidate", "status"), F.lit("error")).alias("candidate_status"),
-        side("candidate", "value").alias("candidate_value"),
+    rank = F.array_position(F.array(*[F.lit(s) for s in _STATUS]), F.col("status"))
+    keys = ["pair_id", "case_id", "metric"] + [c for c in ("slices",) if c in rows.columns]
+    sides = [
+        F.max(F.when(F.col("role") == role, value)).alias(f"_{role}_{name}")
+        for role in ("baseline", "candidate")
+        for name, value in (("rank", rank), ("value", F.col("value")))
+    ]
+    paired = rows.groupBy(*keys).agg(*sides)
+
+    def state(role: str):
+        place = F.coalesce(F.col(f"_{role}_rank"), F.lit(1)).cast("int")
+        return F.element_at(F.array(*[F.lit(s) for s in _STATUS]), place).alias(f"{role}_status")
+
+    return paired.select(
+        *keys,
+        state("baseline"),
+        F.col("_baseline_value").alias("baseline_value"),
+        state("candidate"),
+        F.col("_candidate_value").alias("candidate_value"),
     )
-    return paired
 
 
 def gate_scope(cases: DataFrame, gates: DataFrame) -> DataFrame:

@@ -17,19 +17,25 @@ def append_once(
     conflict.  Of several new records with one key, equal digests collapse into one
     append and differing digests are all conflicts.
     """
-    facts = new.select(*key, F.col(digest).alias("_d"), F.lit(None).cast("string").alias("_old")).unionByName(
-        existing.select(*key, F.lit(None).cast("string").alias("_d"), F.col(digest).alias("_old"))
+    facts = new.select(*key, F.col(digest), F.lit(True).alias("_new")).unionByName(
+        existing.select(*key, F.col(digest), F.lit(False).alias("_new"))
     )
-    per_key = facts.groupBy(*key).agg(
-        F.min("_d").alias("_low"), F.max("_d").alias("_high"), F.max("_old").alias("_old")
-    ).filter(F.col("_low").isNotNull())
+    per_digest = facts.groupBy(*key, digest).agg(
+        F.bool_or("_new").alias("_new"), F.bool_or(~F.col("_new")).alias("_old")
+    )
+    per_key = per_digest.groupBy(*key).agg(
+        F.count_if(F.col("_new")).alias("_news"),
+        F.count_if(F.col("_old")).alias("_olds"),
+        F.count_if(F.col("_new") & F.col("_old")).alias("_both"),
+        F.max(F.when(F.col("_new"), F.col(digest))).alias(digest),
+    ).filter("_news > 0")
     label = (
-        F.when(F.col("_low") != F.col("_high"), "conflict")
-        .when(F.col("_old").isNull(), "append")
-        .when(F.col("_old") == F.col("_low"), "identical")
+        F.when(F.col("_news") > 1, "conflict")
+        .when(F.col("_olds") == 0, "append")
+        .when(F.col("_both") == F.col("_olds"), "identical")
         .otherwise("conflict")
     )
-    return per_key.select(*key, F.when(label != "conflict", F.col("_low")).alias(digest), label.alias("action"))
+    return per_key.select(*key, F.when(label != "conflict", F.col(digest)).alias(digest), label.alias("action"))
 
 
 def publish_once(
