@@ -230,88 +230,97 @@ def _value_ok(rule: Column, v: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def json_conforms(output: Column | str, schema: Column | str) -> Column:
-    """``valid``, ``schema_mismatch``, ``invalid_schema``, ``remote_reference``,
-    ``unsupported_schema`` or NULL without a schema, all inside one row."""
-    out = F.col(output) if isinstance(output, str) else output
-    text = F.col(schema) if isinstance(schema, str) else schema
-    rules, value = parse_strict(text), parse_strict(out)
-    root = F.try_variant_get(rules, "$", "map<string,variant>")
-    properties = F.try_variant_get(rules, "$.properties", "map<string,variant>")
-    fields = F.try_variant_get(value, "$", "map<string,variant>")
-    required = F.try_variant_get(rules, "$.required", "array<string>")
-    closed = F.try_variant_get(rules, "$.additionalProperties", "boolean")
-
-    remote = text.rlike(r'"\$ref"\s*:\s*"(?!#)')
-    declared = F.flatten(
-        F.array(
-            _names(rules, "$.type"),
-            F.coalesce(
-                F.flatten(
-                    F.transform(
-                        F.map_values(properties),
-                        lambda p: F.coalesce(_names(p, "$.type"), F.array().cast("array<string>")),
-                    )
-                ),
-                F.array().cast("array<string>"),
-            ),
-        )
-    )
-    known_types = F.coalesce(
-        F.forall(declared, lambda t: t.isNull() | t.isin(*TYPE_NAMES)), F.lit(True)
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """Name intermediate values inside an expression, so each is computed once."""
+    bound = F.struct(*[value.alias(name) for name, value in values.items()])
+    return F.element_at(F.transform(F.array(bound), body), 1)
+
+
+def _strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _verdict(s: Column) -> Column:
+    """Verdict from the named parts of a schema and a value."""
+    rules, value, root, properties = s["rules"], s["value"], s["root"], s["properties"]
+    names, required, closed = F.map_keys(s["fields"]), s["required"], s["closed"]
+    keys = F.map_keys(root)
+    field_types = F.transform(
+        F.map_values(properties), lambda p: F.coalesce(_names(p, "$.type"), _strings())
     )
+    declared = F.concat(_names(rules, "$.type"), F.coalesce(F.flatten(field_types), _strings()))
+    known_types = F.forall(declared, lambda t: t.isNull() | t.isin(*TYPE_NAMES))
     malformed = (
         root.isNull()
-        | ~known_types
-        | (F.array_contains(F.map_keys(root), "required") & required.isNull())
-        | (F.array_contains(F.map_keys(root), "properties") & properties.isNull())
+        | ~F.coalesce(known_types, F.lit(True))
+        | (F.array_contains(keys, "required") & required.isNull())
+        | (F.array_contains(keys, "properties") & properties.isNull())
     )
-    plain_root = F.forall(F.map_keys(root), lambda k: k.isin(*ROOT_KEYWORDS))
-    plain_fields = F.coalesce(
-        F.forall(
-            F.map_values(properties),
-            lambda p: F.coalesce(
-                F.forall(
-                    F.map_keys(F.try_variant_get(p, "$", "map<string,variant>")),
-                    lambda k: k.isin(*PROPERTY_KEYWORDS),
-                ),
-                F.lit(False),
+    plain_root = F.forall(keys, lambda k: k.isin(*ROOT_KEYWORDS))
+    plain_fields = F.forall(
+        F.map_values(properties),
+        lambda p: F.coalesce(
+            F.forall(
+                F.map_keys(F.try_variant_get(p, "$", "map<string,variant>")),
+                lambda k: k.isin(*PROPERTY_KEYWORDS),
             ),
+            F.lit(False),
         ),
-        F.lit(True),
-    )
-    names = F.map_keys(fields)
-    has_all = F.coalesce(
-        F.forall(required, lambda name: F.array_contains(names, name)), F.lit(True)
     )
-    fields_ok = F.coalesce(
-        F.forall(
-            F.map_entries(properties),
-            lambda e: F.coalesce(
-                ~F.array_contains(names, e["key"])
-                | _value_ok(e["value"], F.try_element_at(fields, e["key"])),
-                F.lit(True),
-            ),
+    has_all = F.forall(required, lambda name: F.array_contains(names, name))
+    fields_ok = F.forall(
+        F.map_entries(properties),
+        lambda e: F.coalesce(
+            ~F.array_contains(names, e["key"])
+            | _value_ok(e["value"], F.try_element_at(s["fields"], e["key"])),
+            F.lit(True),
         ),
-        F.lit(True),
     )
-    no_extra = F.coalesce(
-        F.coalesce(closed, F.lit(True))
-        | (F.size(F.array_except(names, F.coalesce(F.map_keys(properties), F.array().cast("array<string>")))) == 0),
-        F.lit(True),
+    extra = F.array_except(names, F.coalesce(F.map_keys(properties), _strings()))
+    no_extra = F.coalesce(closed, F.lit(True)) | (F.size(extra) == 0)
+    holds = (
+        _value_ok(rules, value)
+        & F.coalesce(has_all, F.lit(True))
+        & F.coalesce(fields_ok, F.lit(True))
+        & F.coalesce(no_extra, F.lit(True))
     )
-    holds = _value_ok(rules, value) & has_all & fields_ok & no_extra
     return (
-        F.when(text.isNull() | (F.trim(text) == "null"), F.lit(None).cast("string"))
-        .when(F.coalesce(json_kind(text) != "object", F.lit(True)), "invalid_schema")
-        .when(remote, "remote_reference")
-        .when(malformed, "invalid_schema")
-        .when(~(plain_root & plain_fields), "unsupported_schema")
+        F.when(F.coalesce(malformed, F.lit(True)), "invalid_schema")
+        .when(~(plain_root & F.coalesce(plain_fields, F.lit(True))), "unsupported_schema")
         .when(F.coalesce(holds, F.lit(False)), "valid")
         .otherwise("schema_mismatch")
     )
 
 
+def json_conforms(output: Column | str, schema: Column | str) -> Column:
+    """``valid``, ``schema_mismatch``, ``invalid_schema``, ``remote_reference``,
+    ``unsupported_schema`` or NULL without a schema, all inside one row."""
+    out = F.col(output) if isinstance(output, str) else output
+    text = F.col(schema) if isinstance(schema, str) else schema
+
+    def parts(parsed: Column) -> Column:
+        rules, value = parsed["rules"], parsed["value"]
+        return _let(
+            {
+                "rules": rules,
+                "value": value,
+                "root": F.try_variant_get(rules, "$", "map<string,variant>"),
+                "properties": F.try_variant_get(rules, "$.properties", "map<string,variant>"),
+                "required": F.try_variant_get(rules, "$.required", "array<string>"),
+                "closed": F.try_variant_get(rules, "$.additionalProperties", "boolean"),
+                "fields": F.try_variant_get(value, "$", "map<string,variant>"),
+            },
+            _verdict,
+        )
+
+    return (
+        F.when(text.isNull() | (F.trim(text) == "null"), F.lit(None).cast("string"))
+        .when(F.coalesce(json_kind(text) != "object", F.lit(True)), "invalid_schema")
+        .when(text.rlike(r'"\$ref"\s*:\s*"(?!#)'), "remote_reference")
+        .otherwise(_let({"rules": parse_strict(text), "value": parse_strict(out)}, parts))
+    )
+
+
 def _json_schema() -> Column:
     name = "json_schema"
     verdict = json_conforms("output", "expected_schema")

@@ -265,7 +265,7 @@ def _(v):
     "evidence_audit",
     """
     SELECT pair_id, position, NULL AS case_id, 'delta_mismatch' AS code FROM v_gate_results WHERE position = 1
-    UNION ALL SELECT pair_id, position, NULL, 'status_mismatch' FROM v_gate_results WHERE position = 2
+    UNION ALL SELECT pair_id, position, NULL, 'status_mismatch' FROM v_gate_results WHERE position = 2 AND status = 'failed'
     UNION ALL SELECT pair_id, position, case_id, 'change_mismatch' FROM v_gate_cases WHERE change = 'newly_failing'
     UNION ALL SELECT pair_id, position, NULL, 'distribution_mismatch' FROM v_gate_results WHERE position = 3""",
 )
