@@ -8,8 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import piece_codec, shards, token_counts, token_files
-from gaugework.llm.shared import scratch
+from gaugework.llm import (
+    fast_sketch,
+    licences,
+    multi_index,
+    piece_codec,
+    rule_quality,
+    shards,
+    token_counts,
+    token_files,
+)
+from gaugework.llm.shared import held_out, labelled_sample, scratch
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR")
 
@@ -44,6 +53,24 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", trip.alias("_r")).select("doc_id", "_r.*")
 
 
+@query("op4_multi_index")
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op5_rule_quality")
+def op5_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rule_quality.fit(
+        labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", rule_quality.SAMPLE_ROWS)
+    )
+    scored = rule_quality.statistics(docs.select("doc_id", "text")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
@@ -53,6 +80,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_licences", licences.oracle())
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_known", "sequence", "licences", "kinds")
+
+
+@query("op8_fast_sketch")
+def op8_fast_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fast_sketch.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = table(spark, sf_dir, "documents").select(
