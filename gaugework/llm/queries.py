@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import (
+    decontaminate,
     fast_sketch,
     licences,
     multi_index,
@@ -17,6 +18,7 @@ from gaugework.llm import (
     shards,
     token_counts,
     token_files,
+    toxicity,
 )
 from gaugework.llm.shared import held_out, labelled_sample, scratch
 
@@ -53,6 +55,21 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", trip.alias("_r")).select("doc_id", "_r.*")
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.SAMPLE_ROWS))
+    scored = docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), scorer).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_multi_index")
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
