@@ -13,6 +13,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from string import punctuation
 
 import pandas as pd
 import regex
@@ -26,6 +27,16 @@ SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
+def simple_words(chunk: str) -> list[str] | None:
+    """The lower-case word and the punctuation after it, if a chunk is no more than that."""
+    word = chunk.rstrip(punctuation)
+    if word.isalpha() and (word.isascii() or "Σ" not in word and unicodedata.is_normalized("NFC", word)):
+        low = word.lower()
+        if low.isalpha():
+            return [low] if len(word) == len(chunk) else [low, chunk[len(word) :]]
+    return None
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -35,12 +46,12 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class WordBpe:
-    """Counts tokens as a word-end BPE file defines them: NFC, blanks joined, lower case, split, bytes, merges."""
+class WordSplitter:
+    """Words of a text as a word-end BPE file defines them: NFC, blanks joined, lower case, split."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+            self.spec = spec = json.load(file)
         steps = spec["normalizer"]["normalizers"]
         split, to_bytes = spec["pre_tokenizer"]["pretokenizers"]
         if (
@@ -56,6 +67,30 @@ class WordBpe:
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens with options are not built here")
         self.added = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in added) + ")") if added else None
+        self.added_ids = {t["content"]: t["id"] for t in added}
+
+    def plain_words(self, text: str) -> list[str]:
+        """Words of a text without added tokens."""
+        text = unicodedata.normalize("NFC", text)
+        # Character by character: the library knows no final sigma.
+        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        return self.words.findall(text)
+
+    def lowered(self, text: str) -> str:
+        """The text in lower case where that changes no result: fewer distinct chunks."""
+        return text if "Σ" in text or self.added and "<" in text else text.lower()
+
+    def parts(self, text: str) -> list[str]:
+        """Texts without added tokens at even places, added tokens at odd places."""
+        return self.added.split(text) if self.added and "<" in text else [text]
+
+
+class WordBpe(WordSplitter):
+    """Counts tokens by merging the bytes of each word."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        spec = self.spec
         self.letters = byte_letters()
         self.end = spec["model"]["end_of_word_suffix"] or ""
         vocab = spec["model"]["vocab"]
@@ -68,6 +103,7 @@ class WordBpe:
             raise ValueError("the vocabulary lacks single bytes")
         self.chunks: dict[str, int] = {}
         self.counts: dict[str, int] = {}
+        del self.spec
 
     def merged(self, word: str) -> int:
         """Tokens left of one word: symbols less merges."""
@@ -101,24 +137,19 @@ class WordBpe:
             found = self.counts[word] = self.merged(word)
         return found
 
-    def _plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text)
-        # Character by character: the library knows no final sigma.
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        return sum(map(self.word, self.words.findall(text)))
-
     def chunk(self, chunk: str) -> int:
-        if chunk.isascii() and chunk.isalpha():
-            return self.word(chunk.lower())
-        parts = self.added.split(chunk) if self.added and "<" in chunk else [chunk]
+        simple = simple_words(chunk)
+        if simple:
+            return sum(map(self.word, simple))
+        parts = self.parts(chunk)
         # Odd places hold the added tokens themselves.
-        return len(parts) // 2 + sum(self._plain(p) for p in parts[::2] if p)
+        return len(parts) // 2 + sum(self.word(w) for p in parts[::2] if p for w in self.plain_words(p))
 
     def count(self, text: str | None) -> int:
         """Blanks and line breaks end words in any case, so chunks between them can be counted alone."""
         if not text:
             return 0
-        chunks = text.replace("\n", " ").split(" ")
+        chunks = self.lowered(text).replace("\n", " ").split(" ")
         if len(self.chunks) > KEPT_CHUNKS:
             self.chunks = {}
             self.counts = {}

@@ -12,7 +12,9 @@ order of a hash of their text.  Extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.shared import kept_by_worker
+from gaugework.llm.token_counts import WordSplitter, byte_letters, simple_words
 
-KEPT_CHUNKS = 600_000
+KEPT_CHUNKS = 500_000
+KEPT_WORDS = 600_000
 LAYOUT = "doc_id bigint, shard int, begin bigint, n_tokens bigint, ids array<int>"
 WRITER = {
     "compression": "zstd",
@@ -52,27 +56,18 @@ class Places(dict):
 
 
 class Encoder:
-    """The tokenizers library over blank-separated chunks, each distinct chunk encoded once while it is kept.
+    """The tokenizers library's model over distinct words; blank-separated chunks and words are encoded once while kept.
 
-    Chunks can stand alone when the file drops white space before it splits words, which is checked.
+    Chunks can stand alone because the file drops white space before it splits words.
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        steps = (spec["normalizer"] or {}).get("normalizers", [])
-        joins = any(s["type"] == "Replace" and s["pattern"] == {"Regex": "\\s+"} and s["content"] == " " for s in steps)
-        split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        drops = split.get("behavior") == "Removed" and split.get("invert") and "[^\\s" in split["pattern"]["Regex"]
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"])
-        self.by_chunk = bool(joins and drops and plain)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.splitter = WordSplitter(path)
+        self.model = Tokenizer.from_file(path).model
+        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
+        self.words: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -81,24 +76,44 @@ class Encoder:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word as 32-bit integers."""
+        spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        found = self.words[word] = array("i", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        known = self.words.get
+        simple = simple_words(chunk)
+        if simple:
+            return b"".join([known(w) or self._word(w) for w in simple])
+        out = []
+        for k, part in enumerate(self.splitter.parts(chunk)):
+            if k % 2:
+                out.append(array("i", [self.splitter.added_ids[part]]).tobytes())
+            elif part:
+                out += [known(w) or self._word(w) for w in self.splitter.plain_words(part)]
+        return b"".join(out)
+
     def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        count = np.array([len(f) for f in found], np.int64)
+        if len(self.words) > KEPT_WORDS:
+            self.words = {}
+        found = list(map(self._chunk, chunks))
+        count = np.fromiter(map(len, found), np.int64) // 4
         self.start = np.r_[self.start, np.cumsum(count) - count + len(self.ids)]
         self.count = np.r_[self.count, count]
-        self.ids = np.r_[self.ids, np.array([i for f in found for i in f], np.int32)]
+        self.ids = np.r_[self.ids, np.frombuffer(b"".join(found), np.int32)]
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one flat array, each followed by the end id, and their lengths."""
         if len(self.place) > KEPT_CHUNKS:
             self._forget()
         number = self.place.__getitem__
-        cut = (lambda t: t.replace("\n", " ").split(" ")) if self.by_chunk else (lambda t: [t])
-        places = [np.array(list(map(number, cut(t or ""))), np.int64) for t in texts]
+        places = [list(map(number, self.splitter.lowered(t).replace("\n", " ").split(" "))) if t else [number("")] for t in texts]
         if self.place.new:
             self._learn(self.place.new)
             self.place.new = []
-        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        at = np.fromiter(chain.from_iterable(places), np.int64)
         count = self.count[at]
         begin = np.cumsum(count) - count
         flat = self.ids[np.repeat(self.start[at] - begin, count) + np.arange(int(count.sum()))]
