@@ -9,8 +9,8 @@ Equal vectors form a class.  A class enters its cell with its ``k + 1`` smallest
 smaller ids win, so no other member can appear in an answer.  Equal queries are answered once.
 
 Rows with a null id, or a vector that is null, zero, of another length than most, or holds null or non-finite
-components, take no part.  An id that occurs in several rows is not its own neighbour.  Extra columns are ignored;
-an empty table gives no rows.
+components, take no part.  Equal rows count once; an id with several vectors is answered for each of them and is
+not its own neighbour.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -144,7 +144,8 @@ def nearest(
     indexed = usable.where(F.size("vector") == dims).mapInArrow(place, shape)
     own = Window.partitionBy("key").orderBy("id")
     entries = written(
-        indexed.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= k + 1).drop("_r"), "cells"
+        indexed.withColumn("_r", F.dense_rank().over(own)).where(F.col("_r") <= k + 1).drop("_r")
+        .dropDuplicates(["key", "id"]), "cells"
     )
     held = np.zeros(len(books.first) * len(books.second), np.int64)
     for row in entries.groupBy("cell").count().collect():  # at most codebook ** 2 rows
@@ -165,7 +166,8 @@ def nearest(
             )
 
     asked = written(
-        _usable(queries, id_col, vector_col).where(F.size("vector") == dims).mapInArrow(place, shape), "queries"
+        _usable(queries, id_col, vector_col).where(F.size("vector") == dims).mapInArrow(place, shape)
+        .dropDuplicates(["key", "id"]), "queries"
     )
     first = Window.partitionBy("key").orderBy("id")
     distinct = asked.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("id", "vector", "key")
@@ -186,7 +188,7 @@ def nearest(
     scored = pairs.mapInArrow(rerank, "query binary, vec_id bigint, score double").distinct()
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     answers = written(scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r"), "answers")
-    per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    per_query = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (
         asked.select(F.col("id").alias("query_id"), F.col("key").alias("query"))
         .join(answers, "query")

@@ -152,11 +152,11 @@ def _lasso(held: np.ndarray, label: np.ndarray, penalty: float, steps: int = 600
     mean = held.mean(axis=0)
     scale = np.sqrt(mean * (1 - mean)) + 1e-6
     x = ((held - mean) / scale).astype(np.float64)
-    v = np.ones(m)
+    v = np.random.default_rng(1).standard_normal(m)
     for _ in range(20):
         v = x.T @ (x @ v)
-        v /= np.linalg.norm(v)
-    rate = 4 * n / np.linalg.norm(x.T @ (x @ v))
+        v /= np.linalg.norm(v) + 1e-12
+    rate = 4 * n / (np.linalg.norm(x.T @ (x @ v)) + 1e-12)
     share = label.mean()
     bias, w = np.log(share / (1 - share)), np.zeros(m)
     point, old, momentum = w.copy(), w.copy(), 1.0
