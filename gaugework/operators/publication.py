@@ -34,49 +34,46 @@ DENIED_KEYS = (
 )
 
 # Unsafe text patterns, tried in this order, each with texts of which
-# one must occur (in lower case) for the pattern to match at all.  Word borders are
-# written out because a border is an ASCII notion here.
-_LEFT, _RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-_ATEXT = r"a-z0-9.!#$%&'*+/=?^_`{|}~-"
-_LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+# one must occur (in lower case) for the pattern to match at all.
 UNSAFE_PATTERNS = (
-    ("email address", ("@",), rf"(?i)(?:^|[^{_ATEXT}])[{_ATEXT}]+@{_LABEL}(?:\.{_LABEL})+(?:$|[^a-z0-9-])"),
-    ("URL", ("://", "www."), rf"(?i)(?:{_LEFT}(?:https?|ftp)://|{_LEFT}www\.)\S+"),
     (
-        "URL",
-        ("javascript:", "data:", "file:", "mailto:"),
-        rf"(?i){_LEFT}(?:javascript|data|file|mailto):\S+",
+        "email address",
+        ("@",),
+        r"(?i)(^|[^a-z0-9.!#$%&'*+/=?^_`{|}~-])[a-z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)+(?:$|[^a-z0-9-])",
     ),
+    ("URL", ("://", "www."), r"(?i)(?:\b(?:https?|ftp)://|\bwww\.)\S+"),
+    ("URL", ("javascript:", "data:", "file:", "mailto:"), r"(?i)\b(?:javascript|data|file|mailto):\S+"),
     ("credential", ("private key-----",), r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("credential", ("akia", "asia"), rf"{_LEFT}(?:AKIA|ASIA)[A-Z0-9]{{16}}{_RIGHT}"),
+    ("credential", ("akia", "asia"), r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     (
         "credential",
         ("github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
-        rf"{_LEFT}(?:github_pat_|gh[pousr]_)[A-Za-z0-9_]{{20,}}{_RIGHT}",
+        r"\b(?:github_pat_|gh[pousr]_)[A-Za-z0-9_]{20,}\b",
     ),
-    ("credential", ("xox",), rf"{_LEFT}xox[baprs]-[A-Za-z0-9-]{{9,}}[A-Za-z0-9]{_RIGHT}"),
-    ("credential", ("aiza",), rf"{_LEFT}AIza[A-Za-z0-9_-]{{19,}}[A-Za-z0-9_]{_RIGHT}"),
+    ("credential", ("xox",), r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b"),
+    ("credential", ("aiza",), r"\bAIza[A-Za-z0-9_-]{20,}\b"),
     (
         "credential",
         ("sk_", "sk-", "rk_", "rk-", "pk_", "pk-"),
-        rf"{_LEFT}(?:sk|rk|pk)[_-](?:live[_-])?[A-Za-z0-9_-]{{15,}}[A-Za-z0-9_]{_RIGHT}",
-    ),
-    (
-        "credential",
-        ("eyj",),
-        rf"{_LEFT}eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{7,}}[A-Za-z0-9_]{_RIGHT}",
-    ),
-    (
-        "credential",
-        ("basic", "bearer"),
-        rf"(?i){_LEFT}(?:basic|bearer)\s+[A-Za-z0-9+/_=.-]{{7,}}[A-Za-z0-9_]{_RIGHT}",
+        r"\b(?:sk|rk|pk)[_-](?:live[_-])?[A-Za-z0-9_-]{16,}\b",
     ),
+    ("credential", ("eyj",), r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b"),
+    ("credential", ("basic", "bearer"), r"(?i)\b(?:basic|bearer)\s+[A-Za-z0-9+/_=.-]{8,}\b"),
     (
         "credential",
         ("api", "access", "client", "password", "passwd", "credential"),
-        rf"(?i){_LEFT}(?:api[ _-]?key|access[ _-]?token|client[ _-]?secret|password|passwd|credential)\s*[:=]\s*\S+",
+        r"(?i)\b(?:api[ _-]?key|access[ _-]?token|client[ _-]?secret|password|passwd|credential)\s*[:=]\s*\S+",
     ),
 )
+_WIDE_SPACES = "                 　﻿"
+
+
+def _ascii(text: Column) -> Column:
+    """A text in which only ASCII letters are letters, so that word borders mean ASCII words."""
+    spaced = F.translate(text, _WIDE_SPACES, " " * len(_WIDE_SPACES))
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(
+        F.regexp_replace(spaced, r"[^\x00-\x7f]", "¤")
+    )
 
 
 def unsafe_kind(text: Column) -> Column:
@@ -85,17 +82,51 @@ def unsafe_kind(text: Column) -> Column:
     Cheap substring tests on the lower-cased text keep most texts away from the
     regular expressions.
     """
-    lower = F.lower(text)
+    lower, plain = F.lower(text), _ascii(text)
     kind = None
     for name, needed, pattern in UNSAFE_PATTERNS:
         likely = lower.contains(needed[0])
         for word in needed[1:]:
             likely = likely | lower.contains(word)
-        hit = likely & text.rlike(pattern)
+        hit = likely & plain.rlike(pattern)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
     return kind
 
 
+_SHORT_ESCAPES = (("/", "/"), ('"', '"'), ("b", " "), ("f", " "), ("n", "\n"), ("r", "\n"), ("t", " "))
+
+
+def _decoded(text: Column) -> Column:
+    """JSON text, or a part of it, with its escapes replaced by what they stand for.
+
+    Escaped code points are decoded one character at a time; escaped backslashes stand
+    aside meanwhile, so that they start no other escape.
+    """
+    aside = "\u0001"
+
+    def characters(plain: Column) -> Column:
+        pieces = F.split(plain, r"\\u")
+        rest = F.transform(
+            F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
+            # Halves of characters beyond the first plane are no letters of any pattern.
+            lambda p: F.when(
+                p.rlike("^[dD][89a-fA-F][0-9a-fA-F]{2}"), F.concat(F.lit("¤"), F.substr(p, F.lit(5)))
+            ).when(
+                p.rlike("^[0-9a-fA-F]{4}"),
+                F.concat(
+                    F.decode(F.unhex(F.substring(p, 1, 4)), "UTF-16BE"), F.substr(p, F.lit(5))
+                ),
+            ).otherwise(p),
+        )
+        return F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))
+
+    plain = F.replace(text, F.lit("\\\\"), F.lit(aside))
+    for escape, meaning in _SHORT_ESCAPES:
+        plain = F.replace(plain, F.lit("\\" + escape), F.lit(meaning))
+    decoded = F.when(F.contains(plain, F.lit("\\u")), characters(plain)).otherwise(plain)
+    return F.when(F.contains(text, F.lit("\\")), F.replace(decoded, F.lit(aside), F.lit("\\"))).otherwise(text)
+
+
 def denied_columns(df: DataFrame, denied: Sequence[str] = DENIED_KEYS) -> list[str]:
     """Dotted paths of schema fields whose name is denied (looks at the schema only)."""
     names = set(denied)
@@ -127,25 +158,30 @@ def publication_audit(
 ) -> DataFrame:
     """(row_id, path, kind) per finding; the offending text itself is never shown.
 
-    Text columns are matched as a whole.  JSON columns are checked for denied keys
-    at any depth and, as text, for unsafe strings.  ``flags`` names columns that
-    must hold one value (execution mode, simulated).
+    Text columns are matched as a whole.  Of JSON columns the decoded keys, at any
+    depth, are checked for denied names and the decoded text for unsafe strings.  Names
+    of all columns, nested fields and map keys are checked, the audited ones too.
+    ``flags`` names columns that must hold one value (execution mode, simulated).
     """
     findings = []
     for name in text_columns:
         findings.append(F.struct(F.lit(name).alias("path"), unsafe_kind(F.col(name)).alias("kind")))
     for name in json_columns:
-        bad = F.filter(json_keys(name), lambda k: F.lower(k).isin(*denied))
+        bad = F.filter(json_keys(name), lambda k: F.lower(_decoded(k)).isin(*denied))
         findings.append(
             F.struct(F.lit(name).alias("path"), F.when(F.size(bad) > 0, "denied key").alias("kind"))
         )
-        findings.append(F.struct(F.lit(name).alias("path"), unsafe_kind(F.col(name)).alias("kind")))
+        findings.append(F.struct(F.lit(name).alias("path"), unsafe_kind(_decoded(F.col(name))).alias("kind")))
     for name, value in (flags or {}).items():
         wrong = ~F.col(name).cast("string").eqNullSafe(F.lit(value))
         findings.append(F.struct(F.lit(name).alias("path"), F.when(wrong, "wrong mode").alias("kind")))
     for path in denied_columns(df, denied):
-        if path.split(".")[0] not in (*text_columns, *json_columns, row_id):
+        if path != row_id:
             findings.append(F.struct(F.lit(path).alias("path"), F.lit("denied key").alias("kind")))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.MapType) and isinstance(field.dataType.keyType, T.StringType):
+            named = F.exists(F.map_keys(F.col(field.name)), lambda k: F.lower(k).isin(*denied))
+            findings.append(F.struct(F.lit(field.name).alias("path"), F.when(named, "denied key").alias("kind")))
     rows = df.select(F.col(row_id).cast("string").alias("row_id"), F.inline(F.array(*findings)))
     return rows.filter(F.col("kind").isNotNull())
 

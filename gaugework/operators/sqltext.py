@@ -34,6 +34,7 @@ PROHIBITED_FUNCTIONS = (
     "pg_terminate_backend", "random", "set_config", "setval", "timeofday",
     "uuid_generate_v1", "uuid_generate_v4",
 )
+PROHIBITED_PREFIXES = ("dblink_", "lo_", "pg_advisory_", "pg_read_", "pg_write_")
 ALLOWED_FUNCTIONS = (
     "abs", "and", "avg", "cast", "ceil", "ceiling", "coalesce", "count", "date_trunc",
     "dense_rank", "extract", "floor", "greatest", "lag", "lead", "least", "length",
@@ -49,8 +50,10 @@ _NOT_FUNCTIONS = (
     "then", "union", "using", "values", "varchar", "when", "where", "with", "within",
 )
 
+# A backslash escapes only in E'..' strings.
 _QUOTES = (
-    r"('(?:[^'\\]++|\\[\s\S]|'')*+'|\$((?:[A-Za-z_][A-Za-z0-9_]*)?)\$[\s\S]*?\$\2\$)"
+    r"((?<![A-Za-z0-9_$])[eE]'(?:[^'\\]++|\\[\s\S]|'')*+'|'(?:[^']++|'')*+'"
+    r"|\$((?:[A-Za-z_][A-Za-z0-9_]*)?)\$[\s\S]*?\$\2\$)"
     r'|("(?:[^"]++|"")*+")'
 )
 _NAME = r"[a-z_][a-z0-9_$]*"
@@ -78,29 +81,78 @@ def _matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+_ITEM = rf"{_NAME}(?:\s*\.\s*{_NAME})*"
+_QUERY = r"(?:select|with|values|table)\b"
+_CLAUSE_END = r"\b(?:where|group|order|having|limit|offset|union|except|intersect|window|fetch|for|returning|from)\b"
+# Nesting of parentheses that is looked into; deeper texts are refused.
+MAX_DEPTH = 16
+UNKNOWN_SOURCE = "?"
+
+
+def _flat_parts(clean: Column) -> Column:
+    """``parts``: the text of every parenthesis level without inner levels, and what is ``left`` of the text.
+
+    From the inside out, subqueries become ``@q``, other parentheses ``@``; a parenthesised
+    source after FROM or JOIN loses its parentheses, so that its members join the list.
+    """
+
+    def step(state: Column, _: Column) -> Column:
+        text = state["left"]
+        plain = F.regexp_replace(text, r"\b(?:extract|substring|trim|overlay|position)\s*\([^()]*\)", " @ ")
+        plain = F.regexp_replace(plain, rf"\b(from|join)\s*\((?!\s*{_QUERY})([^()]*)\)", "$1 $2 ")
+        inner = F.regexp_extract_all(plain, F.lit(r"\(([^()]*)\)"), F.lit(1))
+        left = F.regexp_replace(plain, rf"\(\s*{_QUERY}[^()]*\)", " @q ")
+        left = F.regexp_replace(left, r"\([^()]*\)", " @ ")
+        return F.struct(F.concat(state["parts"], inner).alias("parts"), left.alias("left"))
+
+    start = F.regexp_replace(clean, r"\bis\s+(not\s+)?distinct\s+from\b", " = ")
+    begin = F.struct(F.array().cast("array<string>").alias("parts"), start.alias("left"))
+    steps = F.sequence(F.lit(1), F.least(F.lit(MAX_DEPTH), F.length(F.regexp_replace(clean, r"[^(]", "")) + 1))
+    return F.aggregate(steps, begin, step)
+
+
 def table_names(clean: Column) -> Column:
-    """Names after FROM and JOIN, with comma lists, as written."""
-    item = rf"{_NAME}(?:\s*\.\s*{_NAME})*"
-    alias = rf"(?:\s+as\s+{_NAME}|\s+(?!(?:where|group|order|having|limit|offset|union|except|intersect|join|left|right|inner|full|cross|natural|on|using|for|window|fetch)\b){_NAME})?"
-    no_calls = F.regexp_replace(clean, r"\b(?:extract|substring|trim|overlay)\s*\([^()]*\)", " ")
-    lists = _matches(no_calls, rf"\b(?:from|join)\s+({item}{alias}(?:\s*,\s*{item}{alias})*)")
-    parts = F.flatten(F.transform(lists, lambda text: F.split(text, ",")))
-    return F.transform(
-        parts,
-        lambda part: F.regexp_replace(F.regexp_extract(F.trim(part), rf"^({item})", 1), r"\s", ""),
+    """Names of all sources after FROM, JOIN and TABLE at any depth, as written.
+
+    A source that is neither a name nor a subquery, and a text nested too deeply, give
+    ``UNKNOWN_SOURCE``, which no policy allows.
+    """
+
+    def of_part(part: Column) -> Column:
+        lists = _matches(part, rf"\bfrom\b((?:(?!{_CLAUSE_END})[\s\S])*)")
+        sources = F.flatten(F.transform(lists, lambda text: F.split(text, r",|\bjoin\b")))
+        bare = F.transform(sources, lambda s: F.regexp_replace(F.trim(s), r"^(?:lateral|only)\b\s*", ""))
+        named = F.transform(
+            F.filter(bare, lambda s: ~s.rlike(r"^@q\b")),
+            lambda s: F.when(
+                s.rlike(rf"^{_NAME}"), F.regexp_replace(F.regexp_extract(s, rf"^({_ITEM})", 1), r"\s", "")
+            ).otherwise(UNKNOWN_SOURCE),
+        )
+        commands = F.transform(
+            _matches(part, rf"\btable\s+(?:only\s+)?({_ITEM})"), lambda n: F.regexp_replace(n, r"\s", "")
+        )
+        return F.concat(named, commands)
+
+    flat = _flat_parts(clean)
+    parts = F.concat(flat["parts"], F.array(flat["left"]))
+    deep = F.when(flat["left"].rlike(r"[()]"), F.array(F.lit(UNKNOWN_SOURCE)))
+    return F.concat(
+        F.flatten(F.transform(parts, of_part)), F.coalesce(deep, F.array().cast("array<string>"))
     )
 
 
+_CTE_HEAD = rf"(?:\bwith|\brecursive|,)\s+({_NAME})\s*(?:\([^()]*\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?\("
+
+
 def cte_names(clean: Column) -> Column:
-    return _matches(
-        clean,
-        rf"(?:\bwith|\brecursive|,)\s+({_NAME})\s*(?:\([^()]*\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?\(",
-    )
+    return _matches(clean, _CTE_HEAD)
 
 
 def function_names(clean: Column) -> Column:
+    """Names before a parenthesis; the column list of a common table expression is no call."""
+    without_heads = F.regexp_replace(clean, _CTE_HEAD, " (")
     return F.array_except(
-        _matches(clean, rf"\b({_NAME})\s*\("), F.array(*[F.lit(w) for w in _NOT_FUNCTIONS])
+        _matches(without_heads, rf"\b({_NAME})\s*\("), F.array(*[F.lit(w) for w in _NOT_FUNCTIONS])
     )
 
 
@@ -130,6 +182,8 @@ def sql_text_audit(
     )
     clean = F.col("_clean")
     own = cte_names(clean)
+    # Quoted names are names, whatever word they spell.
+    unquoted = F.lower(F.regexp_replace("_bare", r'"(?:[^"]++|"")*+"', " "))
     facts = texts.select(
         *own_columns,
         "_recorded",
@@ -140,7 +194,7 @@ def sql_text_audit(
                     F.regexp_extract(clean, rf"^[\s(]*({_NAME})", 1).alias("_first"),
                     F.regexp_replace(F.col("_bare"), r'"(?:[^"]++|"")*+"', " ").rlike(r"--|/\*").alias("_comment"),
                     (
-                        F.arrays_overlap(_matches(clean, rf"\b({_NAME})\b"), _words(PROHIBITED_WORDS))
+                        F.arrays_overlap(_matches(unquoted, rf"\b({_NAME})\b"), _words(PROHIBITED_WORDS))
                         | clean.rlike(LOCKING)
                     ).alias("_operation"),
                     own.alias("_own"),
@@ -162,9 +216,8 @@ def sql_text_audit(
         | ((F.size(p) == 2) & ~F.element_at(p, 1).isin(*ALLOWED_SCHEMAS))
         | ~F.element_at(p, -1).isin(*tables),
     )
-    refused = F.exists(
-        F.array_except("_called", "_own"), lambda f: f.isin(*denied) | ~f.isin(*functions)
-    )
+    prefixed = "^(?:" + "|".join(PROHIBITED_PREFIXES) + ")"
+    refused = F.exists("_called", lambda f: f.isin(*denied) | f.rlike(prefixed) | ~f.isin(*functions))
     reason = (
         F.when(F.octet_length("sql") > max_bytes, "sql_too_large")
         .when(~F.col("_recorded") | (F.col("_statements") == 0), "invalid_sql")

@@ -213,3 +213,23 @@ def test_denied_names(spark):
     found = publication.publication_audit(df, "id", json_columns=["doc"])
     assert rows(found, "path", "kind") == [("User_Id", "denied key"), ("doc", "denied key"), ("meta.prompt", "denied key")]
     assert len(publication.DENIED_KEYS) == len(set(publication.DENIED_KEYS)) == 105
+
+
+@pytest.mark.parametrize(
+    ("doc", "kinds"),
+    [
+        (r'{"password":"x"}', {"denied key"}), (r'{"a":"http:\/\/evil.example\/x"}', {"URL"}),
+        (r'{"a":["me@example.com"]}', {"email address"}), (r'{"a":"fine \\u0040 and 😀"}', set()),
+        (r'{"a":"xoxb-123456789-_"}', {"credential"}), ("{\"a\":\"éwww.example.com\"}", {"URL"}), (None, set()),
+    ],
+)
+def test_escaped_json_is_decoded(spark, doc, kinds):
+    df = spark.createDataFrame([(1, doc)], "id INT, doc STRING")
+    assert {r.kind for r in publication.publication_audit(df, "id", json_columns=["doc"]).collect()} == kinds
+
+
+def test_names_of_audited_columns_and_map_keys(spark):
+    df = spark.createDataFrame([(1, "ok", {"Token": "x"}), (2, "ok", {"k": "v"})], "id INT, prompt STRING, extra MAP<STRING, STRING>")
+    assert rows(publication.publication_audit(df, "id", ["prompt"])) == [
+        ("1", "extra", "denied key"), ("1", "prompt", "denied key"), ("2", "prompt", "denied key"),
+    ]
