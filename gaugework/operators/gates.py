@@ -22,31 +22,38 @@ def _passes(value: Column, bound: Column) -> Column:
     return F.when(higher, at_least(value, bound)).otherwise(at_most(value, bound))
 
 
-def _gate_columns(gates: DataFrame) -> DataFrame:
-    return gates.select(
-        "position",
-        F.col("metric").alias("_metric"),
-        F.col("slice").alias("_slice"),
-        "direction",
-        "threshold",
+def expected_gates(pairs: DataFrame, gates: DataFrame) -> DataFrame:
+    """Every pair with every gate of its policy; both tables carry ``policy``."""
+    wanted = gates.select(
+        F.col("policy").alias("_policy"), "position", "metric", "slice", "direction", "threshold",
         F.coalesce("allowed_regression", F.lit(0.0)).alias("allowed_regression"),
     )
+    return join_small(
+        pairs.select("pair_id", "policy"), wanted, lambda p, g: p["policy"] == g["_policy"], salt_on="pair_id"
+    ).drop("_policy")
 
 
-def gate_results(comparison: DataFrame, gates: DataFrame) -> DataFrame:
-    """Every gate on every pair, with all failed checks listed in fixed order."""
-    joined = join_small(
-        comparison,
-        _gate_columns(gates),
-        lambda c, g: (c["metric"] == g["_metric"]) & c["slice"].eqNullSafe(g["_slice"]),
-        salt_on="pair_id",
-    ).drop("_metric", "_slice")
+def gate_results(comparison: DataFrame, gates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every gate of a pair's policy, with all failed checks listed in fixed order.
+
+    A policy belongs to the pairs that name it in ``policy``.  A gate without evidence - an absent metric or an empty slice - has a row and
+    fails, and so does one whose sides cover different cases.
+    """
+    keys = {"pair_id": "_pair", "metric": "_metric", "slice": "_slice"}
+    joined = expected_gates(pairs, gates).join(
+        comparison.withColumnsRenamed(keys),
+        (F.col("pair_id") == F.col("_pair"))
+        & (F.col("metric") == F.col("_metric"))
+        & F.col("slice").eqNullSafe(F.col("_slice")),
+        "left",
+    ).drop(*keys.values())
     coverage = (
         (F.col("baseline_errors") == 0)
         & (F.col("candidate_errors") == 0)
         & (F.col("baseline_scored") > 0)
         & (F.col("baseline_scored") == F.col("candidate_scored"))
         & (F.col("baseline_skipped") == F.col("candidate_skipped"))
+        & F.col("aligned")
     )
     threshold = _passes(F.col("candidate_mean"), F.col("threshold"))
     budget = F.col("allowed_regression")
@@ -66,8 +73,8 @@ def gate_results(comparison: DataFrame, gates: DataFrame) -> DataFrame:
     )
 
 
-def gate_cases(paired: DataFrame, gates: DataFrame) -> DataFrame:
-    """Each case of each gate with its two values and how it changed.
+def gate_cases(paired: DataFrame, gates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each case of each gate of the pair's policy with its two values and how it changed.
 
     ``paired`` carries ``slices``, so the gate scope is a membership equi-join on
     the exploded slices of the same row; no second pass over the cases.
@@ -78,10 +85,13 @@ def gate_cases(paired: DataFrame, gates: DataFrame) -> DataFrame:
             F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("slices"))
         ),
     )
+    keys = {"pair_id": "_pair", "metric": "_metric", "slice": "_slice"}
     joined = join_small(
         scoped,
-        _gate_columns(gates),
-        lambda p, g: (p["metric"] == g["_metric"]) & p["_scope"].eqNullSafe(g["_slice"]),
+        expected_gates(pairs, gates).drop("policy").withColumnsRenamed(keys),
+        lambda p, g: (p["pair_id"] == g["_pair"])
+        & (p["metric"] == g["_metric"])
+        & p["_scope"].eqNullSafe(g["_slice"]),
         salt_on="case_id",
     )
     comparable = (F.col("baseline_status") == "scored") & (
@@ -106,13 +116,14 @@ def gate_cases(paired: DataFrame, gates: DataFrame) -> DataFrame:
     )
 
 
-def decisions(results: DataFrame) -> DataFrame:
-    """A pair passes only if every gate passed."""
-    return results.groupBy("pair_id").agg(
-        F.when(F.bool_and(F.col("status") == "passed"), "passed")
+def decisions(results: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per pair: it passes only if it has gates and every gate passed."""
+    blank = pairs.select("pair_id", F.lit(None).cast("string").alias("status"))
+    return results.select("pair_id", "status").unionByName(blank).groupBy("pair_id").agg(
+        F.when(F.coalesce(F.bool_and(F.col("status") == "passed"), F.lit(False)), "passed")
         .otherwise("failed")
         .alias("status"),
-        F.count(F.lit(1)).alias("gates"),
+        F.count("status").alias("gates"),
         F.count_if(F.col("status") == "failed").alias("failed_gates"),
     )
 
@@ -166,8 +177,18 @@ def gate_triage(results: DataFrame) -> DataFrame:
     ).orderBy("pair_id", "triage_rank", "position")
 
 
+def policy_name() -> Column:
+    """The name of the policy of one suite for one pair of targets."""
+    sides = [F.concat_ws("@", f"{side}_name", f"{side}_revision") for side in ("baseline", "candidate")]
+    return F.concat_ws("|", "suite", *sides)
+
+
 def compile_policy(suite_gates: DataFrame, target_pairs: DataFrame) -> DataFrame:
-    """A suite's gates for concrete target pairs; a target is never its own baseline."""
+    """A suite's gates for concrete target pairs; a target is never its own baseline.
+
+    ``policy`` names suite and targets; pairs of runs that carry the same name are judged by
+    these gates in ``gate_results``.
+    """
     distinct = target_pairs.filter(
         ~(
             (F.col("baseline_name") == F.col("candidate_name"))
@@ -179,4 +200,4 @@ def compile_policy(suite_gates: DataFrame, target_pairs: DataFrame) -> DataFrame
         suite_gates.withColumnRenamed("suite", "_suite"),
         lambda p, g: p["suite"] == g["_suite"],
         salt_on="candidate_name",
-    ).drop("_suite")
+    ).drop("_suite").withColumn("policy", policy_name())

@@ -29,7 +29,7 @@ def comparison(v: Views) -> DataFrame:
 
 
 def results(v: Views) -> DataFrame:
-    return gates.gate_results(comparison(v), v.gates)
+    return gates.gate_results(comparison(v), v.gates, v.pairs)
 
 
 def paired(v: Views) -> DataFrame:
@@ -37,7 +37,7 @@ def paired(v: Views) -> DataFrame:
 
 
 def gate_cases(v: Views) -> DataFrame:
-    return gates.gate_cases(paired(v), v.gates)
+    return gates.gate_cases(paired(v), v.gates, v.pairs)
 
 
 def case_results(v: Views) -> DataFrame:
@@ -201,8 +201,8 @@ def _(v):
     runs = v.runs.withColumn("execution_mode", F.when(candidate, "live").otherwise(F.col("execution_mode")))
     policy = v.gates.unionByName(
         v.values(
-            "(6, 'quality.unknown', 'language/xx', 'higher_is_better', 1.0D, 0.0D)",
-            "position, metric, slice, direction, threshold, allowed_regression",
+            "('release', 6, 'quality.unknown', 'language/xx', 'higher_is_better', 1.0D, 0.0D)",
+            "policy, position, metric, slice, direction, threshold, allowed_regression",
         )
     )
     return checks.alignment_violations(v.cases, seen, runs, v.pairs, policy)
@@ -750,7 +750,69 @@ def _(v):
            count(*) AS gates, count(*) FILTER (status = 'failed') AS failed_gates FROM v_gate_results GROUP BY pair_id""",
 )
 def _(v):
-    return gates.decisions(results(v))
+    return gates.decisions(results(v), v.pairs)
+
+
+_STRICT = """
+  ('strict', 0, 'quality.exact_match', CAST(NULL AS STRING), 'higher_is_better', 0.0D, 1.0D),
+  ('strict', 1, 'quality.unknown', CAST(NULL AS STRING), 'higher_is_better', 0.0D, 1.0D),
+  ('strict', 2, 'quality.exact_match', 'language/xx', 'higher_is_better', 0.0D, 1.0D),
+  ('open', 0, 'quality.exact_match', 'source/src1', 'higher_is_better', 0.0D, 1.0D)
+"""
+_JUDGED = """
+    pairs AS (SELECT * FROM (VALUES ('p1', 'strict'), ('p2', 'open'), ('p3', 'open'), ('p4', 'none')) t(pair_id, policy)),
+    gates AS (SELECT * FROM (VALUES {gates}) t(policy, position, metric, slice, direction, threshold, allowed_regression)),
+    judged AS (
+      SELECT p.pair_id, p.policy, g.position, g.metric, g.slice, c.candidate_mean,
+             coalesce(c.baseline_errors = 0 AND c.candidate_errors = 0 AND c.baseline_scored > 0 AND c.aligned
+               AND c.baseline_scored = c.candidate_scored AND c.baseline_skipped = c.candidate_skipped, false) AS covered,
+             coalesce(c.candidate_mean >= g.threshold - 1e-12, false) AS above,
+             coalesce(c.delta >= -g.allowed_regression - 1e-12, false) AS kept
+      FROM pairs p JOIN gates g USING (policy)
+      LEFT JOIN v_comparison c ON p.pair_id IN ('p1', 'p2') AND c.metric = g.metric AND c.slice IS NOT DISTINCT FROM g.slice)""".replace(
+    "{gates}", _STRICT.replace("STRING", "VARCHAR").replace("D,", ",").replace("D)", ")")
+)
+
+
+def judged_by_policy(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Gate results of pairs under two policies, one pair without evidence and one without gates."""
+    pairs = v.values(
+        "('p1', 'baseline', 'candidate', 'strict'), ('p2', 'baseline', 'candidate', 'open'),"
+        " ('p3', 'absent-1', 'absent-2', 'open'), ('p4', 'baseline', 'candidate', 'none')",
+        "pair_id, baseline_run, candidate_run, policy",
+    )
+    policy = v.values(_STRICT, "policy, position, metric, slice, direction, threshold, allowed_regression")
+    return gates.gate_results(agg.aggregate_comparison(summary(v), pairs), policy, pairs), pairs
+
+
+@query(
+    "gate_results_by_policy",
+    f"""
+    WITH {_JUDGED}
+    SELECT pair_id, policy, position, metric, slice, round(candidate_mean, 6) AS candidate_mean,
+           concat_ws(',', CASE WHEN NOT covered THEN 'coverage' END, CASE WHEN NOT above THEN 'threshold' END,
+                     CASE WHEN NOT kept THEN 'regression' END) AS failure_codes,
+           CASE WHEN covered AND above AND kept THEN 'passed' ELSE 'failed' END AS status
+    FROM judged""",
+)
+def _(v):
+    found, _ = judged_by_policy(v)
+    return rounded(
+        found.select("pair_id", "policy", "position", "metric", "slice", "candidate_mean", comma("failure_codes"), "status"),
+        "candidate_mean",
+    )
+
+
+@query(
+    "decisions_by_policy",
+    f"""
+    WITH {_JUDGED}
+    SELECT p.pair_id, CASE WHEN count(j.pair_id) > 0 AND bool_and(covered AND above AND kept) THEN 'passed' ELSE 'failed' END AS status,
+           count(j.pair_id) AS gates, count(*) FILTER (j.pair_id IS NOT NULL AND NOT (covered AND above AND kept)) AS failed_gates
+    FROM pairs p LEFT JOIN judged j ON j.pair_id = p.pair_id GROUP BY p.pair_id""",
+)
+def _(v):
+    return gates.decisions(*judged_by_policy(v))
 
 
 @query("newly_failing", "SELECT pair_id, case_id, metric, slice FROM v_gate_cases WHERE change = 'newly_failing'")
@@ -804,7 +866,7 @@ def _(v):
         F.lit("target").alias("baseline_name"), F.col("s_nationkey").alias("baseline_revision"),
         F.lit("target").alias("candidate_name"), (F.col("s_nationkey") % 5).alias("candidate_revision"),
     ).distinct()
-    return gates.compile_policy(suite_gates, pairs)
+    return gates.compile_policy(suite_gates, pairs).drop("policy")
 
 
 @query(

@@ -239,7 +239,7 @@ def _(v):
 def _(v):
     found, cases = results(v), gate_cases(v)
     rows = evidence.decision_rows(
-        gates.decisions(found), found, gates.change_counts(cases, found), gates.newly_failing(cases), comparison(v)
+        gates.decisions(found, v.pairs), found, gates.change_counts(cases, found), gates.newly_failing(cases), comparison(v)
     )
     path = scratch_path(v.spark, "export")
     evidence.export_decision(rows, path)

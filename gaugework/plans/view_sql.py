@@ -28,7 +28,7 @@ VIEWS: dict[str, str] = {
         ) t(run_id, dataset, target, suite, execution_mode)""",
     "v_gates": "SELECT * FROM (VALUES "
     + GATE_ROWS.replace("STRING", "VARCHAR").replace("D,", ",").replace("D)", ")")
-    + ") t(position, metric, slice, direction, threshold, allowed_regression)",
+    + ") t(policy, position, metric, slice, direction, threshold, allowed_regression)",
     "v_raw_responses": """
         SELECT r.run_id, 'doc-' || d.doc_id AS case_id, d.doc_id, d.n_chars, r.cut,
                r.run_id = 'candidate' AND d.lang = 'es' AND (d.doc_id * 17) % 101 < 8 AS failed,
@@ -79,14 +79,15 @@ VIEWS: dict[str, str] = {
                b.attempted AS baseline_attempted, b.scored AS baseline_scored, b.skipped AS baseline_skipped,
                b.errors AS baseline_errors, b.mean AS baseline_mean,
                c.attempted AS candidate_attempted, c.scored AS candidate_scored, c.skipped AS candidate_skipped,
-               c.errors AS candidate_errors, c.mean AS candidate_mean, c.mean - b.mean AS delta
+               c.errors AS candidate_errors, c.mean AS candidate_mean, c.mean - b.mean AS delta,
+               b.attempted = c.attempted AS aligned
         FROM v_slice_summary b JOIN v_slice_summary c
           ON b.metric = c.metric AND b.slice IS NOT DISTINCT FROM c.slice
          AND b.run_id = 'baseline' AND c.run_id = 'candidate'""",
     "v_gate_flags": """
         SELECT g.position, g.direction, g.threshold, g.allowed_regression, c.*,
                baseline_errors = 0 AND candidate_errors = 0 AND baseline_scored > 0
-                 AND baseline_scored = candidate_scored AND baseline_skipped = candidate_skipped AS coverage_passed,
+                 AND baseline_scored = candidate_scored AND baseline_skipped = candidate_skipped AND aligned AS coverage_passed,
                coalesce(CASE WHEN direction = 'higher_is_better' THEN candidate_mean >= threshold - 1e-12
                     ELSE candidate_mean <= threshold + 1e-12 END, false) AS threshold_passed,
                coalesce(CASE WHEN direction = 'higher_is_better' THEN delta >= -allowed_regression - 1e-12

@@ -190,7 +190,7 @@ def gates_stream(
     totals = slice_summary_stream(observations)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        results = gate_results(aggregate_comparison(batch, pairs), gates)
+        results = gate_results(aggregate_comparison(batch, pairs), gates, pairs)
         results.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from gaugework.operators import aggregates, checks, gates, joins
 from gaugework.operators.scoring import score
 
-PAIRS = "pair_id STRING, baseline_run STRING, candidate_run STRING"
-GATES = "position INT, metric STRING, slice STRING, direction STRING, threshold DOUBLE, allowed_regression DOUBLE"
+PAIRS = "pair_id STRING, baseline_run STRING, candidate_run STRING, policy STRING"
+GATES = "policy STRING, position INT, metric STRING, slice STRING, direction STRING, threshold DOUBLE, allowed_regression DOUBLE"
 
 
 def compare(spark, data, policy, scorers=("exact_match", "refusal", "latency")):
     attached = spark.createDataFrame(data, ATTACHED)
-    pairs = spark.createDataFrame([("p", "base", "cand")], PAIRS)
-    gate_rows = spark.createDataFrame(policy, GATES)
+    pairs = spark.createDataFrame([("p", "base", "cand", "release")], PAIRS)
+    gate_rows = spark.createDataFrame([("release", *g) for g in policy], GATES)
     observations = score(attached, scorers)
     comparison = aggregates.aggregate_comparison(aggregates.slice_summary(observations), pairs)
-    results = gates.gate_results(comparison, gate_rows)
-    cases = gates.gate_cases(joins.pair_runs(observations, pairs), gate_rows)
+    results = gates.gate_results(comparison, gate_rows, pairs)
+    cases = gates.gate_cases(joins.pair_runs(observations, pairs), gate_rows, pairs)
     return observations, comparison, results, cases
 
 
@@ -49,7 +49,7 @@ def test_three_cases(spark):
     english = comparison.filter("metric = 'quality.exact_match' AND slice = 'language/en'").first()
     assert english.candidate_mean == 0.5 and english.baseline_mean == 1.0
     assert rows(gates.newly_failing(cases), "case_id", "slice") == [("quality-en", None), ("refusal-en", "safety/refusal")]
-    assert gates.decisions(results).first().status == "failed"
+    assert gates.decisions(results, results.select("pair_id").distinct()).first().status == "failed"
     counts = {r.position: r for r in gates.change_counts(cases, results).collect()}
     assert counts[0].newly_failing == 1 and counts[0].unchanged_passing == 2 and counts[0].incomparable == 0
 
@@ -189,6 +189,25 @@ def test_salted_join_equals_broadcast(spark):
 
 def test_gate_scope_lists_empty_slices(spark):
     cases = spark.createDataFrame([("c1", ["a/x"]), ("c2", [])], "case_id STRING, slices ARRAY<STRING>")
-    policy = spark.createDataFrame([(0, "m", None, "h", 0.0, 0.0), (1, "m", "a/x", "h", 0.0, 0.0), (2, "m", "a/y", "h", 0.0, 0.0)], GATES)
+    policy = spark.createDataFrame([("r", k, "m", s, "h", 0.0, 0.0) for k, s in enumerate([None, "a/x", "a/y"])], GATES)
     assert rows(joins.gate_scope(cases, policy), "position", "case_id") == [(0, "c1"), (0, "c2"), (1, "c1")]
     assert rows(joins.empty_scopes(cases, policy), "position", "code") == [(2, "empty_scope")]
+
+
+def test_gates_without_evidence_fail(spark):
+    policy = [
+        (0, "quality.exact_match", None, "higher_is_better", 0.0, 1.0),
+        (1, "quality.unknown", None, "higher_is_better", 0.0, 1.0),
+        (2, "quality.exact_match", "language/xx", "higher_is_better", 0.0, 1.0),
+    ]
+    _, comparison, results, _ = compare(spark, three_cases(), policy)
+    found = {r.position: r for r in results.collect()}
+    assert {k: r.status for k, r in found.items()} == {0: "passed", 1: "failed", 2: "failed"}
+    assert found[1].failure_codes == ["coverage", "threshold", "regression"]
+    pairs = spark.createDataFrame(
+        [("p", "base", "cand", "release"), ("ghost", "x", "y", "release"), ("free", "base", "cand", "other")], PAIRS
+    )
+    gate_rows = spark.createDataFrame([("release", *policy[0])], GATES)
+    judged = gates.gate_results(comparison, gate_rows, pairs)
+    assert rows(judged, "pair_id", "status") == [("ghost", "failed"), ("p", "passed")]
+    assert rows(gates.decisions(judged, pairs)) == [("free", "failed", 0, 0), ("ghost", "failed", 1, 1), ("p", "passed", 1, 0)]

@@ -83,10 +83,10 @@ def test_gates_follow_the_evidence(spark, tmp_path):
         [row("base", "c1", 1.0), row("cand", "c1", 1.0)],
         [row("base", "c2", 1.0), row("cand", "c2", 0.0)],
     ]
-    pairs = spark.createDataFrame([("p", "base", "cand")], "pair_id STRING, baseline_run STRING, candidate_run STRING")
+    pairs = spark.createDataFrame([("p", "base", "cand", "r")], "pair_id STRING, baseline_run STRING, candidate_run STRING, policy STRING")
     gates = spark.createDataFrame(
-        [(0, "m", None, "higher_is_better", 0.9, 0.0)],
-        "position INT, metric STRING, slice STRING, direction STRING, threshold DOUBLE, allowed_regression DOUBLE",
+        [("r", 0, "m", None, "higher_is_better", 0.9, 0.0)],
+        "policy STRING, position INT, metric STRING, slice STRING, direction STRING, threshold DOUBLE, allowed_regression DOUBLE",
     )
     out = str(tmp_path / "out")
     writer = streams.gates_stream(feed(spark, tmp_path, batches, ddl), pairs, gates, out, str(tmp_path / "check"))
