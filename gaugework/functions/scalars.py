@@ -19,8 +19,14 @@ DIGEST_PATTERN = r"^sha256:[0-9a-f]{64}$"
 BOUNDARY_TOLERANCE = 1e-12
 DAY_NS = 86_400 * 1_000_000_000
 
-# Sums of |value| below this bound stay exact in decimal(38, 12) for 10^12 rows.
-_DECIMAL_BOUND = 1e14
+# Ranges of |value| that are summed apart: below, from, scale (a power of two, so that
+# scaling is exact) and digits after the point.  Each keeps 17 digits of its values
+# and holds the sum of 10^10 of the largest of them.
+_SUM_RANGES = (
+    ("tiny", 0.0, 1e-6, 2.0**70, 12),
+    ("middle", 1e-6, 1e6, 1.0, 22),
+    ("large", 1e6, 1e19, 1.0, 10),
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -69,20 +75,38 @@ def at_most(value: Column, bound: Column) -> Column:
     return (value <= bound) | (F.abs(value - bound) <= BOUNDARY_TOLERANCE)
 
 
-def decimal_sum(value: Column | str) -> Column:
-    """Order-independent part of a sum of doubles (see ``exact_mean``)."""
+def exact_sums(value: Column | str) -> Column:
+    """Aggregate: decimal sums of doubles by range of size, whatever the order of the rows.
+
+    Values of 1e19 and more have no exact range; they are added as doubles.
+    """
     value = _col(value)
-    return F.sum(F.when(F.abs(value) < _DECIMAL_BOUND, value).cast("decimal(38,12)"))
+    size = F.abs(value)
+    parts = [
+        F.sum(F.when((size >= low) & (size < high), value * scale).cast(f"decimal(38,{digits})")).alias(name)
+        for name, low, high, scale, digits in _SUM_RANGES
+    ]
+    return F.struct(*parts, F.sum(F.when(size >= _SUM_RANGES[-1][2], value)).alias("huge"))
+
+
+def merged_sums(sums: str) -> Column:
+    """Aggregate: ``exact_sums`` of several groups put together."""
+    return F.struct(*[F.sum(f"{sums}.{name}").alias(name) for name in (*[r[0] for r in _SUM_RANGES], "huge")])
+
+
+def exact_total(sums: Column | str) -> Column:
+    """The sum as a double: the ranges are added from the smallest."""
+    sums = _col(sums)
+    total = F.lit(0.0)
+    for name, _, _, scale, _ in _SUM_RANGES:
+        total = total + F.coalesce(sums[name].cast("double"), F.lit(0.0)) / scale
+    return total + F.coalesce(sums["huge"], F.lit(0.0))
 
 
 def exact_mean(value: Column | str) -> Column:
-    """Mean that does not depend on row order; huge values are added as doubles."""
+    """Aggregate: a mean that does not depend on row order (see ``exact_sums``)."""
     value = _col(value)
-    huge = F.sum(F.when(F.abs(value) >= _DECIMAL_BOUND, value))
-    total = F.coalesce(decimal_sum(value).cast("double"), F.lit(0.0)) + F.coalesce(
-        huge, F.lit(0.0)
-    )
-    return F.when(F.count(value) > 0, total / F.count(value))
+    return F.when(F.count(value) > 0, exact_total(exact_sums(value)) / F.count(value))
 
 
 def estimated_units(text: Column | str) -> Column:
@@ -134,7 +158,7 @@ def metric_label(metric: Column | str, slice_: Column | str) -> Column:
     words = F.replace(
         F.element_at(F.split(_col(metric), r"[.:/]"), -1), F.lit("_"), F.lit(" ")
     )
-    label = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1 << 20))
+    label = F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
     named = F.length(F.coalesce(_col(slice_), F.lit(""))) > 0
     return F.when(named, F.concat(label, F.lit(" · "), slice_value(slice_))).otherwise(
         label
@@ -172,7 +196,13 @@ def bounded_label(c: Column | str, allowed: Sequence[str], default: str) -> Colu
     return F.when(c.isin(*allowed), c).otherwise(F.lit(default))
 
 
+def positive_duration(ns: Column | str) -> Column:
+    """A duration for sums: absent and negative readings count nothing."""
+    return F.greatest(F.coalesce(_col(ns), F.lit(0)), F.lit(0)).cast("bigint")
+
+
 def bounded_duration(ns: Column | str) -> Column:
+    """A duration for buckets, a day at most."""
     return F.least(
         F.greatest(F.coalesce(_col(ns), F.lit(0)), F.lit(0)), F.lit(DAY_NS)
     ).cast("bigint")

@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions import decimal_diff, decimal_sum
-
-_HUGE = 1e14
+from gaugework.functions import decimal_diff, exact_sums, exact_total, merged_sums
 
 
 def _partials() -> list[Column]:
@@ -19,24 +17,17 @@ def _partials() -> list[Column]:
         F.count_if(F.col("status") == "scored").alias("scored"),
         F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.count_if(F.col("status") == "error").alias("errors"),
-        decimal_sum(scored).alias("_exact"),
-        F.sum(F.when(F.abs(scored) >= _HUGE, scored)).alias("_huge"),
+        exact_sums(scored).alias("_sums"),
     ]
 
 
 def _merged() -> list[Column]:
     counts = ("attempted", "scored", "skipped", "errors")
-    return [F.sum(c).alias(c) for c in counts] + [
-        F.sum("_exact").alias("_exact"),
-        F.sum("_huge").alias("_huge"),
-    ]
+    return [F.sum(c).alias(c) for c in counts] + [merged_sums("_sums").alias("_sums")]
 
 
 def _mean() -> Column:
-    total = F.coalesce(F.col("_exact").cast("double"), F.lit(0.0)) + F.coalesce(
-        F.col("_huge"), F.lit(0.0)
-    )
-    return F.when(F.col("scored") > 0, total / F.col("scored")).alias("mean")
+    return F.when(F.col("scored") > 0, exact_total("_sums") / F.col("scored")).alias("mean")
 
 
 def metric_summary(observations: DataFrame) -> DataFrame:

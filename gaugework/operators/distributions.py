@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gaugework.functions import decimal_sum
+from gaugework.functions import exact_sums, exact_total, merged_sums
 from gaugework.operators.ordered import (
     HOT_ROWS,
     join_ranges,
@@ -61,15 +61,13 @@ def quantile_summary(
             ranks[0].alias("p50"),
             ranks[1].alias("p95"),
             F.max("_value").alias("maximum"),
-            decimal_sum("_value").alias("_exact"),
-            F.sum(F.when(F.abs("_value") >= 1e14, F.col("_value"))).alias("_huge"),
+            exact_sums("_value").alias("_sums"),
         )
     else:
         valued = rows.groupBy(*keys, "_value").agg(
             *partial,
             F.count("_value").alias("_n"),
-            decimal_sum("_value").alias("_exact"),
-            F.sum(F.when(F.abs("_value") >= 1e14, F.col("_value"))).alias("_huge"),
+            exact_sums("_value").alias("_sums"),
         )
         ranged = split_hot_groups(valued, keys, F.col("_value"), hot_rows)
         offsets = range_offsets(ranged, keys, F.col("_n"))
@@ -89,14 +87,10 @@ def quantile_summary(
             at_rank(0.5).alias("p50"),
             at_rank(0.95).alias("p95"),
             F.max("_value").alias("maximum"),
-            F.sum("_exact").alias("_exact"),
-            F.sum("_huge").alias("_huge"),
+            merged_sums("_sums").alias("_sums"),
         )
-    total = F.coalesce(F.col("_exact").cast("double"), F.lit(0.0)) + F.coalesce(
-        F.col("_huge"), F.lit(0.0)
-    )
     size = F.col("sample_count")
-    summary = summary.withColumn("mean", F.when(size > 0, total / size))
+    summary = summary.withColumn("mean", F.when(size > 0, exact_total("_sums") / size))
     suppressed = F.lit(False) if suppress_below is None else (size > 0) & (size < suppress_below)
     return summary.select(
         *keys,

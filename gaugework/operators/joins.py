@@ -102,9 +102,8 @@ _STATUS = ("error", "skipped", "scored")
 def pair_runs(observations: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both sides of every (pair, case, metric), in one shuffle.
 
-    A side without an observation is an error.  ``slices`` ride along as a key (they
-    belong to the case), and states travel as numbers, so the aggregation hashes and
-    never sorts.
+    A side without an observation, or with several, is an error.  ``slices`` belong to the
+    case: the sides' labels are put together, so differing labels never split a pair.
     """
     rows = join_small(
         observations,
@@ -113,24 +112,30 @@ def pair_runs(observations: DataFrame, pairs: DataFrame) -> DataFrame:
         salt_on="case_id",
     )
     rank = F.array_position(F.array(*[F.lit(s) for s in _STATUS]), F.col("status"))
-    keys = ["pair_id", "case_id", "metric"] + [c for c in ("slices",) if c in rows.columns]
+    keys = ["pair_id", "case_id", "metric"]
+    own = ["slices"] if "slices" in rows.columns else []
+    labels = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("slices")))).alias(c) for c in own]
+    once = F.count_if(F.col("role") == "baseline"), F.count_if(F.col("role") == "candidate")
     sides = [
         F.max(F.when(F.col("role") == role, value)).alias(f"_{role}_{name}")
         for role in ("baseline", "candidate")
         for name, value in (("rank", rank), ("value", F.col("value")))
     ]
-    paired = rows.groupBy(*keys).agg(*sides)
+    paired = rows.groupBy(*keys).agg(
+        *sides, *labels, *[c.alias(f"_{role}_n") for c, role in zip(once, ("baseline", "candidate"))]
+    )
 
     def state(role: str):
-        place = F.coalesce(F.col(f"_{role}_rank"), F.lit(1)).cast("int")
+        place = F.when(F.col(f"_{role}_n") == 1, F.col(f"_{role}_rank")).otherwise(F.lit(1)).cast("int")
         return F.element_at(F.array(*[F.lit(s) for s in _STATUS]), place).alias(f"{role}_status")
 
     return paired.select(
         *keys,
+        *own,
         state("baseline"),
-        F.col("_baseline_value").alias("baseline_value"),
+        F.when(F.col("_baseline_n") == 1, F.col("_baseline_value")).alias("baseline_value"),
         state("candidate"),
-        F.col("_candidate_value").alias("candidate_value"),
+        F.when(F.col("_candidate_n") == 1, F.col("_candidate_value")).alias("candidate_value"),
     )
 
 

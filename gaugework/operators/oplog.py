@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.functions import bounded_duration, bounded_label, retry_delay, severity, status_class
+from gaugework.functions import bounded_duration, bounded_label, positive_duration, retry_delay, severity, status_class
 from gaugework.operators.ordered import with_previous
 
 # Histogram borders in seconds, label vocabularies, legal transitions.
@@ -59,14 +59,14 @@ def duration_histogram(
 ) -> DataFrame:
     """Cumulative le-buckets with +Inf, sum and count, one row per key and border."""
     nanos = bounded_duration(duration_ns)
-    rows = events.select(*keys, nanos.alias("_ns"))
+    rows = events.select(*keys, nanos.alias("_ns"), positive_duration(duration_ns).alias("_whole"))
     wide = rows.groupBy(*keys).agg(
         *[
             F.count_if(F.col("_ns") <= int(round(b * 1_000_000_000))).alias(f"_b{i}")
             for i, b in enumerate(buckets)
         ],
         F.count(F.lit(1)).alias("count"),
-        F.sum(F.col("_ns").cast("decimal(38,0)")).alias("_sum"),
+        F.sum(F.col("_whole").cast("decimal(38,0)")).alias("_sum"),
     )
     borders = [(_le(b), F.col(f"_b{i}")) for i, b in enumerate(buckets)] + [("+Inf", F.col("count"))]
     return wide.select(
@@ -81,7 +81,7 @@ def job_results(events: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """Completed jobs by kind and outcome with their total duration, and severity."""
     kind = bounded_label("job_kind", kinds, "unknown")
     return (
-        events.select(kind.alias("job_kind"), "outcome", bounded_duration("duration_ns").alias("_ns"))
+        events.select(kind.alias("job_kind"), "outcome", positive_duration("duration_ns").alias("_ns"))
         .groupBy("job_kind", "outcome")
         .agg(
             F.count(F.lit(1)).alias("jobs"),
@@ -92,12 +92,16 @@ def job_results(events: DataFrame, kinds: Sequence[str]) -> DataFrame:
 
 
 def recovery_results(sweeps: DataFrame) -> DataFrame:
-    """Recovery sweeps by outcome, and how many jobs they brought back."""
-    found = F.least(F.greatest(F.coalesce("recovered_jobs", F.lit(0)), F.lit(0)), F.lit(MAX_RECOVERED))
+    """Recovery sweeps by outcome, how many jobs they brought back, and sweeps above a counter's limit."""
+    found = F.greatest(F.coalesce("recovered_jobs", F.lit(0)), F.lit(0))
     return (
         sweeps.select(found.cast("bigint").alias("_n"))
         .groupBy(F.when(F.col("_n") > 0, "recovered").otherwise("none").alias("outcome"))
-        .agg(F.count(F.lit(1)).alias("sweeps"), F.sum("_n").alias("recovered_jobs"))
+        .agg(
+            F.count(F.lit(1)).alias("sweeps"),
+            F.sum("_n").alias("recovered_jobs"),
+            F.count_if(F.col("_n") > MAX_RECOVERED).alias("above_limit"),
+        )
     )
 
 
@@ -222,7 +226,9 @@ def _known_trace(c: Column) -> Column:
 
 
 def trace_rollup(spans: DataFrame) -> DataFrame:
-    """Per trace: spans, errors, duration, and the size of the linked submission trace.
+    """Per trace and submission trace that it links to: spans, errors, duration, and the link's size.
+
+    A trace without links has one row.
 
     ``spans``: ``trace_id, span_id, outcome, duration_ms, traceparent``.  Malformed
     or all-zero ids and links are ignored.
@@ -239,11 +245,12 @@ def trace_rollup(spans: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("spans"),
         F.count_if(F.col("outcome") == "error").alias("errors"),
         F.max("duration_ms").alias("duration_ms"),
-        F.min("_link").alias("linked_trace_id"),
     )
-    linked = rolled.select(
+    # Only traces with links meet the sizes of others, so absent links are no join key.
+    links = valid.where("_link IS NOT NULL").select("trace_id", F.col("_link").alias("linked_trace_id")).distinct()
+    sizes = rolled.select(
         F.col("trace_id").alias("linked_trace_id"), F.col("spans").alias("linked_spans"), F.col("errors").alias("linked_errors")
     )
-    return rolled.join(linked, "linked_trace_id", "left").select(
+    return rolled.join(links.join(sizes, "linked_trace_id", "left"), "trace_id", "left").select(
         "trace_id", "spans", "errors", "duration_ms", "linked_trace_id", "linked_spans", "linked_errors"
     )

@@ -257,6 +257,7 @@ def sql_evidence(
     audited: DataFrame,
     results: DataFrame,
     broken: DataFrame,
+    expected_rows: DataFrame | None = None,
 ) -> DataFrame:
     """One wide row per (run, case) with every fact the eight metrics need.
 
@@ -264,6 +265,9 @@ def sql_evidence(
     ``audited``: executions after ``sql_text_audit`` with ``succeeded, columns``;
     ``results``: ``run_id, case_id, side, row_idx, row_key`` of the last execution
     against the expectation; ``broken``: ``case_id`` of broken references.
+    ``expected_rows``: ``run_id, case_id`` of every case that a run has to answer (cases
+    and runs joined on their dataset); a case without an output gets a row that says so.
+    Without it the outputs are taken to be complete.
     """
     keys = ["run_id", "case_id"]
     policy = audited.groupBy(*keys).agg(
@@ -280,15 +284,18 @@ def sql_evidence(
         F.coalesce("expectation_valid", F.lit(False)).alias("expectation_valid"),
     )
     marked = broken.select("case_id").distinct().withColumn("broken", F.lit(True))
+    answers = outputs.withColumn("answered", F.lit(True))
+    if expected_rows is not None:
+        answers = expected_rows.select(*keys).join(answers, keys, "left")
     wide = (
-        outputs.join(policy, keys, "left")
+        answers.join(policy, keys, "left")
         .join(compared, keys, "left")
         .join(expected, "case_id")
         .join(marked, "case_id", "left")
     )
     ordered = F.col("result_order") == "ordered"
     same = F.when(ordered, F.col("ordered_equal")).otherwise(F.col("unordered_equal"))
-    return wide.select(
+    return wide.withColumn("answered", F.coalesce("answered", F.lit(False))).select(
         "*",
         _output_valid().alias("output_valid"),
         (F.col("executions") > 0).alias("has_sql"),
@@ -360,6 +367,6 @@ def sql_observations(evidence: DataFrame) -> DataFrame:
     unusable = F.array(
         *[observation(EVALUATOR, m, "error", error="invalid_expectation") for m in SQL_METRICS]
     )
-    return evidence.select(
-        "run_id", "case_id", F.inline(F.when(col("expectation_valid"), found).otherwise(unusable))
-    )
+    missing = F.array(*[observation(EVALUATOR, m, "error", error="missing_output") for m in SQL_METRICS])
+    judged = F.when(~col("expectation_valid"), unusable).when(~col("answered"), missing).otherwise(found)
+    return evidence.select("run_id", "case_id", F.inline(judged))

@@ -342,8 +342,9 @@ def _(v):
 @query(
     "recovery_results",
     """
-    SELECT CASE WHEN n > 0 THEN 'recovered' ELSE 'none' END AS outcome, count(*) AS sweeps, CAST(sum(n) AS BIGINT) AS recovered_jobs
-    FROM (SELECT least(greatest(k - 20, 0) * 200, 10000) AS n FROM v_log) GROUP BY 1""",
+    SELECT CASE WHEN n > 0 THEN 'recovered' ELSE 'none' END AS outcome, count(*) AS sweeps, CAST(sum(n) AS BIGINT) AS recovered_jobs,
+           count(*) FILTER (n > 10000) AS above_limit
+    FROM (SELECT greatest(k - 20, 0) * 200 AS n FROM v_log) GROUP BY 1""",
 )
 def _(v):
     return oplog.recovery_results(v.log_events.select(((F.col("k") - 20) * 200).alias("recovered_jobs")))
@@ -437,10 +438,11 @@ def _(v):
                       CASE WHEN route = 'error' THEN 'error' ELSE 'ok' END AS outcome, duration_ns // 1000000 AS duration_ms,
                       CASE WHEN k % 4 = 0 THEN md5('t' || ((user_id + 1) % 10) || '-' || (event_id // 50)) END AS link
                FROM v_log),
-         r AS (SELECT trace_id, count(*) AS spans, count(*) FILTER (outcome = 'error') AS errors, max(duration_ms) AS duration_ms, min(link) AS linked_trace_id
-               FROM s WHERE trace_id IS NOT NULL GROUP BY trace_id)
-    SELECT r.trace_id, r.spans, r.errors, r.duration_ms, r.linked_trace_id, l.spans AS linked_spans, l.errors AS linked_errors
-    FROM r LEFT JOIN r l ON l.trace_id = r.linked_trace_id""",
+         r AS (SELECT trace_id, count(*) AS spans, count(*) FILTER (outcome = 'error') AS errors, max(duration_ms) AS duration_ms
+               FROM s WHERE trace_id IS NOT NULL GROUP BY trace_id),
+         k AS (SELECT DISTINCT trace_id, link FROM s WHERE trace_id IS NOT NULL AND link IS NOT NULL)
+    SELECT r.trace_id, r.spans, r.errors, r.duration_ms, k.link AS linked_trace_id, l.spans AS linked_spans, l.errors AS linked_errors
+    FROM r LEFT JOIN k ON k.trace_id = r.trace_id LEFT JOIN r l ON l.trace_id = k.link""",
 )
 def _(v):
     user, block = F.col("user_id"), F.floor(F.col("event_id") / 50)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,17 +58,29 @@ def publish_once(
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256, records) of every file below a path."""
+    """(name, bytes, sha256, records) of every file below a path, named by its path below it.
+
+    A file's content passes through one row, which Spark limits to 2 GB a file.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+    def below(full: Column) -> Column:
+        # Readers write file:/ and file:/// for the same place.
+        one_way = F.regexp_replace(full, "^([a-z0-9]+):/+", "$1:/")
+        start = len(re.sub("^([a-z0-9]+):/+", r"\1:/", root.rstrip("/"))) + 2
+        return F.url_decode(F.replace(F.substr(one_way, F.lit(start)), F.lit("+"), F.lit("%2B")))
+
     contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     hashed = contents.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
+        below(F.col("path")).alias("name"),
         F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )
     lines = (
         spark.read.option("recursiveFileLookup", True).text(path)
         .filter(F.trim("value") != "")
-        .groupBy(F.col("_metadata.file_name").alias("name"))
+        .groupBy(below(F.col("_metadata.file_path")).alias("name"))
         .agg(F.count(F.lit(1)).alias("records"))
     )
     return hashed.join(lines, "name", "left").select(

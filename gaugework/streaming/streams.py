@@ -18,7 +18,7 @@ from pyspark.sql.streaming import (
 )
 
 from gaugework.operators.oplog import DURATION_BUCKETS, LEGAL_TRANSITIONS
-from gaugework.functions import bounded_duration, status_class
+from gaugework.functions import bounded_duration, positive_duration, status_class
 from gaugework.session import ROCKSDB_PROVIDER, scratch_path
 
 
@@ -42,7 +42,7 @@ def request_metrics_stream(
     return grouped.agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("status") >= 400).alias("errors"),
-        F.sum(nanos.cast("decimal(38,0)")).cast("bigint").alias("sum_ns"),
+        F.sum(positive_duration("duration_ns").cast("decimal(38,0)")).cast("bigint").alias("sum_ns"),
         *borders,
     ).select(
         F.col("w.start").alias("window_start"), "route", "status_class", "requests", "errors", "sum_ns",

@@ -136,3 +136,20 @@ def test_exact_mean_ignores_order(spark, values, random):
     ]
     assert means[0] == means[1]
     assert means[0] == pytest.approx(sum(values) / len(values), abs=1e-6)
+
+
+def test_means_of_any_size(spark):
+    """Values from 1e-18 to 1e18 in several orders, against exact fractions."""
+    import random
+    from fractions import Fraction
+
+    values = [1e-18, 3e-18, 1e-13, 3e-13, 2.5e-7, 0.1, 0.2, 123.456, 9.99e5, 1e6, 3.3e9, 1e14, 1.5e17, 1e18, -1e18, -1e14, -2.25e17]
+    for chosen in (values, values[:4], values[:8], values[8:], [1e-13, 3e-13]):
+        want = float(sum(map(Fraction, chosen)) / len(chosen))
+        found = set()
+        for seed in range(3):
+            mixed = random.Random(seed).sample(chosen, len(chosen))
+            frame = spark.createDataFrame([(x,) for x in mixed], "x DOUBLE").repartition(3)
+            found.add(frame.agg(fn.exact_mean("x").alias("m")).first().m)
+        assert len(found) == 1
+        assert found.pop() == pytest.approx(want, rel=1e-12)

@@ -211,3 +211,14 @@ def test_gates_without_evidence_fail(spark):
     judged = gates.gate_results(comparison, gate_rows, pairs)
     assert rows(judged, "pair_id", "status") == [("ghost", "failed"), ("p", "passed")]
     assert rows(gates.decisions(judged, pairs)) == [("free", "failed", 0, 0), ("ghost", "failed", 1, 1), ("p", "passed", 1, 0)]
+
+
+def test_pairs_with_differing_labels_and_repeats(spark):
+    ddl = "run_id STRING, case_id STRING, slices ARRAY<STRING>, metric STRING, status STRING, value DOUBLE"
+    data = [
+        ("base", "a", ["x"], "m", "scored", 1.0), ("cand", "a", ["x", "y"], "m", "scored", 0.0),
+        ("base", "b", ["x"], "m", "scored", 1.0), ("cand", "b", ["x"], "m", "scored", 1.0), ("cand", "b", ["x"], "m", "error", None),
+    ]
+    pairs = spark.createDataFrame([("p", "base", "cand", "release")], PAIRS)
+    found = rows(joins.pair_runs(spark.createDataFrame(data, ddl), pairs), "case_id", "slices", "baseline_status", "candidate_status", "candidate_value")
+    assert found == [("a", ["x", "y"], "scored", "scored", 0.0), ("b", ["x"], "scored", "error", None)]

@@ -233,3 +233,11 @@ def test_names_of_audited_columns_and_map_keys(spark):
     assert rows(publication.publication_audit(df, "id", ["prompt"])) == [
         ("1", "extra", "denied key"), ("1", "prompt", "denied key"), ("2", "prompt", "denied key"),
     ]
+
+
+def test_manifest_of_equal_names_in_folders(spark, tmp_path):
+    for folder, lines in (("k=1", ["a"]), ("k=2", ["a", "b"])):
+        (tmp_path / "out" / folder).mkdir(parents=True)
+        write(tmp_path / "out" / folder / "part-0 +x.txt", *lines)
+    found = {r.name: (r.bytes, r.records) for r in evidence.file_manifest(spark, str(tmp_path / "out")).collect()}
+    assert found == {"k=1/part-0 +x.txt": (2, 1), "k=2/part-0 +x.txt": (4, 2)}

@@ -192,3 +192,25 @@ def test_sql_metrics(judged):
     assert judged["bad", "c", "interaction.clarification_correct"] == ("scored", 0.0, "clarification_mismatch")
     assert judged["bad", "r", "interaction.decision_correct"] == ("scored", 0.0, "decision_mismatch")
     assert judged["bad", "r", "sql.read_only_policy"] == ("scored", 0.0, "invalid_target_output")
+
+
+def test_cases_without_an_output_are_errors(spark):
+    expectations = spark.createDataFrame(
+        [("a", "query", ["x"], "ordered", None, True), ("b", "refusal", None, None, None, True)],
+        "case_id STRING, behavior STRING, expected_columns ARRAY<STRING>, result_order STRING, accepted_clarification_codes ARRAY<STRING>, expectation_valid BOOLEAN",
+    )
+    outputs = spark.createDataFrame(
+        [("r", "b", "refusal", "refused", None)],
+        "run_id STRING, case_id STRING, kind STRING, outcome STRING, clarification_code STRING",
+    )
+    executions = spark.createDataFrame(
+        [], "run_id STRING, case_id STRING, execution_idx INT, sql STRING, succeeded BOOLEAN, columns ARRAY<STRING>"
+    )
+    results = spark.createDataFrame([], "run_id STRING, case_id STRING, side STRING, row_idx INT, row_key STRING")
+    wanted = spark.createDataFrame([("r", "a"), ("r", "b")], "run_id STRING, case_id STRING")
+    evidence = sqlscore.sql_evidence(
+        expectations, outputs, sqltext.sql_text_audit(executions), results, spark.createDataFrame([], "case_id STRING"), wanted
+    )
+    found = rows(sqlscore.sql_observations(evidence), "case_id", "status", "error_code")
+    assert found.count(("a", "error", "missing_output")) == 8
+    assert sum(r[0] == "b" and r[1] != "error" for r in found) == 8
