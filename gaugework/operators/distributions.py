@@ -12,7 +12,6 @@ from gaugework.functions import exact_sums, exact_total, merged_sums
 from gaugework.operators.ordered import (
     HOT_ROWS,
     join_ranges,
-    needs_ranges,
     range_offsets,
     split_hot_groups,
 )
@@ -35,8 +34,7 @@ def quantile_summary(
     Exact form: equal values collapse into one counted row (combined before the
     shuffle), groups with very many distinct values are cut into value ranges, and
     the value at rank ceil(p * n) is read off running counts.  No group is ever
-    held in memory.  A small input uses the built-in nearest-rank aggregate, and
-    ``approx=True`` the mergeable sketch.
+    held in memory.  ``approx=True`` reads the values off a mergeable sketch.
     ``counts`` adds conditional row counts computed in the same pass.
     """
     measured = (F.col(value) if isinstance(value, str) else value).cast("double")
@@ -46,14 +44,9 @@ def quantile_summary(
         for name, c in extra.items()
     ]
     rows = df.withColumn("_value", measured)
-    plain = not approx and not needs_ranges(df, hot_rows)
-    if approx or plain:
-        if approx:
-            points = F.percentile_approx("_value", [0.5, 0.95], 10_000)
-            ranks = [F.element_at(points, i) for i in (1, 2)]
-        else:
-            within = "within group (order by _value)"
-            ranks = [F.expr(f"percentile_disc({p}) {within}") for p in (0.5, 0.95)]
+    if approx:
+        points = F.percentile_approx("_value", [0.5, 0.95], 10_000)
+        ranks = [F.element_at(points, i) for i in (1, 2)]
         summary = rows.groupBy(*keys).agg(
             *partial,
             F.count("_value").alias("sample_count"),

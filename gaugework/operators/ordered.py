@@ -4,8 +4,9 @@ A plain window puts one whole group into one task.  Groups above a row limit are
 cut here into value ranges (from a mergeable quantile sketch of the leading order
 column); windows then run per (group, range) and small per-range totals carry
 ranks, running sums and previous rows over the range borders.  Results are exact:
-the sketch only chooses where to cut.  When the whole input is small, or the caller
-passes ``hot_rows=None`` because groups are known to be short, plain windows run.
+the sketch only chooses where to cut.  Inputs of any size take this plan; without a
+hot group the runtime re-plan drops its joins.  A caller who knows that groups are
+short may pass ``hot_rows=None`` for a plain window.
 """
 
 from __future__ import annotations
@@ -16,20 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gaugework.session import small_input
-
 HOT_ROWS = 4_000_000
 RANGES = 256
 _SALTS = 64
 
 
-def needs_ranges(df: DataFrame, hot_rows: int | None) -> bool:
-    """Explicit limits other than the default are always honoured."""
-    if hot_rows is None:
-        return False
-    return hot_rows != HOT_ROWS or not small_input(df)
-
-
 def split_hot_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -120,7 +112,7 @@ def ranked(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add the row number within ``keys``; ``lead`` must agree with ``order``."""
-    if not needs_ranges(df, hot_rows):
+    if hot_rows is None:
         plain = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(plain).cast("bigint"))
     ranged = split_hot_groups(df, keys, lead, hot_rows)
@@ -141,7 +133,7 @@ def with_previous(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add ``_prev_<c>`` for each carried column: its value in the previous row."""
-    if not needs_ranges(df, hot_rows):
+    if hot_rows is None:
         plain = W.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lag(c).over(plain).alias(f"_prev_{c}") for c in carried])
     ranged = split_hot_groups(df, keys, lead, hot_rows)

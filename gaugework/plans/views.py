@@ -68,9 +68,8 @@ class Views:
     def cases(self) -> DataFrame:
         toxic = F.coalesce("toxic", F.lit(0)) == 1
         return self.labelled.select(
-            # A column rather than a literal, as in a stored table, so that joins on the
-            # dataset stay equi-joins.
-            F.concat(F.lit("documents"), F.substring("lang", 1, 0)).alias("dataset_name"),
+            # As the file reader does it: no plain literal, so that joins stay joins on a key.
+            F.when(F.col("doc_id").isNotNull(), F.lit("documents")).alias("dataset_name"),
             F.lit(1).alias("dataset_revision"),
             F.concat(F.lit("doc-"), F.col("doc_id")).alias("case_id"),
             F.to_json(F.struct("text")).alias("input"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other call uses."""
-    token = spark.range(1).select(F.expr("uuid()")).first()[0]
-    return f"{shared_folder(spark)}/{label}-{token}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def known_size(df: DataFrame) -> int | None:
@@ -65,10 +65,6 @@ def known_size(df: DataFrame) -> int | None:
         return None
 
 
-# Below this many stored bytes no group can be too large for one task.
-SMALL_INPUT_BYTES = 256 << 20
-
-
 def input_size(df: DataFrame) -> int | None:
     """Stored bytes of all tables the plan reads (estimates of joins multiply; these add)."""
     try:
@@ -80,15 +76,6 @@ def input_size(df: DataFrame) -> int | None:
         return None
 
 
-def small_input(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    """Whether the plan reads little enough for the plain form of an operator.
-
-    Only chooses between plans with the same result; unknown sizes count as large.
-    """
-    size = input_size(df)
-    return size is not None and 0 <= size <= limit
-
-
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread rows of a table that fits one read task over all cores.
 

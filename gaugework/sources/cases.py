@@ -138,8 +138,9 @@ def split_cases(
         F.min_by(F.struct(*CASE_COLUMNS[1:]), place).alias("_case")
     )
     cases = first.select(
-        F.lit(name).alias("dataset_name"),
-        F.lit(revision).alias("dataset_revision"),
+        # Not plain literals: joins on the dataset must stay joins on a key.
+        F.when(F.col("case_id").isNotNull(), F.lit(name)).alias("dataset_name"),
+        F.when(F.col("case_id").isNotNull(), F.lit(revision)).alias("dataset_revision"),
         "case_id",
         "_case.*",
     )

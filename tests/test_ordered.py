@@ -40,10 +40,7 @@ def test_previous_rows_over_ranges(spark):
         assert rows(got) == rows(want)
 
 
-def test_large_inputs_use_ranges(spark, monkeypatch):
-    from gaugework.operators import ordered
-
-    monkeypatch.setattr(ordered, "small_input", lambda df: False)
+def test_inputs_of_any_size_use_ranges(spark):
     df = skewed(spark)
     plan = ranked(df, ["k"], F.col("t"), [F.col("t"), F.col("i")])
     assert "_range" in plan._jdf.queryExecution().optimizedPlan().toString()

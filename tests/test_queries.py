@@ -14,20 +14,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-# Run only with ALL_QUERIES=1: further metrics of one plan, forced variants of tested
-# operators, file round trips and streams, which have tests of their own.
-LONG = {
-    "clarification_correct", "unsafe_query_rejection", "parse_valid", "execution_success", "columns_scores",
-    "result_set_scores", "quantile_summary_ranges", "newest_first_ranges", "run_trend_ranges",
-    "lifecycle_violations_ranges", "case_round_trip", "file_manifest", "export_decision", "pandas_scorer",
-    "decision_digest", "run_digest", "suite_digest", "changed_content", "accepted_cases", "list_runs", "list_jobs",
-    "list_targets", "list_suites", "list_datasets", "claim_page", "job_attempt_history", "first_occurrence",
-    "request_metrics_stream", "run_metrics_stream", "first_submissions_stream", "lifecycle_stream",
-    "lease_watch_stream", "gates_stream", "gate_triage", "newly_failing", "decisions", "case_review",
-    "canonical_order", "change_counts", "gate_evidence", "exact_match_scores", "refusal_scores", "latency_scores",
-    "union_scorers", "metric_summary", "case_status_counts", "failure_breakdown", "usage_totals", "publication_audit_pages",
-}
-CHOSEN = sorted(n for n in catalog.QUERIES if os.environ.get("ALL_QUERIES") or n not in LONG)
+CHOSEN = sorted(catalog.QUERIES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test data is not present")
 
@@ -69,4 +56,3 @@ def test_query(spark, duck, name):
 
 def test_names_are_unique_and_paired():
     assert set(catalog.ORACLES) == set(catalog.QUERIES)
-    assert set(catalog.QUERIES) >= LONG

@@ -241,3 +241,20 @@ def test_manifest_of_equal_names_in_folders(spark, tmp_path):
         write(tmp_path / "out" / folder / "part-0 +x.txt", *lines)
     found = {r.name: (r.bytes, r.records) for r in evidence.file_manifest(spark, str(tmp_path / "out")).collect()}
     assert found == {"k=1/part-0 +x.txt": (2, 1), "k=2/part-0 +x.txt": (4, 2)}
+
+
+def test_cases_from_files_join_runs_on_a_key(spark, tmp_path):
+    lines = [json.dumps({"case_id": f"c{k}", "input": {"q": "x"}, "expected": "a", "slices": ["a/x"]}) for k in range(3)]
+    cases, _ = src.read_cases(spark, write(tmp_path / "cases.jsonl", *lines), "d", 2)
+    runs = spark.createDataFrame([("r1", "d", 2), ("r2", "d", 2), ("r3", "d", 1)], "run_id STRING, dataset_name STRING, dataset_revision INT")
+    answers = spark.createDataFrame(
+        [], "run_id STRING, case_id STRING, output STRING, outcome STRING, refusal_code STRING, input_units BIGINT, "
+        "output_units BIGINT, latency_ms DOUBLE, failure_code STRING, retryable BOOLEAN",
+    )
+    attached = joins.attach_responses(cases, answers, runs)
+    assert rows(attached, "run_id", "case_id") == [(r, f"c{k}") for r in ("r1", "r2") for k in range(3)]
+    for threshold in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        plan = joins.attach_responses(cases, answers, runs)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
