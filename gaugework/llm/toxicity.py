@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 5000
+SAMPLE_ROWS = 4000
 WINDOW, STEP = 64, 48
 HIDDEN, POOL, EMBED = 6, 8, 4
 BUCKETS = 1 << 18
@@ -44,46 +44,67 @@ class Spelling:
     def __init__(self, words: list[str]):
         words = [w.strip(EDGES) for w in words]
         points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32)
-        length = np.array([len(w) + 2 for w in words], np.int64)
         self.words = len(words)
-        self.start = np.cumsum(length) - length
-        self.owner = np.repeat(np.arange(len(words)), length)
+        self.length = np.array([len(w) + 2 for w in words], np.int64)
+        start = np.cumsum(self.length) - self.length
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), self.length)
         code = _scramble(points)
-        grams, owners = [], []
+        # Per n: the buckets of all n-grams, word after word, and their number in each word.
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         rolling = code
         for n in range(2, max(GRAMS) + 1):
             if len(code) < n:
                 break
             rolling = _scramble(rolling[:-1] ^ (code[n - 1 :] >> np.uint64(n)))
-            inside = self.owner[: len(rolling)] == self.owner[n - 1 :]
             if n in GRAMS:
-                grams.append((rolling[inside] % np.uint64(BUCKETS)).astype(np.int64))
-                owners.append(self.owner[: len(rolling)][inside])
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-        self.gram_owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        place = (np.arange(len(code)) - self.start[self.owner] + 1).astype(np.uint64) if len(code) else code
+                inside = owner[: len(rolling)] == owner[n - 1 :]
+                buckets = (rolling[inside] % np.uint64(BUCKETS)).astype(np.int32)
+                self.grams.append((buckets, np.maximum(self.length - n + 1, 0)))
         whole = np.zeros(len(words), np.uint64)
         if len(code):
-            whole = np.add.reduceat(_scramble(code ^ (place << np.uint64(40))), self.start)
-        self.word = (_scramble(whole) % np.uint64(BUCKETS)).astype(np.int64)
-        self.char = (code % np.uint64(CHAR_ROWS)).astype(np.int64)
-        self.length = length
+            place = (np.arange(len(code)) - start[owner] + 1).astype(np.uint64)
+            whole = np.add.reduceat(_scramble(code ^ (place << np.uint64(40))), start)
+        self.word = (_scramble(whole) % np.uint64(BUCKETS)).astype(np.int32)
+        self.char = (code % np.uint64(CHAR_ROWS)).astype(np.uint8)
 
     def signals(self, gram_signal: np.ndarray, word_signal: np.ndarray) -> np.ndarray:
         """Word signal and the largest, smallest and mean signal of its n-grams."""
         out = np.zeros((self.words, 4), np.float32)
         out[:, 0] = word_signal[self.word]
-        value = gram_signal[self.gram]
-        np.maximum.at(out[:, 1], self.gram_owner, value)
-        np.minimum.at(out[:, 2], self.gram_owner, value)
-        count = np.maximum(np.bincount(self.gram_owner, minlength=self.words), 1)
-        out[:, 3] = np.bincount(self.gram_owner, value, minlength=self.words) / count
+        total, count = np.zeros(self.words), np.zeros(self.words)
+        for buckets, times in self.grams:
+            owner, value = np.repeat(np.arange(self.words, dtype=np.int32), times), gram_signal[buckets]
+            np.maximum.at(out[:, 1], owner, value)
+            np.minimum.at(out[:, 2], owner, value)
+            total += np.bincount(owner, value, minlength=self.words)
+            count += times
+        out[:, 3] = total / np.maximum(count, 1)
         return out
 
-    def characters(self) -> np.ndarray:
-        """Share of each character row in each word."""
-        flat = np.bincount(self.owner * CHAR_ROWS + self.char, minlength=self.words * CHAR_ROWS)
-        return (flat.reshape(self.words, CHAR_ROWS) / self.length[:, None]).astype(np.float32)
+
+def _slices(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of several slices of a flat array, one slice after the other."""
+    begin = np.cumsum(count) - count
+    return np.repeat(start - begin, count) + np.arange(int(count.sum()))
+
+
+class Characters:
+    """Share of each character row in words, made when asked for."""
+
+    def __init__(self, parts: list[Spelling]):
+        empty = [np.zeros(0, np.uint8)]
+        self.char = np.concatenate(empty + [p.char for p in parts])
+        self.length = np.concatenate([np.zeros(1, np.int64)] + [p.length for p in parts])  # word 0: the empty place
+        self.start = np.cumsum(self.length) - self.length
+
+    def rows(self, words: np.ndarray) -> np.ndarray:
+        distinct, place = np.unique(words, return_inverse=True)
+        length = self.length[distinct]
+        owner = np.repeat(np.arange(len(distinct)), length)
+        row = self.char[_slices(self.start[distinct], length)]
+        flat = np.bincount(owner * CHAR_ROWS + row, minlength=len(distinct) * CHAR_ROWS)
+        share = flat.reshape(-1, CHAR_ROWS) / np.maximum(length, 1)[:, None]
+        return share.astype(np.float32)[place]
 
 
 class Numbers(dict):
@@ -238,9 +259,8 @@ class Scorer:
     def _learn(self, words: list[str]) -> None:
         for k in range(0, len(words), 50_000):
             spelled = Spelling(words[k : k + 50_000])
-            x = self.network.inputs(
-                spelled.signals(self.gram_signal, self.word_signal), spelled.word % WORD_ROWS, spelled.characters()
-            )
+            chars = Characters([spelled]).rows(np.arange(1, spelled.words + 1))
+            x = self.network.inputs(spelled.signals(self.gram_signal, self.word_signal), spelled.word % WORD_ROWS, chars)
             p = self.network.params
             self.forth.append((x @ p["in_f"] + p["base_f"]).astype(np.float32))
             self.back.append((x @ p["in_b"] + p["base_b"]).astype(np.float32))
@@ -319,26 +339,25 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 3) -
         return scorer
     number = Numbers()
     rows = [np.array(list(map(number.__getitem__, t.lower().split())), np.int64) for t in texts]
-    spelled = Spelling(number.new)
-    order = np.argsort(spelled.gram_owner, kind="stable")
-    gram, gram_start = spelled.gram[order], np.r_[0, np.cumsum(np.bincount(spelled.gram_owner, minlength=spelled.words))]
-    distinct = [np.unique(r) - 1 for r in rows]
-    words_in = [np.unique(spelled.word[d]) for d in distinct]
-    grams_in = [
-        np.unique(np.concatenate([gram[gram_start[w] : gram_start[w + 1]] for w in d.tolist()] or [gram[:0]])) for d in distinct
-    ]
+    parts = [Spelling(number.new[k : k + 50_000]) for k in range(0, len(number.new), 50_000)]
+    del number
+    word_bucket = np.concatenate([np.zeros(1, np.int32)] + [p.word for p in parts])
+    words_in = [np.unique(word_bucket[r]) for r in rows]
+    grams_in = _grams_of(rows, parts)
     # The network learns from signals that a text's own label had no part in.
     fold = np.arange(len(rows)) % FOLDS
     signal = []
     scorer.gram_signal, scorer.word_signal = empty.copy(), empty.copy()
     for k in range(FOLDS):
         others = np.flatnonzero(fold != k)
-        tables = [_signal([p[i] for i in others], label[others]) for p in (grams_in, words_in)]
+        tables = [_signal([held[i] for i in others], label[others]) for held in (grams_in, words_in)]
         scorer.gram_signal += tables[0] / FOLDS
         scorer.word_signal += tables[1] / FOLDS
-        signal.append(np.vstack([np.zeros((1, 4), np.float32), spelled.signals(*tables)]))
-    word_row = np.r_[0, spelled.word % WORD_ROWS]
-    chars = np.vstack([np.zeros((1, CHAR_ROWS), np.float32), spelled.characters()])
+        signal.append(np.vstack([np.zeros((1, 4), np.float32), *[p.signals(*tables) for p in parts]]))
+    del grams_in, words_in
+    chars = Characters(parts)
+    word_row = word_bucket % WORD_ROWS
+    word_row[0] = 0
     grid, target, of_fold = _training_windows(rows, label, signal, fold, seed)
 
     def inputs(words: np.ndarray, fold: np.ndarray) -> np.ndarray:
@@ -347,13 +366,29 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 3) -
         place = np.concatenate([np.flatnonzero(np.broadcast_to(fold == k, words.shape).ravel()) for k in range(FOLDS)])
         ordered = np.empty_like(told)
         ordered[place] = told
-        return network.inputs(ordered, word_row[flat], chars[flat])
+        return network.inputs(ordered, word_row[flat], chars.rows(flat))
 
     _descend(network, grid, target, of_fold, inputs, word_row, chars, epochs, seed)
     _calibrate(scorer, rows, fold, label, inputs)
     return scorer
 
 
+def _grams_of(rows: list[np.ndarray], parts: list[Spelling]) -> list[np.ndarray]:
+    """The distinct n-gram buckets of each text."""
+    found: list[list[np.ndarray]] = [[] for _ in rows]
+    distinct = [np.unique(r) for r in rows]
+    first = 1
+    for part in parts:
+        for buckets, times in part.grams:
+            start = np.cumsum(times) - times
+            for k, words in enumerate(distinct):
+                own = words[np.searchsorted(words, first) : np.searchsorted(words, first + part.words)] - first
+                if len(own):
+                    found[k].append(np.unique(buckets[_slices(start[own], times[own])]))
+        first += part.words
+    return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.int32) for f in found]
+
+
 def _training_windows(rows, label, signal, fold, seed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's most telling window; of texts with label 0 the two most telling ones and a random one."""
     rng = np.random.default_rng(seed)
@@ -403,7 +438,7 @@ def _descend(network, grid, target, fold, inputs, word_row, chars, epochs, seed,
                 d_x = d_x + flat @ p["in_" + side].T
             grads["words"] = np.zeros_like(p["words"])
             np.add.at(grads["words"], word_row[part.ravel()], d_x[:, 4 : 4 + EMBED])
-            grads["chars"] = chars[part.ravel()].T @ d_x[:, 4 + EMBED :]
+            grads["chars"] = chars.rows(part.ravel()).T @ d_x[:, 4 + EMBED :]
             step += 1
             for name, g in grads.items():
                 first, second = moments[name]
