@@ -13,6 +13,7 @@ rows and extra columns need no special care.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -473,9 +474,37 @@ def _calibrate(scorer: Scorer, rows: list[np.ndarray], fold: np.ndarray, label:
 
 
 def fit(sample: DataFrame) -> Scorer:
-    """A scorer from ``(doc_id, text, label)`` rows; the caller bounds their number."""
-    rows = sample.toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return train(rows["text"].tolist(), rows["label"].tolist())
+    """A scorer from ``(doc_id, text, label)`` rows; the caller bounds their number.
+
+    Training runs in one task, so that texts and arrays never burden the driver; the
+    learnt arrays come back, a few MB whatever the sample.
+    """
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        if frames:
+            rows = pd.concat(frames).sort_values(["doc_id", "text"], kind="stable")
+            scorer = train(rows["text"].tolist(), rows["label"].tolist())
+            yield pd.DataFrame({"learnt": [pickle.dumps(_learnt(scorer))]})
+
+    found = sample.repartition(1).mapInPandas(learn, "learnt binary").collect()
+    if not found:
+        return train([], [])
+    return _rebuilt(pickle.loads(bytes(found[0]["learnt"])))
+
+
+def _learnt(scorer: Scorer) -> dict:
+    """What training has found, as plain arrays and numbers."""
+    names = ("gram_signal", "word_signal", "slope", "shift", "constant")
+    return {"params": scorer.network.params} | {n: getattr(scorer, n) for n in names}
+
+
+def _rebuilt(learnt: dict) -> Scorer:
+    network = Network()
+    network.params = learnt["params"]
+    scorer = Scorer(network, learnt["gram_signal"], learnt["word_signal"])
+    scorer.slope, scorer.shift, scorer.constant = learnt["slope"], learnt["shift"], learnt["constant"]
+    return scorer
 
 
 def score(text: Column, scorer: Scorer) -> Column:
