@@ -2,8 +2,11 @@
 
 Vectors are scaled to length one and cut into two halves; each half has its own codebook, so a vector's cell is a
 pair of centroids.  A query walks the pairs in the order of summed distance with a heap until the visited cells
-hold enough vectors, and these are reranked by their exact cosine in double precision.  Codebooks are fitted on
-a bounded sample; every vector is indexed.
+hold enough vectors, and these are reranked by their exact cosine in double precision.  The last of these answers
+bounds the distance of any better one: every cell that may hold a vector within it, judged by the least and largest
+distance of the cell's vectors to its two centroids, is then scanned, so the answers are those of a search over the
+whole table at any size.  Scans take queries in blocks of ``BLOCK``.  Codebooks are fitted on a bounded sample;
+every vector is indexed.
 
 Equal vectors form a class.  A class enters its cell with its ``k + 1`` smallest ids only: among equal scores
 smaller ids win, so no other member can appear in an answer.  Equal queries are answered once.
@@ -28,6 +31,9 @@ from pyspark.sql import functions as F
 from gaugework.llm.shared import written
 
 SAMPLE_ROWS = 20_000
+BLOCK = 4096
+CHUNK = 512  # vectors of a scan that are compared at once
+SLACK = 1e-6  # more than rounding moves a distance or cosine
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -85,6 +91,14 @@ class Codebooks:
         a, b = self.distances(unit)
         return a.argmin(axis=1) * len(self.second) + b.argmin(axis=1)
 
+    def parts(self, unit: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of the two halves to the centroids of their cells."""
+        own_a, own_b = self.first[cells // len(self.second)], self.second[cells % len(self.second)]
+        return (
+            np.sqrt(((unit[:, : self.cut] - own_a) ** 2).sum(axis=1)),
+            np.sqrt(((unit[:, self.cut :] - own_b) ** 2).sum(axis=1)),
+        )
+
     def walk(self, a: np.ndarray, b: np.ndarray, held: np.ndarray, wanted: int) -> list[int]:
         """Filled cells by ascending summed distance until they hold ``wanted`` vectors."""
         by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
@@ -104,13 +118,80 @@ class Codebooks:
         return cells
 
 
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows with rows, the same to the last bit wherever a pair is scored."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    y = y / np.abs(y).max(axis=1, keepdims=True)
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((y * y).sum(axis=1))
+
+
+class Scan:
+    """Exact search of a block of queries over the cells that their bounds do not exclude."""
+
+    def __init__(self, books: Codebooks, queries: np.ndarray, least: np.ndarray, spans: np.ndarray, k: int, pad: int):
+        """``least``: the score an answer must reach; ``spans``: per cell least and largest distances of the halves."""
+        self.books, self.queries, self.least, self.spans, self.k, self.pad = books, queries, least, spans, k, pad
+        self.unit = _unit(np.hstack([queries, np.zeros((len(queries), pad))]))
+        a, b = books.distances(self.unit)
+        self.a, self.b = np.sqrt(np.maximum(a, 0)), np.sqrt(np.maximum(b, 0))
+
+    def open(self, cell: int, least: np.ndarray) -> np.ndarray:
+        """Queries for which the cell may hold a vector that scores ``least``."""
+        low_a, high_a, low_b, high_b = self.spans[cell]
+        a, b = self.a[:, cell // len(self.books.second)], self.b[:, cell % len(self.books.second)]
+        off_a = np.maximum(np.maximum(a - high_a, low_a - a) - SLACK, 0)
+        off_b = np.maximum(np.maximum(b - high_b, low_b - b) - SLACK, 0)
+        return off_a**2 + off_b**2 <= 2 - 2 * least + SLACK
+
+    def _best(self, found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, score = (np.concatenate(part) for part in zip(*found))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+        kept = place <= self.k
+        return query[kept], ids[kept], score[kept]
+
+    def answers(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """Query numbers, ids and scores of the ``k + 1`` best among batches of ``ids, vectors, cells`` by cell."""
+        found: list[tuple] = []
+        held, least = 0, self.least.copy()
+        for ids, vectors, cells in batches:
+            unit = _unit(np.hstack([vectors, np.zeros((len(vectors), self.pad))]))
+            for k in range(0, len(ids), CHUNK):
+                part = slice(k, k + CHUNK)
+                asked = np.zeros(len(self.queries), bool)
+                for cell in np.unique(cells[part]).tolist():
+                    asked |= self.open(cell, least)
+                    if asked.all():
+                        break
+                asked = np.flatnonzero(asked)
+                row, query = np.nonzero(unit[part] @ self.unit[asked].T >= least[asked] - SLACK)
+                if not len(row):
+                    continue
+                row, query = row + k, asked[query]
+                for j in range(0, len(row), 1 << 16):
+                    r, q = row[j : j + (1 << 16)], query[j : j + (1 << 16)]
+                    found.append((q, ids[r], _cosine(self.queries[q], vectors[r])))
+                    held += len(r)
+                    if held > 1 << 18:
+                        found = [self._best(found)]
+                        q, _, score = found[0]
+                        last = np.flatnonzero(np.bincount(q, minlength=len(least))[q] == self.k + 1)
+                        low = np.full(len(least), np.inf)
+                        np.minimum.at(low, q[last], score[last])
+                        least = np.where(np.isfinite(low), np.maximum(least, low), least)
+                        held = 0
+        return self._best(found) if found else None
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     k: int = 5, wanted: int = 4000, codebook: int | None = None,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``k`` nearest vectors found for each query row.
+    """``query_id, rank, vec_id, score`` of the ``k`` nearest vectors for each query row.
 
-    ``wanted`` vectors at least are reranked per query.  ``codebook`` is the number of centroids of a half; by
+    The walk reranks ``wanted`` vectors at least per query before the scan settles the rest.  ``codebook`` is the number of centroids of a half; by
     default it follows the square root of the number of rows, up to 256, so tables of cells stay bounded.
     """
     spark = vectors.sparkSession
@@ -135,21 +216,27 @@ def nearest(
                 flat = _matrix(batch.column(1))
                 unit = _unit(np.hstack([flat, np.zeros((len(flat), pad))]))
                 keys = [hashlib.blake2b((row + 0.0).tobytes(), digest_size=16).digest() for row in flat]
+                cells = books.cells(unit)
+                a, b = books.parts(unit, cells)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(keys, pa.binary()), pa.array(books.cells(unit), pa.int32())],
-                    names=["id", "vector", "key", "cell"],
+                    [*batch.columns, pa.array(keys, pa.binary()), pa.array(cells, pa.int32()), pa.array(a), pa.array(b)],
+                    names=["id", "vector", "key", "cell", "off_a", "off_b"],
                 )
 
-    shape = "id bigint, vector array<double>, key binary, cell int"
+    shape = "id bigint, vector array<double>, key binary, cell int, off_a double, off_b double"
     indexed = usable.where(F.size("vector") == dims).mapInArrow(place, shape)
     own = Window.partitionBy("key").orderBy("id")
     entries = written(
         indexed.withColumn("_r", F.dense_rank().over(own)).where(F.col("_r") <= k + 1).drop("_r")
-        .dropDuplicates(["key", "id"]), "cells"
+        .dropDuplicates(["key", "id"]).sortWithinPartitions("cell"), "cells"
     )
     held = np.zeros(len(books.first) * len(books.second), np.int64)
-    for row in entries.groupBy("cell").count().collect():  # at most codebook ** 2 rows
-        held[row["cell"]] = row["count"]
+    spans = np.zeros((len(held), 4))
+    filled = entries.groupBy("cell").agg(
+        F.count("*"), F.min("off_a"), F.max("off_a"), F.min("off_b"), F.max("off_b")
+    )
+    for cell, count, *span in filled.toLocalIterator():  # at most codebook ** 2 rows
+        held[cell], spans[cell] = count, span
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,10 +263,7 @@ def nearest(
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = _matrix(batch.column(1)), _matrix(batch.column(3))
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                y = y / np.abs(y).max(axis=1, keepdims=True)
-                cosine = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((y * y).sum(axis=1))
+                cosine = _cosine(_matrix(batch.column(1)), _matrix(batch.column(3)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array(cosine)], names=["query", "vec_id", "score"]
                 )
@@ -187,7 +271,13 @@ def nearest(
     pairs = probes.join(entries.select("cell", "id", "vector"), "cell").select("query", "sought", "id", "vector")
     scored = pairs.mapInArrow(rerank, "query binary, vec_id bigint, score double").distinct()
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    answers = written(scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r"), "answers")
+
+    def leading(scores: DataFrame) -> DataFrame:
+        return scores.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
+
+    answers = written(leading(scored), "answers")
+    if held.sum() > wanted:
+        answers = written(leading(_settled(entries, distinct, answers, books, spans, k, pad)), "answers")
     per_query = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (
         asked.select(F.col("id").alias("query_id"), F.col("key").alias("query"))
@@ -197,3 +287,41 @@ def nearest(
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
+
+
+def _settled(
+    entries: DataFrame, distinct: DataFrame, answers: DataFrame, books: Codebooks, spans: np.ndarray, k: int, pad: int
+) -> DataFrame:
+    """``query, vec_id, score`` of each query's best vectors in all cells that may hold one as good as its answers."""
+    last = answers.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    asked = written(
+        distinct.select(F.col("key").alias("query"), "vector").join(
+            last.where(F.col("n") > k).select("query", "least"), "query", "left"
+        ).fillna(-2.0, ["least"]), "asked"
+    )
+    blocks = -(-asked.count() // BLOCK)
+    out = answers
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if not rows.num_rows:
+            continue
+        keys = rows["query"].combine_chunks()
+        scan = Scan(books, _matrix(rows["vector"].combine_chunks()), rows["least"].to_numpy(), spans, k, pad)
+        out = out.unionByName(written(entries.select("id", "vector", "cell").mapInArrow(
+            _scanner(scan, keys.to_pylist()), "query binary, vec_id bigint, score double"), "settled"))
+    return out.distinct()
+
+
+def _scanner(scan: Scan, keys: list[bytes]):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = scan.answers(
+            (b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()) for b in batches if b.num_rows
+        )
+        if found is not None:
+            query, ids, score = found
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([keys[q] for q in query.tolist()], pa.binary()), pa.array(ids, pa.int64()), pa.array(score)],
+                names=["query", "vec_id", "score"],
+            )
+
+    return find

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from brute import linked
 from gaugework.llm import fast_sketch, multi_index, queries, shards
@@ -173,6 +175,23 @@ def test_neighbour_recall_with_few_candidates(spark):
     assert len(rows) == 150 and hits / 150 >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "clusters"])
+def test_neighbours_are_exact_past_the_walk(spark, tmp_path, kind, monkeypatch):
+    monkeypatch.setattr(multi_index, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    matrix = rng.standard_normal((50_000, 64))
+    if kind == "clusters":
+        matrix = rng.standard_normal((200, 64))[rng.integers(0, 200, 50_000)] + 0.2 * matrix
+    path = str(tmp_path / "vectors.parquet")
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": list(matrix)}), path)
+    table = spark.read.parquet(path).repartition(8)
+    asked = range(0, 50_000, 500)
+    got = {}
+    for r in sorted(multi_index.nearest(table, table.where("vec_id % 500 = 0")).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == nearest_by_search(np.arange(50_000), matrix, asked)
+
+
 def test_neighbours_of_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(k, [1.0, 0.0, 2.0]) for k in range(20, 0, -1)] + [
