@@ -240,6 +240,26 @@ def test_paraphrases_and_edges(spark):
     assert decontaminate.clean(table, benchmark.limit(0)).count() == len(docs)
 
 
+def test_verbatim_passages_of_a_large_benchmark(spark):
+    """2000 items of 6 to 20 common words, planted word for word among words of the same kind."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    weights = [1 / (k + 20) for k in range(4000)]
+    items = [(k, " ".join(rng.choices(vocabulary, weights, k=6 + k % 15))) for k in range(2000)]
+    docs, planted = [], set()
+    for k in range(500):
+        words = []
+        for i in range(4 * k, 4 * k + 4):
+            words += rng.choices(vocabulary, weights, k=rng.randint(20, 90)) + items[i][1].split()
+            planted.add((k, i))
+        docs.append((k, " ".join(words + rng.choices(vocabulary, weights, k=rng.randint(0, 90)))))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontaminate.search(table, benchmark).collect()
+    whole = {(r["doc_id"], r["item_id"]) for r in rows if r["covered"] == 1.0}
+    assert planted <= whole and len({(r["doc_id"], r["item_id"]) for r in rows}) == len(rows)
+
+
 def test_blocks_give_the_same_answers(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(docs, benchmark).collect()}
