@@ -1003,11 +1003,29 @@ def _(v):
     return sets.multiset_difference(rows, rows.filter("l_linenumber <> 4"), ["l_partkey", "l_quantity"])
 
 
+_DIFFERING = """
+    SELECT * EXCLUDE (l, r), CAST(sum(l) AS BIGINT) AS left_copies, CAST(sum(r) AS BIGINT) AS right_copies
+    FROM (SELECT *, 1 AS l, 0 AS r FROM lineitem UNION ALL SELECT *, 0, 1 FROM lineitem WHERE {right})
+    GROUP BY ALL HAVING sum(l) <> sum(r)"""
+
+
+@query("multiset_difference_all", _DIFFERING.format(right="l_linenumber <> 4"))
+def _(v):
+    rows = v.table("lineitem")
+    return sets.multiset_difference(rows, rows.filter("l_linenumber <> 4"), rows.columns)
+
+
+@query("multiset_equal_all", f"SELECT count(*) = 0 AS equal, count(*) AS differing_rows FROM ({_DIFFERING.format(right='true')})")
+def _(v):
+    rows = v.table("lineitem")
+    return sets.multiset_equal(rows, rows.repartition(5, "l_suppkey"), rows.columns)
+
+
 @query("multiset_equal", "SELECT true AS equal, CAST(0 AS BIGINT) AS differing_rows")
 def _(v):
     rows = v.table("lineitem")
     shuffled = rows.repartition(5, "l_suppkey")
-    return sets.multiset_equal(rows, shuffled, ["l_orderkey", "l_partkey", "l_quantity", "l_returnflag"])
+    return sets.multiset_equal(rows, shuffled, rows.columns)
 
 
 @query(

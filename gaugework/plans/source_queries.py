@@ -326,6 +326,16 @@ def _(v):
     return fingerprint.table_fingerprint(v.spread("lineitem", *columns))
 
 
+LINEITEM = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+).split()
+
+
+@query("table_fingerprint_all", _lanes("", _row(*LINEITEM), "lineitem"))
+def _(v):
+    return fingerprint.table_fingerprint(v.spread("lineitem", "*"))
+
+
 @query(
     "dataset_digest",
     _lanes(
@@ -402,7 +412,7 @@ def _(v):
 )
 def _(v):
     rows = v.table("lineitem")
-    columns = ["l_orderkey", "l_partkey", "l_quantity"]
+    columns = [c for c in rows.columns if c != "l_returnflag"]
     before = fingerprint.table_fingerprint(rows, columns, ["l_returnflag"])
     edited = rows.filter("l_returnflag <> 'R'").withColumn(
         "l_quantity",
