@@ -45,12 +45,13 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled training rows ``(text, label)``, the same ones on every run.
 
-    The smallest hashes of the id win, so the sample does not depend on partitioning.
+    Labels of absent documents do not count.  The smallest hashes of the id win, so the sample does not depend on partitioning.
     """
     truth = (
         labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(label).alias("_label"))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )

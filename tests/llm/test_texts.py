@@ -273,3 +273,10 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     rows = shared.labelled_sample(docs, labels, "toxic", 1000).collect()
     assert {r["doc_id"] for r in rows} == {k for k in range(200) if zlib.crc32(str(k).encode()) % 5}
     assert len(shared.labelled_sample(docs, labels, "toxic", 10).collect()) == 10
+
+
+def test_labels_of_absent_documents_leave_the_sample_full(spark):
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(0, 1000, 10)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1000)], "doc_id bigint, quality int")
+    rows = shared.labelled_sample(docs, labels, "quality", 20).collect()
+    assert len({r["doc_id"] for r in rows}) == 20
