@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugework.llm import (
     decontaminate,
     fast_sketch,
+    filter_audit,
     licences,
     multi_index,
     piece_codec,
@@ -124,3 +125,8 @@ def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op12_filter_audit", filter_audit.oracle())
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
