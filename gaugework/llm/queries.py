@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework.llm import (
+    context_tree,
     decontaminate,
     fast_sketch,
     filter_audit,
+    hard_negatives,
     licences,
     multi_index,
     piece_codec,
@@ -127,6 +129,17 @@ def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_hard_negatives", hard_negatives.oracle())
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 @query("op12_filter_audit", filter_audit.oracle())
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_context_tree")
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
