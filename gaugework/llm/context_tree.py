@@ -8,23 +8,25 @@ and half with the product of the places one byte deeper, so the estimate is the
 tree.  The model is what training leaves; scored texts do not change it.  A byte's probability depends on the
 ``depth`` bytes before it and itself, its gram, so grams are what is counted, weighted and looked up.
 
-Everything gathered follows the texts and lies in tables.  Texts are read once, in runs of ``RUN_BYTES``: a run
-keeps its words under numbers of its own, its distinct words and its distinct grams.  Words and grams are counted
-over all runs; level by level, children add up to their parents (a combinable sum; at most 256 each), then mixtures
-are passed down again; runs get back what their own words and grams need and are scored one by one.
+Words and grams are counted over all texts, with what a task counts combined before it moves.  Grams that share the
+last ``SHARED`` bytes before their own make subtrees that need nothing from elsewhere: each task weights whole
+subtrees in arrays, the places above are few and are added up level by level, and mixtures are passed down the same
+way.  Texts never move: tasks score them with the most frequent words and grams, of which a bounded number is
+broadcast, and write what is left, word by word and gram by gram, to be joined with the whole tables and summed.
 
 Null and empty texts are the end byte alone.  Rows with a null id train the model and are not held out; repeated
-rows count and are scored as often as they occur.  Training texts may be absent: then all choices are even.  A text
-that no run can be cut in is a run.  Extra columns are ignored; an empty table gives no rows.
+rows count and are scored as often as they occur.  Training texts may be absent: then all choices are even.  Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +34,14 @@ from pyspark.sql import functions as F
 from gaugework.llm.shared import scratch, written
 
 DEPTH = 5
-RUN_BYTES = 16 << 20
+SHARED = 3
+PART_GRAMS = 100_000  # grams whose subtrees a task weights at once, on average
+COMMON_WORDS = 1 << 19
+COMMON_GRAMS = 1 << 20
 PIECE_BYTES = 2 << 20  # bytes whose grams are made at once
+KEPT = 1 << 19  # distinct words, and twice as many grams, that a task holds before it hands them on
 END = b"\n"
-ROWS = 1 << 16  # rows of an Arrow batch of words or grams
-RUNS = "run bigint, doc_id bigint, held_out boolean, tokens array<int>, place int, word binary, gram bigint, times bigint, kind string"
-SCORES = (
-    "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
-    "score double, bits_per_byte double"
-)
+ROWS = 1 << 16  # rows of an Arrow batch
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,116 +58,91 @@ def rolled(letters: np.ndarray, depth: int) -> np.ndarray:
     return grams
 
 
-class Places(dict):
-    """Numbers words in the order of their first appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        return place
-
-
-class Run:
-    """Distinct words and grams of the texts of a run, with their counts in training texts."""
-
-    def __init__(self, number: int, depth: int):
-        self.number, self.depth = number, depth
-        self.place = Places()
-        self.tokens: list[tuple[np.ndarray, bool]] = []
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.piece: dict[bool, list[bytes]] = {True: [], False: []}
-        self.size = self.held = 0
-        self.place[END]
-
-    def add(self, text: bytes, trains: bool) -> np.ndarray:
-        words = text.lower().split()  # bytes fold A-Z alone and split at exactly the six characters
-        tokens = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
-        tokens = np.append(tokens, np.int32(0))
-        self.tokens.append((tokens, trains))
-        body = b" ".join(words) + b" \n" if words else END
-        self.piece[trains].append(END * self.depth + body)
-        self.size += len(text)
-        self.held += len(body)
-        if self.held > PIECE_BYTES:
-            self._count()
-        return tokens
-
-    def _count(self) -> None:
-        for trains, bodies in self.piece.items():
-            if bodies:
-                letters = np.frombuffer(b"".join(bodies), np.uint8)
-                own = np.ones(len(letters), bool)
-                starts = np.r_[0, np.cumsum([len(b) for b in bodies])[:-1]]
-                own[(starts[:, None] + np.arange(self.depth)).ravel()] = False
-                grams, times = np.unique(rolled(letters, self.depth)[own[self.depth :]], return_counts=True)
-                self.grams.append((grams, times if trains else np.zeros(len(grams), np.int64)))
-        if len(self.grams) > 16:
-            self.grams = [self._merged()]
-        self.piece = {True: [], False: []}
-        self.held = 0
-
-    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
-        grams, times = (np.concatenate(part) for part in zip(*self.grams))
-        order = np.argsort(grams, kind="stable")
-        grams, times = grams[order], times[order]
-        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        return grams[first], np.add.reduceat(times, first)
-
-    def found(self) -> Iterator[pa.RecordBatch]:
-        self._count()
-        trained = [np.empty(0, np.int32), *(tokens for tokens, trains in self.tokens if trains)]
-        times = np.bincount(np.concatenate(trained), minlength=len(self.place))
-        words = list(self.place)
-        for k in range(0, len(words), ROWS):
-            part = words[k : k + ROWS]
-            yield _rows("w", len(part), run=np.full(len(part), self.number), place=np.arange(k, k + len(part), dtype=np.int32),
-                        word=part, times=times[k : k + ROWS])
-        grams, times = self._merged()
-        for k in range(0, len(grams), ROWS):
-            part = grams[k : k + ROWS]
-            yield _rows("g", len(part), run=np.full(len(part), self.number), gram=part, times=times[k : k + ROWS])
-
-
-_TYPES = {
-    "run": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "tokens": pa.list_(pa.int32()), "place": pa.int32(),
-    "word": pa.binary(), "gram": pa.int64(), "times": pa.int64(), "kind": pa.string(),
-}
+def body_of(words: list[bytes]) -> bytes:
+    return b" ".join(words) + b" \n" if words else END
 
 
-def _rows(kind: str, count: int, **columns) -> pa.RecordBatch:
-    columns["kind"] = [kind] * count
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[name], kind_of) if name in columns else pa.nulls(count, kind_of) for name, kind_of in _TYPES.items()],
-        names=list(_TYPES),
-    )
+def grams_of(bodies: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of texts and the text each belongs to, a piece at a time; a long text is cut."""
+    opening = END * depth  # what is read before a text
+    held, owner, size = [], [], 0
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        letters = np.frombuffer(b"".join(held), np.uint8)
+        length = np.array([len(x) for x in held])
+        own = np.ones(len(letters), bool)
+        own[((np.cumsum(length) - length)[:, None] + np.arange(depth)).ravel()] = False
+        return rolled(letters, depth)[own[depth:]], np.repeat(np.array(owner), length - depth)
+
+    for k, body in enumerate(bodies):
+        for start in range(0, len(body), PIECE_BYTES):
+            before = (opening + body[max(0, start - depth) : start])[-depth:]
+            held.append(before + body[start : start + PIECE_BYTES])
+            owner.append(k)
+            size += len(held[-1])
+            if size >= PIECE_BYTES:
+                yield made()
+                held, owner, size = [], [], 0
+    if held:
+        yield made()
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of their values."""
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], *(np.add.reduceat(v[order], first) for v in values)
+
+
+COUNTED = "word binary, gram bigint, times bigint"
+
+
+def _counts(words: list[bytes] | None, grams: np.ndarray | None, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(times), ROWS):
+        part = slice(k, k + ROWS)
+        count = len(times[part])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words[part], pa.binary()) if words is not None else pa.nulls(count, pa.binary()),
+             pa.array(grams[part]) if grams is not None else pa.nulls(count, pa.int64()), pa.array(times[part])],
+            names=["word", "gram", "times"],
+        )
 
 
-def _runs(depth: int, run_bytes: int):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        run = Run(number, depth)
+def _counter(depth: int):
+    """Words of training texts and grams of all texts with their counts in training texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, grams, held = Counter(), [], 0
         for batch in batches:
-            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            start, tokens = 0, []
-            for k, text in enumerate(batch.column(1)):
-                tokens.append(run.add(text.as_py() or b"", not held[k]))
-                if run.size >= run_bytes:
-                    yield _documents(run, ids[start : k + 1], held[start : k + 1], tokens)
-                    yield from run.found()
-                    number += 1
-                    start, tokens, run = k + 1, [], Run(number, depth)
-            if tokens:
-                yield _documents(run, ids[start:], held[start:], tokens)
-        if run.tokens:
-            yield from run.found()
-
-    return read
-
-
-def _documents(run: Run, ids: list, held: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)), pa.array(np.concatenate(tokens))
-    )
-    return _rows("d", len(ids), run=np.full(len(ids), run.number), doc_id=ids, held_out=held, tokens=lists)
+            bodies: dict[bool, list[bytes]] = {True: [], False: []}
+            for text, out in zip(batch.column(1), batch.column(2).to_pylist()):
+                found = (text.as_py() or b"").lower().split()  # bytes fold A-Z alone and split at exactly the six characters
+                bodies[not out].append(body_of(found))
+                if not out:
+                    words.update(found)
+                    words[END] += 1
+                    if len(words) > KEPT:
+                        yield from _counts(list(words), None, np.fromiter(words.values(), np.int64))
+                        words = Counter()
+            for trains, own in bodies.items():
+                for piece, _ in grams_of(own, depth):
+                    distinct, times = np.unique(piece, return_counts=True)
+                    grams.append((distinct, times if trains else np.zeros_like(times)))
+                    held += len(distinct)
+                    if held > 4 * KEPT:
+                        grams = [summed(*(np.concatenate(x) for x in zip(*grams)))]
+                        held = len(grams[0][0])
+                        if held > 2 * KEPT:
+                            yield from _counts(None, *grams[0])
+                            grams, held = [], 0
+        yield from _counts(list(words), None, np.fromiter(words.values(), np.int64, len(words)))
+        if grams:
+            yield from _counts(None, *summed(*(np.concatenate(x) for x in zip(*grams))))
+
+    return count
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -182,158 +158,264 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.where(large, (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi), shifted)
 
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Log weights of places, and the share of the mixture that each place's own estimate has."""
+def weighted(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Log weights of places, and the share of the mixture that each place's own estimate has.
+
+    ``below``: the sums of log weights one byte deeper; None at full depth.
+    """
     half = log_gamma(np.array([0.5]))[0]
+    zeros, ones = zeros.astype(float), ones.astype(float)
+    own = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - 2 * half - log_gamma(zeros + ones + 1)
+    if below is None:
+        return own, np.ones_like(own)
+    weight = np.logaddexp(own, below) - np.log(2)
+    return weight, np.exp(own - np.log(2) - weight)
+
+
+def up(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int, top: int) -> list[tuple[np.ndarray, ...]]:
+    """Places of ``depth`` and of every level above it down to ``top``: ``key, zeros, ones, weight, share``.
+
+    A key is the bytes before, then the node in its last byte; without its first byte it is the key of the parent.
+    """
+    keys, zeros, ones = summed(keys, zeros, ones)
+    levels = [(keys, zeros, ones, *weighted(zeros, ones, None))]
+    for d in range(depth - 1, top - 1, -1):
+        keys, zeros, ones, weight, _ = levels[-1]
+        keys, zeros, ones, below = summed(keys & ((1 << 8 * (d + 1)) - 1), zeros, ones, weight)
+        levels.append((keys, zeros, ones, *weighted(zeros, ones, below)))
+    return levels
+
+
+def choices(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and bits of the eight choices that lead to the last byte of each gram, one row per choice."""
+    last, steps = grams & 255, np.arange(8)[:, None]
+    return (grams >> 8 << 8) | (1 << steps) | (last >> (8 - steps)), (last >> (7 - steps)) & 1
+
+
+def _part(gram: str, parts: int, shared: int) -> Column:
+    before = F.shiftright(F.col(gram), 8).bitwiseAND((1 << 8 * shared) - 1)
+    return F.pmod(F.xxhash64(before), F.lit(parts)).cast("int").alias("part")
+
+
+PLACES = "key bigint, zeros bigint, ones bigint, weight double, share double"
+
+
+def _subtrees(depth: int, shared: int):
+    def weigh(grams: pa.Table) -> pa.Table:
+        keys, bits = choices(grams["gram"].to_numpy())
+        times = np.broadcast_to(grams["times"].to_numpy(), keys.shape).ravel()
+        top = up(keys.ravel(), times * (1 - bits.ravel()), times * bits.ravel(), depth, shared)[-1]
+        return pa.table(dict(zip(["key", "zeros", "ones", "weight", "share"], top)))
+
+    return weigh
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        zeros, ones = (batch.column(k).to_numpy().astype(float) for k in (1, 2))
-        below = batch.column(3).to_numpy(zero_copy_only=False)
-        own = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - 2 * half - log_gamma(zeros + ones + 1)
-        leaf = np.isnan(below)
-        weight = np.where(leaf, own, np.logaddexp(own, np.where(leaf, 0, below)) - np.log(2))
-        share = np.where(leaf, 1.0, np.exp(own - np.log(2) - weight))
+        zeros, ones, below = (batch.column(k).to_numpy() for k in (1, 2, 3))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(weight), pa.array(share)], names=["key", "zeros", "ones", "weight", "share"]
+            [*batch.columns[:3], *map(pa.array, weighted(zeros, ones, below))], names=["key", "zeros", "ones", "weight", "share"]
         )
 
 
-WEIGHED = "key bigint, zeros bigint, ones bigint, weight double, share double"
+def _descend(depth: int, shared: int):
+    """Chances of grams from the mixtures above their subtrees: ``key, above, left`` at the shared bytes."""
 
+    def chance(grams: pa.Table, path: pa.Table) -> pa.Table:
+        found = grams["gram"].to_numpy()
+        keys, bits = choices(found)
+        times = np.broadcast_to(grams["times"].to_numpy(), keys.shape).ravel()
+        flat = bits.ravel()
+        levels = up(keys.ravel(), times * (1 - flat), times * flat, depth, shared)
+        above = path["key"].to_numpy()
+        order = np.argsort(above)
+        above, one, left = (path[c].to_numpy()[order] for c in ("key", "above", "left"))
+        for d in range(shared, depth + 1):
+            key, zeros, ones, _, share = levels.pop()
+            at = np.searchsorted(above, key & ((1 << 8 * (max(shared, d - 1) + 1)) - 1))
+            one, left = one[at] + left[at] * share * (ones + 0.5) / (zeros + ones + 1.0), left[at] * (1 - share)
+            above = key
+        even = one[np.searchsorted(above, keys.ravel())]
+        even = np.log10(np.maximum(np.where(flat == 1, even, 1 - even), 1e-300)).reshape(keys.shape).sum(axis=0)
+        return pa.table({"gram": found, "times": grams["times"], "chance": even})
 
-def _choices(gram: Column) -> list[tuple[Column, Column]]:
-    """Node and bit of the eight choices that lead to the last byte of a gram."""
-    last = gram.bitwiseAND(255)
-    return [
-        (F.shiftright(last, 8 - k).bitwiseOR(F.lit(1 << k)), F.shiftright(last, 7 - k).bitwiseAND(1)) for k in range(8)
-    ]
+    return chance
 
 
 def chances(grams: DataFrame, depth: int) -> DataFrame:
-    """``gram, chance``: log10 of the probability of each gram's last byte after the others.
+    """``gram, times, chance``: log10 of the probability of each gram's last byte after the others.
 
     ``grams``: distinct ``gram`` with ``times`` in training texts; grams seen in no training text have 0 and get
     what the mixture leaves them.
     """
-    gram = F.col("gram")
-    before = F.shiftright(gram, 8)
-    keys = [
-        F.struct(F.shiftleft(before, 8).bitwiseOR(node).alias("key"), bit.alias("bit")) for node, bit in _choices(gram)
-    ]
-    counted = (
-        grams.select("times", F.inline(F.array(*keys)))
-        .groupBy("key").agg(F.sum(F.expr("times * (1 - bit)")).alias("zeros"), F.sum(F.expr("times * bit")).alias("ones"))
-    )
-    levels = [written(counted.withColumn("below", F.lit(None).cast("double")).mapInArrow(_weigh, WEIGHED), "places")]
-    for d in range(depth - 1, -1, -1):
+    shared = min(SHARED, depth)
+    parts = -(-max(1, grams.count()) // PART_GRAMS)
+    dealt = grams.withColumn("part", _part("gram", parts, shared))
+    levels = [written(dealt.groupBy("part").applyInArrow(_subtrees(depth, shared), PLACES), "places")]
+    for d in range(shared - 1, -1, -1):
         parents = levels[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")).agg(
             F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weight").alias("below")
         )
-        levels.append(written(parents.mapInArrow(_weigh, WEIGHED), "places"))
+        levels.append(written(parents.mapInArrow(_weigh, PLACES), "places"))
     estimate = F.expr("share * (ones + 0.5D) / (zeros + ones + 1D)")
-    path = levels.pop().select("key", estimate.alias("one"), (1 - F.col("share")).alias("rest"))
-    for d in range(1, depth + 1):
-        above = path.select(F.col("key").alias("parent"), F.col("one").alias("above"), F.col("rest").alias("left"))
+    path = levels.pop().select(
+        "key", F.lit(0.0).alias("above"), F.lit(1.0).alias("left"), estimate.alias("own"), "share"
+    )
+    for d in range(1, shared + 1):
+        upper = path.select(
+            F.col("key").alias("parent"), (F.col("above") + F.col("left") * F.col("own")).alias("above"),
+            (F.col("left") * (1 - F.col("share"))).alias("left"),
+        )
         path = (
-            levels.pop().withColumn("parent", F.col("key").bitwiseAND((1 << 8 * d) - 1)).join(above, "parent")
-            .select("key", (F.col("above") + F.col("left") * estimate).alias("one"), (F.col("left") * (1 - F.col("share"))).alias("rest"))
+            levels.pop().withColumn("parent", F.col("key").bitwiseAND((1 << 8 * d) - 1)).join(upper, "parent")
+            .select("key", "above", "left", estimate.alias("own"), "share")
         )
-    # All nodes after the same bytes: 255 at most.
-    nodes = path.groupBy(F.shiftright("key", 8).alias("before")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(255).alias("node"), "one"))).alias("nodes")
+    below = path.select("key", "above", "left", _part("key", parts, shared))
+    return dealt.groupBy("part").cogroup(below.groupBy("part")).applyInArrow(
+        _descend(depth, shared), "gram bigint, times bigint, chance double"
+    )
+
+
+def commonest(table: DataFrame, bound: int) -> DataFrame:
+    """Rows of the largest ``times``, ``bound`` at most, by a threshold on a logarithmic scale."""
+    scale = F.floor(F.log2("times") * 16).cast("int").alias("scale")
+    steps = table.where("times > 0").groupBy(scale).count().orderBy(F.desc("scale")).collect()  # at most 1024 rows
+    least, held = 1 << 20, 0
+    for step in steps:
+        held += step["count"]
+        if held > bound:
+            break
+        least = step["scale"]
+    return table.where((F.col("times") > 0) & (F.floor(F.log2("times") * 16) >= least))
+
+
+SCORED = (
+    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
+    "n_bytes bigint, word binary, gram bigint, times bigint, kind string"
+)
+_SHAPE = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+    ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("word", pa.binary()), ("gram", pa.int64()),
+    ("times", pa.int64()), ("kind", pa.string()),
+])
+
+
+def _rows(kind: str, count: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = [kind] * count
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in _SHAPE], schema=_SHAPE
     )
-    even = [F.when(bit == 1, F.col("nodes")[node]).otherwise(1 - F.col("nodes")[node]) for node, bit in _choices(gram)]
-    chance = sum((F.log10(F.greatest(F.lit(1e-300), one)) for one in even[1:]), F.log10(F.greatest(F.lit(1e-300), even[0])))
-    return grams.withColumn("before", before).join(nodes, "before").select("gram", chance.alias("chance"))
 
 
 class Scorer:
-    """Scores the texts of one run from its words' counts and its grams' chances."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, grams: np.ndarray, chance: np.ndarray, n: int, distinct: int, depth: int):
-        """``words`` by place; the first is the end."""
-        self.depth = depth
-        bodies = [END, *(w + b" " for w in words[1:]), END * depth]
-        self.letters = np.frombuffer(b"".join(bodies), np.uint8)
-        self.length = np.array([len(b) for b in bodies])
-        self.start = np.r_[0, np.cumsum(self.length)[:-1]]
-        self.known = np.r_[counts > 0, False]
-        self.base = np.r_[np.log10((counts + 0.1) / (n + 0.1 * (distinct + 1))), 0.0]
-        order = np.argsort(grams)
-        self.grams, self.chance = grams[order], chance[order]
-
-    def scores(self, tokens: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, ...]:
-        """Known tokens, base scores, scores and bytes of ``count`` texts whose tokens follow each other."""
-        opening = len(self.length) - 1  # stands for the bytes before a text
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        known = np.bincount(owner, self.known[tokens], count).astype(np.int64)
-        base = np.bincount(owner, self.base[tokens], count)
-        size = np.bincount(owner, self.length[tokens], count).astype(np.int64)
-        score = np.zeros(count)
-        tokens, owner = np.insert(tokens, starts, opening), np.insert(owner, starts, owner[starts])
-        ends = np.cumsum(self.length[tokens])
-        carried, begin = np.zeros(self.depth, np.uint8), 0
-        while begin < len(tokens):
-            reached = ends[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(ends, reached + PIECE_BYTES, side="right")))
-            part, length = tokens[begin:end], self.length[tokens[begin:end]]
-            shift = np.repeat(self.start[part] - np.r_[0, np.cumsum(length)[:-1]], length)
-            letters = np.concatenate([carried, self.letters[shift + np.arange(len(shift))]])
-            own = np.repeat(part != opening, length)
-            grams = rolled(letters, self.depth)[own]
-            score += np.bincount(np.repeat(owner[begin:end], length)[own], self.chance[np.searchsorted(self.grams, grams)], count)
-            carried, begin = letters[len(letters) - self.depth :], end
-        return known, base, score, size
-
-
-def _scorer(n: int, distinct: int, depth: int):
-    def score(docs: pa.Table, held: pa.Table) -> pa.Table:
-        words = held.filter(pc.is_valid(held["word"]))
-        words = words.sort_by("key")
-        grams = held.filter(pc.is_null(held["word"]))
+    """Scores texts by common words and grams, and names what it does not hold."""
+
+    def __init__(self, words: list[bytes], terms: np.ndarray, grams: np.ndarray, chance: np.ndarray, depth: int):
+        """``terms``: what a word adds to the base score; ``grams`` in order."""
+        self.place = dict(zip(words, range(len(words))))
+        self.terms, self.depth = np.append(terms, 0.0), depth  # the last stands for words that are not held
+        self.grams, self.chance = np.append(grams, -1), np.append(chance, 0.0)
+
+    def texts(self, texts: list[bytes]) -> tuple[dict[str, np.ndarray], Counter, list[tuple[np.ndarray, ...]]]:
+        """Columns of the texts, ``(text, word)`` that are left with their counts, and such ``text, gram, times``."""
+        count = len(texts)
+        found = {"n_tokens": np.zeros(count, np.int64), "n_known": np.zeros(count, np.int64), "base_score": np.zeros(count),
+                 "score": np.zeros(count), "n_bytes": np.zeros(count, np.int64)}
+        bodies, words_left, grams_left = [], Counter(), []
+        for k, text in enumerate(texts):
+            words = text.lower().split()
+            bodies.append(body_of(words))
+            words.append(END)
+            places = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+            found["n_tokens"][k], found["n_bytes"][k] = len(words), len(bodies[-1])
+            found["n_known"][k] = (places >= 0).sum()
+            found["base_score"][k] = self.terms[places].sum()
+            words_left.update((k, words[j]) for j in np.flatnonzero(places < 0).tolist())
+        for grams, owner in grams_of(bodies, self.depth):
+            at = np.searchsorted(self.grams[:-1], grams)
+            held = self.grams[at] == grams
+            found["score"] += np.bincount(owner, np.where(held, self.chance[at], 0.0), count)
+            if not held.all():
+                left = np.stack([owner[~held], grams[~held]])
+                distinct, times = np.unique(left, axis=1, return_counts=True)
+                grams_left.append((distinct[0], distinct[1], times))
+        return found, words_left, grams_left
+
+
+def _scorer(words, grams, n: int, distinct: int, depth: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, model = words.value, grams.value
         scorer = Scorer(
-            words["word"].to_pylist(), words["value"].to_numpy(), grams["key"].to_numpy(), grams["value"].to_numpy(), n, distinct, depth
+            table["word"].to_pylist(), base_terms(table["times"].to_numpy(), n, distinct),
+            model["gram"].to_numpy(), model["chance"].to_numpy(), depth,
         )
-        lists = docs["tokens"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        known, base, total, size = scorer.scores(lists.flatten().to_numpy(), owner, len(sizes))
-        return pa.table({
-            "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(sizes, pa.int64()),
-            "n_known": known, "train_tokens": np.full(len(sizes), n), "base_score": base, "score": total,
-            "bits_per_byte": -total * np.log2(10) / size,
-        })
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                texts = [text.as_py() or b"" for text in part.column(1)]
+                found, words_left, grams_left = scorer.texts(texts)
+                yield _rows("d", len(texts), row=np.arange(row, row + len(texts)), doc_id=part.column(0), held_out=part.column(2), **found)
+                if words_left:
+                    pairs = list(words_left)
+                    yield _rows("w", len(pairs), row=[row + k for k, _ in pairs], word=[w for _, w in pairs], times=list(words_left.values()))
+                for owner, own, times in grams_left:
+                    yield _rows("g", len(own), row=row + owner, gram=own, times=times)
+                row += len(texts)
 
     return score
 
 
-def score(docs: DataFrame, depth: int = DEPTH, run_bytes: int = RUN_BYTES) -> DataFrame:
+def base_terms(times: np.ndarray, n: int, distinct: int) -> np.ndarray:
+    return np.log10((times + 0.1) / (n + 0.1 * (distinct + 1)))
+
+
+def score(
+    docs: DataFrame, depth: int = DEPTH, common_words: int = COMMON_WORDS, common_grams: int = COMMON_GRAMS
+) -> DataFrame:
     """One row per document: token counts, the word baseline ``base_score`` and the log10 probability ``score``.
 
-    ``depth``: bytes before a byte that the tree may look at, 1 to 6.  ``run_bytes``: text a task scores at once.
+    ``depth``: bytes before a byte that the tree may look at, 1 to 6.  ``common_words`` and ``common_grams`` bound
+    what is broadcast; results do not depend on them.
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth must be 1 to 6")
     spark = docs.sparkSession
-    path = scratch(spark, "runs")
-    docs.select(
+    texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"),
         held_out(F.col("doc_id")).alias("held_out"),
-    ).mapInArrow(_runs(depth, run_bytes), RUNS).write.partitionBy("kind").parquet(path)
-
-    def runs(kind: str) -> DataFrame:
-        return spark.read.schema(RUNS).parquet(path).where(F.col("kind") == kind)
-
-    words, grams = runs("w"), runs("g")
-    counts = written(words.groupBy("word").agg(F.sum("times").alias("times")), "words")
-    total = counts.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count_if(F.col("times") > 0).alias("v")).first()
-    all_grams = written(grams.groupBy("gram").agg(F.sum("times").alias("times")), "grams")
-    known = written(chances(all_grams, depth), "chances")
-    held = words.select("run", "place", "word").join(counts, "word").select(
-        "run", "word", F.col("place").cast("bigint").alias("key"), F.col("times").cast("double").alias("value")
-    ).unionByName(
-        grams.select("run", "gram").join(known, "gram").select(
-            "run", F.lit(None).cast("binary").alias("word"), F.col("gram").alias("key"), F.col("chance").alias("value")
-        )
     )
-    read = runs("d").select("run", "doc_id", "held_out", "tokens")
-    return read.groupBy("run").cogroup(held.groupBy("run")).applyInArrow(_scorer(total["n"], total["v"], depth), SCORES)
+    counts = written(
+        texts.mapInArrow(_counter(depth), COUNTED).groupBy("word", "gram").agg(F.sum("times").alias("times")), "counts"
+    )
+    words = counts.where("gram IS NULL").select("word", "times")
+    total = words.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n, distinct = total["n"], total["v"]
+    model = written(chances(counts.where("gram IS NOT NULL").select("gram", "times"), depth), "chances")
+    context = spark.sparkContext
+    held_words = context.broadcast(commonest(words, common_words).toArrow())
+    held_grams = context.broadcast(commonest(model, common_grams).select("gram", "chance").orderBy("gram").toArrow())
+    path = scratch(spark, "scored")
+    texts.mapInArrow(_scorer(held_words, held_grams, n, distinct, depth), SCORED).write.partitionBy("kind").parquet(path)
+
+    def scored(kind: str) -> DataFrame:
+        return spark.read.schema(SCORED).parquet(path).where(F.col("kind") == kind)
+
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("held_out", "boolean"), ("n_tokens", "bigint"), ("n_bytes", "bigint"))]
+    seen = F.coalesce("seen", F.lit(0))
+    rare_words = scored("w").select("row", "word", "times").join(words.withColumnRenamed("times", "seen"), "word", "left").select(
+        "row", *none, (F.when(seen > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        (F.col("times") * F.log10((seen + 0.1) / (n + 0.1 * (distinct + 1)))).alias("base_score"), F.lit(0.0).alias("score"),
+    )
+    rare_grams = scored("g").select("row", "gram", "times").join(model.select("gram", "chance"), "gram").select(
+        "row", *none, F.lit(0).cast("bigint").alias("n_known"), F.lit(0.0).alias("base_score"), (F.col("times") * F.col("chance")).alias("score")
+    )
+    whole = scored("d").select("row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base_score", "score")
+    sums = whole.unionByName(rare_words).unionByName(rare_grams).groupBy("row").agg(
+        *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_bytes")],
+        *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")],
+    )
+    return sums.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score",
+        (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+    )

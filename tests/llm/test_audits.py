@@ -166,14 +166,16 @@ def plainly_scored(rows, depth):
     return out
 
 
-@pytest.mark.parametrize("depth, run_bytes", [(1, 60), (3, 1 << 20)])
-def test_scores_are_those_of_the_weighted_tree(spark, depth, run_bytes):
+@pytest.mark.parametrize("depth, common, part", [(1, 3, 7), (3, 1 << 19, 1 << 20), (4, 20, 15)])
+def test_scores_are_those_of_the_weighted_tree(spark, depth, common, part, monkeypatch):
+    monkeypatch.setattr(context_tree, "PART_GRAMS", part)
+    monkeypatch.setattr(context_tree, "SHARED", 2)
     rng = random.Random(depth)
     vocabulary = ["the", "The", "théorie", "a", "ab", "über", "x y", "zz", "日本"]
     rows = [(k if k % 11 else None, rng.choice([" ", "\t", " \n"]).join(rng.choices(vocabulary, k=rng.choice([0, 1, 4, 9])))) for k in range(45)]
     rows += [(100, None), (101, ""), (102, " \x0b "), (20, "the only ~ here"), (30, "the"), (30, "the")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS run", "2 AS tokens", "'x' AS word")
-    found = [tuple(r)[:7] for r in context_tree.score(docs.repartition(3), depth, run_bytes).collect()]
+    found = [tuple(r)[:7] for r in context_tree.score(docs.repartition(3), depth, common, common).collect()]
     key = lambda r: (r[0] is None, r[0], r[2], round(r[5], 6))
     for got, want in zip(sorted(found, key=lambda r: str(key(r))), sorted(plainly_scored(rows, depth), key=lambda r: str(key(r))), strict=True):
         assert got[:5] == want[:5]
@@ -191,18 +193,18 @@ def test_scores_without_rows_or_training(spark):
 
 
 def test_pieces_of_a_long_text_score_as_the_whole(monkeypatch):
-    rng = np.random.default_rng(3)
-    words = [context_tree.END, *(bytes(rng.integers(97, 100, 5).astype(np.uint8)) for _ in range(30))]
-    tokens = rng.integers(1, 31, 500).astype(np.int32)
-    tokens[[200, 499]] = 0
-    owner = np.repeat([0, 1], [201, 299])
-    stream = b"".join(b"\n" * 3 + b"".join(words[t] + b" " for t in part[:-1]) + b"\n" for part in (tokens[:201], tokens[201:]))
-    grams = np.unique(context_tree.rolled(np.frombuffer(stream, np.uint8), 3))
-    scorer = context_tree.Scorer(words, np.arange(31.0), grams, -rng.random(len(grams)), 465, 30, 3)
-    whole = scorer.scores(tokens, owner, 2)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["aa", "ab", "ba", "c"], k=k)).encode() for k in (200, 0, 1, 90)]
+    grams = np.unique(np.concatenate([g for g, _ in context_tree.grams_of([context_tree.body_of(t.split()) for t in texts], 3)]))
+    scorer = context_tree.Scorer([b"aa", b"c"], np.array([-1.0, -2.0]), grams[::2], -np.arange(1.0, 1 + len(grams[::2])), 3)
+    whole, words, left = scorer.texts(texts)
     monkeypatch.setattr(context_tree, "PIECE_BYTES", 17)
-    for a, b in zip(whole, scorer.scores(tokens, owner, 2)):
-        assert a == pytest.approx(b)
+    cut, cut_words, cut_left = scorer.texts(texts)
+    for name in whole:
+        assert cut[name] == pytest.approx(whole[name])
+    assert cut_words == words and sum(words.values()) == sum(t.split().count(w) for t in texts for w in (b"ab", b"ba")) + 4
+    total = lambda parts: sum(int(times.sum()) for _, _, times in parts)
+    assert total(cut_left) == total(left) > 0
 
 
 def test_log_gamma():
