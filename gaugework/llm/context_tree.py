@@ -51,10 +51,18 @@ def held_out(doc_id: Column) -> Column:
 
 def rolled(letters: np.ndarray, depth: int) -> np.ndarray:
     """The gram that ends at each byte from the ``depth``-th on."""
-    grams = np.zeros(max(0, len(letters) - depth), np.int64)
-    for k in range(depth + 1 if len(grams) else 0):
-        grams <<= 8
-        grams |= letters[k : k + len(grams)]
+    count = max(0, len(letters) - depth)
+    grams, width = np.zeros(count, np.int64), 0
+    power, size = letters.astype(np.int64), 1  # the numbers of ``size`` bytes that begin at each place
+    while count:
+        if (depth + 1) & size:
+            grams <<= 8 * size
+            grams |= power[width : width + count]
+            width += size
+        if 2 * size > depth + 1:
+            break
+        power = power[:-size] << 8 * size | power[size:]
+        size *= 2
     return grams
 
 
@@ -307,14 +315,53 @@ def _rows(kind: str, count: int, **columns) -> pa.RecordBatch:
     )
 
 
+class GramTable:
+    """Chances by gram: an open hash table whose rows are a gram and its chance, side by side."""
+
+    def __init__(self, grams: np.ndarray, chance: np.ndarray):
+        """Earlier grams are found in fewer steps."""
+        bits = max(4, (2 * len(grams) - 1).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.rows = np.full((1 << bits, 2), -1, np.int64)
+        self.values = self.rows.view(np.float64)
+        home, todo, step = self._home(grams), np.arange(len(grams)), 0
+        while len(todo):
+            slot = (home[todo] + step) & self.last
+            free = np.flatnonzero(self.rows[slot, 0] < 0)
+            slot, first = np.unique(slot[free], return_index=True)
+            placed = todo[free[first]]
+            self.rows[slot, 0], self.values[slot, 1] = grams[placed], chance[placed]
+            left = np.ones(len(todo), bool)
+            left[free[first]] = False
+            todo, step = todo[left], step + 1
+
+    def _home(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chances, zero where absent, and which are held."""
+        slot = self._home(grams)
+        held = self.rows[slot, 0]
+        chance = np.where(held == grams, self.values[slot, 1], 0.0)
+        found = held == grams
+        todo = np.flatnonzero(~found & (held >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.last
+            held = self.rows[slot[todo], 0]
+            hit = todo[held == grams[todo]]
+            chance[hit], found[hit] = self.values[slot[hit], 1], True
+            todo = todo[(held >= 0) & (held != grams[todo])]
+        return chance, found
+
+
 class Scorer:
     """Scores texts by common words and grams, and names what it does not hold."""
 
     def __init__(self, words: list[bytes], terms: np.ndarray, grams: np.ndarray, chance: np.ndarray, depth: int):
-        """``terms``: what a word adds to the base score; ``grams`` in order."""
+        """``terms``: what a word adds to the base score; ``grams``: the commonest first."""
         self.place = dict(zip(words, range(len(words))))
         self.terms, self.depth = np.append(terms, 0.0), depth  # the last stands for words that are not held
-        self.grams, self.chance = np.append(grams, -1), np.append(chance, 0.0)
+        self.table = GramTable(grams, chance)
 
     def texts(self, texts: list[bytes]) -> tuple[dict[str, np.ndarray], Counter, list[tuple[np.ndarray, ...]]]:
         """Columns of the texts, ``(text, word)`` that are left with their counts, and such ``text, gram, times``."""
@@ -332,9 +379,8 @@ class Scorer:
             found["base_score"][k] = self.terms[places].sum()
             words_left.update((k, words[j]) for j in np.flatnonzero(places < 0).tolist())
         for grams, owner in grams_of(bodies, self.depth):
-            at = np.searchsorted(self.grams[:-1], grams)
-            held = self.grams[at] == grams
-            found["score"] += np.bincount(owner, np.where(held, self.chance[at], 0.0), count)
+            chance, held = self.table.get(grams)
+            found["score"] += np.bincount(owner, chance, count)
             if not held.all():
                 left = np.stack([owner[~held], grams[~held]])
                 distinct, times = np.unique(left, axis=1, return_counts=True)
@@ -394,7 +440,7 @@ def score(
     model = written(chances(counts.where("gram IS NOT NULL").select("gram", "times"), depth), "chances")
     context = spark.sparkContext
     held_words = context.broadcast(commonest(words, common_words).toArrow())
-    held_grams = context.broadcast(commonest(model, common_grams).select("gram", "chance").orderBy("gram").toArrow())
+    held_grams = context.broadcast(commonest(model, common_grams).orderBy(F.desc("times"), "gram").select("gram", "chance").toArrow())
     path = scratch(spark, "scored")
     texts.mapInArrow(_scorer(held_words, held_grams, n, distinct, depth), SCORED).write.partitionBy("kind").parquet(path)
 

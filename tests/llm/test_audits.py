@@ -207,6 +207,26 @@ def test_pieces_of_a_long_text_score_as_the_whole(monkeypatch):
     assert total(cut_left) == total(left) > 0
 
 
+def test_grams_are_the_numbers_of_their_bytes():
+    letters = np.frombuffer(bytes(random.Random(1).randbytes(40)), np.uint8)
+    for depth in range(1, 7):
+        plain = [int.from_bytes(letters[k : k + depth + 1].tobytes(), "big") for k in range(40 - depth)]
+        assert context_tree.rolled(letters, depth).tolist() == plain
+        assert context_tree.rolled(letters[:depth], depth).tolist() == []
+
+
+@pytest.mark.parametrize("count", [0, 1, 5000])
+def test_gram_table(count):
+    rng = np.random.default_rng(count)
+    grams = rng.choice(20_000, count, replace=False).astype(np.int64) << 30
+    table = context_tree.GramTable(grams, np.arange(count) - 0.5)
+    plain = dict(zip(grams.tolist(), np.arange(count) - 0.5))
+    asked = np.r_[grams, rng.integers(0, 1 << 48, 1000)]
+    chance, found = table.get(asked)
+    assert found.tolist() == [g in plain for g in asked.tolist()]
+    assert chance.tolist() == [plain.get(g, 0.0) for g in asked.tolist()]
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 2, 7.5, 100, 1e6 + 0.5, 1e12])
     assert context_tree.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
