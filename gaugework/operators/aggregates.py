@@ -39,25 +39,57 @@ def metric_summary(observations: DataFrame) -> DataFrame:
     )
 
 
-def slice_summary(observations: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """Counts and mean per run, metric and slice; NULL slice means all cases.
+def _with_slices(observations: DataFrame, cases: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """Observations with the slices of their case in the dataset of their run."""
+    from gaugework.session import join_small
 
-    Rows are first combined per whole set of slices (few distinct sets, combined
-    before the shuffle); only those partial results are exploded by slice.
-    """
+    dataset = [c for c in ("dataset_name", "dataset_revision") if c in cases.columns]
+    absent = [c for c in dataset if c not in observations.columns]
+    rows = observations
+    if absent:
+        if runs is None:
+            raise ValueError("case ids belong to datasets: give the runs with their datasets")
+        named = runs.select(F.col("run_id").alias("_run"), *absent).distinct()
+        rows = join_small(rows, named, lambda o, r: o["run_id"] == r["_run"], salt_on="case_id").drop("_run")
+    return rows.join(cases.select(*dataset, "case_id", "slices"), [*dataset, "case_id"])
+
+
+def slice_partials(
+    observations: DataFrame, cases: DataFrame | None = None, runs: DataFrame | None = None
+) -> DataFrame:
+    """Counts and mergeable sums per run, metric and slice (see ``slice_summary``)."""
     rows = observations
     if "slices" not in rows.columns:
-        rows = rows.join(cases.select("case_id", "slices"), "case_id")
+        rows = _with_slices(rows, cases, runs)
     by_set = rows.groupBy(
         "run_id", "metric", F.array_distinct("slices").alias("slices")
     ).agg(*_partials())
     scopes = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("slices", F.array().cast("array<string>")))
     exploded = by_set.withColumn("slice", F.explode(scopes)).drop("slices")
-    return (
-        exploded.groupBy("run_id", "metric", "slice")
-        .agg(*_merged())
-        .select("run_id", "metric", "slice", "attempted", "scored", "skipped", "errors", _mean())
-    )
+    return merged_partials(exploded)
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("run_id", "metric", "slice").agg(*_merged())
+
+
+def with_means(partials: DataFrame) -> DataFrame:
+    return partials.select("run_id", "metric", "slice", "attempted", "scored", "skipped", "errors", _mean())
+
+
+def slice_summary(
+    observations: DataFrame, cases: DataFrame | None = None, runs: DataFrame | None = None
+) -> DataFrame:
+    """Counts and mean per run, metric and slice; NULL slice means all cases.
+
+    Rows are first combined per whole set of slices (few distinct sets, combined
+    before the shuffle); only those partial results are exploded by slice.
+
+    Observations without ``slices`` take them from ``cases``.  Datasets may share case
+    ids: where cases carry a dataset, observations need its columns, or ``runs``
+    (``run_id, dataset_name, dataset_revision``) names them.
+    """
+    return with_means(slice_partials(observations, cases, runs))
 
 
 _SIDE_FIELDS = ("attempted", "scored", "skipped", "errors", "mean")

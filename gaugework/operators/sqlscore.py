@@ -251,6 +251,10 @@ def _skip(metric: str, reason: str) -> Column:
     return observation(EVALUATOR, metric, "skipped", reason=reason)
 
 
+def _dataset(table: DataFrame) -> list[str]:
+    return [c for c in ("dataset_name", "dataset_revision") if c in table.columns]
+
+
 def sql_evidence(
     expectations: DataFrame,
     outputs: DataFrame,
@@ -268,6 +272,9 @@ def sql_evidence(
     ``expected_rows``: ``run_id, case_id`` of every case that a run has to answer (cases
     and runs joined on their dataset); a case without an output gets a row that says so.
     Without it the outputs are taken to be complete.
+
+    Datasets may share case ids: dataset columns of expectations and broken references
+    must then be in ``expected_rows`` or ``outputs`` too, and are part of the join.
     """
     keys = ["run_id", "case_id"]
     policy = audited.groupBy(*keys).agg(
@@ -280,18 +287,22 @@ def sql_evidence(
     )
     compared = result_set_comparison(results, keys)
     expected = expectations.select(
-        "case_id", "behavior", "expected_columns", "result_order", "accepted_clarification_codes",
+        *_dataset(expectations), "case_id", "behavior", "expected_columns", "result_order", "accepted_clarification_codes",
         F.coalesce("expectation_valid", F.lit(False)).alias("expectation_valid"),
     )
-    marked = broken.select("case_id").distinct().withColumn("broken", F.lit(True))
     answers = outputs.withColumn("answered", F.lit(True))
     if expected_rows is not None:
-        answers = expected_rows.select(*keys).join(answers, keys, "left")
+        dataset = _dataset(expected_rows)
+        answers = expected_rows.select(*keys, *dataset).join(answers.drop(*dataset), keys, "left")
+    for table in (expectations, broken):
+        if set(_dataset(table)) - set(answers.columns):
+            raise ValueError("case ids belong to datasets: name the datasets of the expected rows")
+    marked = broken.select(*_dataset(broken), "case_id").distinct().withColumn("broken", F.lit(True))
     wide = (
         answers.join(policy, keys, "left")
         .join(compared, keys, "left")
-        .join(expected, "case_id")
-        .join(marked, "case_id", "left")
+        .join(expected, [*_dataset(expected), "case_id"])
+        .join(marked, [*_dataset(marked), "case_id"], "left")
     )
     ordered = F.col("result_order") == "ordered"
     same = F.when(ordered, F.col("ordered_equal")).otherwise(F.col("unordered_equal"))

@@ -649,6 +649,32 @@ def _(v):
     return rounded(summary(v), "mean")
 
 
+@query(
+    "slice_summary_by_dataset",
+    f"""
+    WITH o AS (SELECT run_id, metric, status, value, slices FROM v_observations
+               UNION ALL SELECT 'other', o.metric, o.status, o.value, ['language/' || c.lang] FROM v_observations o JOIN v_cases c ON c.case_id = o.case_id
+                         WHERE o.run_id = 'baseline' AND c.doc_id % 2 = 0),
+         s AS (SELECT run_id, metric, status, value, NULL AS slice FROM o UNION ALL SELECT run_id, metric, status, value, unnest(slices) FROM o),
+         a AS (SELECT run_id, metric, slice, count(*) AS attempted, count(*) FILTER (status = 'scored') AS scored,
+                      count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors, avg(value) AS mean
+               FROM s GROUP BY run_id, metric, slice)
+    SELECT run_id, metric, slice, {_COUNTS} FROM a""",
+)
+def _(v):
+    """Runs of two datasets that share case ids; a case's slices are those of the run's dataset."""
+    even = F.regexp_extract("case_id", "[0-9]+$", 0).cast("bigint") % 2 == 0
+    language = F.filter("slices", lambda s: s.startswith("language/"))
+    other = v.cases.filter(even).withColumns({"dataset_name": F.lit("other"), "slices": language})
+    cases = v.cases.unionByName(other).select("dataset_name", "dataset_revision", "case_id", "slices")
+    again = v.observations.filter((F.col("run_id") == "baseline") & even).withColumn("run_id", F.lit("other"))
+    runs = v.runs.select("run_id", "dataset_name", "dataset_revision").unionByName(
+        v.values("('other', 'other', 1)", "run_id, dataset_name, dataset_revision")
+    )
+    observations = v.observations.unionByName(again).drop("slices")
+    return rounded(agg.slice_summary(observations, cases, runs), "mean")
+
+
 @query(
     "aggregate_comparison",
     """

@@ -13,7 +13,7 @@ from gaugework.plans.views import Views
 from gaugework.schemas import POLICY, RECORDED_RESPONSE
 from gaugework.session import scratch_path, spread_small
 from gaugework.sources import cases as case_source
-from gaugework.sources import evidence, policies
+from gaugework.sources import evidence, policies, published
 from gaugework.sources import responses as response_source
 
 
@@ -212,6 +212,26 @@ def _(v):
     return evidence.append_once(new.unionByName(repeated), existing, ["key"])
 
 
+@query(
+    "publish_once",
+    """
+    SELECT o_orderkey AS key, CASE o_orderkey % 5 WHEN 0 THEN 'other' ELSE 'd' || o_custkey END AS digest
+    FROM orders WHERE o_orderkey % 5 <> 4""",
+)
+def _(v):
+    """Two publications that overlap: what the first one brought stays."""
+    key, digest = F.col("o_orderkey"), F.concat(F.lit("d"), F.col("o_custkey"))
+    orders = v.table("orders")
+    path = scratch_path(v.spark, "published")
+    first = orders.filter(key % 5 < 2).select(
+        key.alias("key"), F.when(key % 5 == 0, F.lit("other")).otherwise(digest).alias("digest")
+    )
+    evidence.publish_once(v.spark, first, path, ["key"])
+    second = orders.filter(key % 5 != 4).select(key.alias("key"), digest.alias("digest"))
+    evidence.publish_once(v.spark, second.unionByName(second.filter(F.col("key") % 5 == 2)), path, ["key"])
+    return published.read_published(v.spark, path, second.schema)
+
+
 @query(
     "file_manifest",
     "SELECT 'gates' AS section, count(*) AS records FROM v_gate_results UNION ALL SELECT 'cases', count(*) FROM v_gate_cases",

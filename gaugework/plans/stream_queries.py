@@ -11,7 +11,7 @@ from gaugework.plans.history_queries import _LIFECYCLE, stamped
 from gaugework.plans.registry import query, rounded
 from gaugework.plans.views import FLAGSHIP, Views
 from gaugework.session import scratch_path
-from gaugework.streaming import streams
+from gaugework.streaming import incremental, reordered, streams
 
 HOUR_MS = 3_600_000
 
@@ -97,3 +97,60 @@ def _(v):
         "pair_id", "position", "candidate_mean", "delta", F.array_join("failure_codes", ",").alias("failure_codes"), "status"
     )
     return rounded(found, "candidate_mean", "delta")
+
+
+@query(
+    "ordered_lifecycle_stream",
+    f"""
+    WITH t AS (SELECT job_id, seq, (epoch_us(at_time) + 999) // 1000 AS ms FROM v_transitions),
+         r AS (SELECT job_id, max(seq) AS reached FROM t WHERE ms + {HOUR_MS} <= (SELECT max(epoch_us(at_time)) // 1000 - {HOUR_MS} FROM v_transitions) GROUP BY job_id)
+    SELECT l.job_id, l.seq, l.code FROM ({_LIFECYCLE}) l JOIN r ON r.job_id = l.job_id WHERE l.seq <= r.reached""",
+)
+def _(v):
+    """Violations of the rows that the watermark has released."""
+    stream = reordered.ordered_lifecycle_stream(views.transitions(arriving(v, "events")), "1 hour", "30 days")
+    return streams.run_to_table(stream).filter(F.col("code").isNotNull()).select("job_id", "seq", "code")
+
+
+@query(
+    "submission_outcomes_stream",
+    f"""
+    WITH f AS (SELECT *, first_value(digest) OVER w AS d, row_number() OVER w AS n FROM v_submissions WINDOW w AS (PARTITION BY kind, key ORDER BY at_time, submission_id))
+    SELECT submission_id, kind, key, CASE WHEN n = 1 THEN 'first' ELSE 'conflict' END AS outcome FROM f
+    WHERE (n = 1 OR digest <> d) AND (epoch_us(at_time) + 999) // 1000 <= (SELECT max(epoch_us(at_time)) // 1000 - {HOUR_MS} FROM v_submissions)""",
+)
+def _(v):
+    """First submissions and conflicts that the watermark has passed."""
+    stream = reordered.submission_outcomes_stream(views.submissions(arriving(v, "events")), "1 hour", "60 days")
+    return streams.run_to_table(stream).select("submission_id", "kind", "key", "outcome")
+
+
+def _followed(v: Views) -> str:
+    """Observations that arrive in four batches, merged into versioned totals and gates; their folder."""
+    base = scratch_path(v.spark, "incremental")
+    v.observations.repartition(4).write.parquet(f"{base}/in")
+    stream = v.spark.readStream.schema(v.observations.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    writer = incremental.gate_changes_stream(stream, v.pairs, v.gates, f"{base}/out", f"{base}/checkpoint", whole_every=2)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/out"
+
+
+@query(
+    "gate_changes_stream",
+    "SELECT pair_id, position, round(candidate_mean, 6) AS candidate_mean, round(delta, 6) AS delta, failure_codes, status FROM v_gate_results",
+)
+def _(v):
+    """Gates after the last batch, of which each batch wrote only the changed ones."""
+    found = incremental.current_gates(v.spark, _followed(v), v.pairs, v.gates).select(
+        "pair_id", "position", "candidate_mean", "delta", F.array_join("failure_codes", ",").alias("failure_codes"), "status"
+    )
+    return rounded(found, "candidate_mean", "delta")
+
+
+@query(
+    "run_totals_stream",
+    "SELECT run_id, metric, slice, attempted, scored, skipped, errors, round(mean, 6) AS mean FROM v_slice_summary",
+)
+def _(v):
+    """Summaries per run, metric and slice after the last batch."""
+    return rounded(incremental.current_totals(v.spark, _followed(v)), "mean")

@@ -42,19 +42,10 @@ def append_once(
 def publish_once(
     spark: SparkSession, new: DataFrame, path: str, key: Sequence[str], digest: str = "digest"
 ) -> DataFrame:
-    """Append the absent records to a parquet table; returns the labels."""
-    try:
-        existing = spark.read.parquet(path)
-    except Exception as error:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        existing = new.limit(0)
-    labels = append_once(new, existing, key, digest)
-    fresh = new.dropDuplicates([*key, digest]).join(
-        labels.filter(F.col("action") == "append").select(*key), list(key), "left_semi"
-    )
-    fresh.write.mode("append").parquet(path)
-    return labels
+    """Add the absent records to a parquet table, each key once; returns the labels (see ``published``)."""
+    from gaugework.sources import published
+
+    return published.publish_once(spark, new, path, key, digest)
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:

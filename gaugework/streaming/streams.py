@@ -62,6 +62,25 @@ def first_submissions_stream(submissions: DataFrame, delay: str) -> DataFrame:
     return submissions.withWatermark("at", delay).dropDuplicatesWithinWatermark(["kind", "key"])
 
 
+FINAL_STATES = ("succeeded", "failed", "canceled")
+
+
+def lifecycle_codes(status: str | None, at: int | None, row) -> Iterator[str]:
+    """What is wrong with a transition after a job's last status and time."""
+    if status is None and row["status"] != "queued":
+        yield "not_queued_first"
+    if status is not None and status != row["status"] and f"{status}>{row['status']}" not in LEGAL_TRANSITIONS:
+        yield "illegal_transition"
+    if at is not None and row["micros"] < at:
+        yield "time_moved_back"
+    if (row["status"] == "failed") != (row["error_code"] is not None):
+        yield "error_code_mismatch"
+    if row["attempt_count"] > row["max_attempts"]:
+        yield "too_many_attempts"
+    if row["status"] in ("running", "cancel_requested", "succeeded", "failed") and row["attempt_count"] < 1:
+        yield "started_without_attempt"
+
+
 class _Lifecycle(StatefulProcessor):
     """Current state per job and the violations found so far, in arrival order."""
 
@@ -75,20 +94,7 @@ class _Lifecycle(StatefulProcessor):
             status, at, _ = self._state.get()
         last = None
         for row in ordered:
-            codes = []
-            if status is None and row["status"] != "queued":
-                codes.append("not_queued_first")
-            if status is not None and status != row["status"] and f"{status}>{row['status']}" not in LEGAL_TRANSITIONS:
-                codes.append("illegal_transition")
-            if at is not None and row["micros"] < at:
-                codes.append("time_moved_back")
-            if (row["status"] == "failed") != (row["error_code"] is not None):
-                codes.append("error_code_mismatch")
-            if row["attempt_count"] > row["max_attempts"]:
-                codes.append("too_many_attempts")
-            if row["status"] in ("running", "cancel_requested", "succeeded", "failed") and row["attempt_count"] < 1:
-                codes.append("started_without_attempt")
-            for code in codes:
+            for code in lifecycle_codes(status, at, row):
                 yield Row(job_id=key[0], seq=row["seq"], status=row["status"], code=code)
             status, at, last = row["status"], row["micros"], row["seq"]
         if last is not None:
