@@ -40,6 +40,7 @@ from gaugework.llm.shared import kept_by_worker, written
 CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 1000
 ORDER_DOCS, ORDER_BITS = 5000, 18  # sample and table size for the order of shingles
 FEW_IDS = 1_000_000  # ids that are broadcast, 16 MB at most
+CROWD = 20_000  # documents with the same set from which their class is broadcast
 U = np.uint64
 
 
@@ -349,7 +350,9 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept``: the smallest id reachable over links, and whether it is one's own."""
     base = written(_fingerprints(docs, words, bands, rows), "sketches")
     usable = base.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = written(usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")), "classes")
+    classes = written(usable.groupBy("set_key").agg(
+        F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("documents")
+    ), "classes")
     first_rows = usable.join(classes.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"])
     spread = first_rows.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     crowded = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
@@ -357,9 +360,9 @@ def near_duplicates(
     meets = buckets.groupBy("id").agg(F.sum(F.col("_c").cast("double")).alias("meets"))
     shared = written(buckets.drop("_c").join(meets, "id"), "buckets")
     sets = _full_sets(docs, shared.select("id").distinct(), words)
-    # Documents under one id, or copies of a text under two ids, are one node already.
-    same = usable.join(classes, "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links = same
+    # Nodes of the graph are classes of equal sets, by their smallest document; a document with several sets links them.
+    several = written(_several(base, classes), "several")
+    links = several.where("a <> b").select("a", "b").distinct()
     labels = components(links)
     tried = None
     for count in (*pivots, 0):
@@ -369,9 +372,39 @@ def near_duplicates(
         links = labels.union(_confirmed(pairs, sets, percent))
         labels = components(links)
         tried = pairs if tried is None else tried.union(pairs)
-    reached = labels.select(F.col("a").alias("doc_id"), F.col("b").alias("_root"))
-    component = F.coalesce("_root", "doc_id")
-    return base.join(reached, "doc_id", "left").select(
+    return _per_document(base, classes, several, labels)
+
+
+def _several(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id, a, b``: for documents with more than one set, each class and the least class of the document."""
+    marked = base.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("set_key", F.lit(b"")).alias("set_key"))
+    more = marked.groupBy("doc_id").agg(F.min("set_key").alias("_l"), F.max("set_key").alias("_h")).where("_l <> _h").select("doc_id")
+    own = marked.distinct().join(more, "doc_id", "left_semi").join(classes.select("set_key", "id"), "set_key").select("doc_id", "id")
+    least = own.groupBy("doc_id").agg(F.min("id").alias("b"))
+    return own.join(least, "doc_id").select("doc_id", F.col("id").alias("a"), "b")
+
+
+def _per_document(base: DataFrame, classes: DataFrame, several: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document with the component of its class.
+
+    Classes of many documents are broadcast; there is at most one per ``CROWD`` documents.  The others meet their
+    documents on the set, where no key has more rows than that.
+    """
+    rooted = classes.join(labels.select(F.col("a").alias("id"), F.col("b").alias("_root")), "id", "left").select(
+        "set_key", F.coalesce("_root", "id").alias("root"), "documents"
+    )
+    crowd = rooted.where(F.col("documents") >= CROWD).select(F.col("set_key").alias("_crowd"), F.col("root").alias("_crowd_root"))
+    rest = rooted.where(F.col("documents") < CROWD).select(F.col("set_key").alias("_key"), F.col("root").alias("_rest_root"))
+    alone = F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")).cast("binary")  # no set has such a key
+    found = base.join(F.broadcast(crowd), F.col("set_key") == F.col("_crowd"), "left").withColumn(
+        "_own", F.when(F.col("_crowd").isNull() & F.col("set_key").isNotNull(), F.col("set_key")).otherwise(alone)
+    ).join(rest, F.col("_own") == F.col("_key"), "left")
+    # Documents with several sets have one component, whichever row of theirs it is.
+    shared_root = several.join(labels.select(F.col("a").alias("_a"), F.col("b").alias("_root")), F.col("b") == F.col("_a"), "left").groupBy("doc_id").agg(
+        F.min(F.coalesce("_root", "b")).alias("_several_root")
+    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_several_root", "_crowd_root", "_rest_root", "doc_id"))
+    return found.join(shared_root, "doc_id", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
