@@ -7,11 +7,13 @@ import types
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugework.session import shared_folder
 
+SAMPLE_BYTES = 64 << 20  # of text in a sample of labelled rows
+
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the folder that driver and executors share."""
@@ -26,13 +28,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def kept_by_worker(key: tuple, make: Callable):
-    """A value built once per Python worker; workers outlive their tasks."""
+    """A value built once per Python worker; workers outlive their tasks.
+
+    A worker holds values of one operator at a time, which ``key`` names first, and four of them at most.
+    """
     name = "_gaugework_worker_values"
     holder = sys.modules.get(name)
     if holder is None:
         holder = sys.modules[name] = types.ModuleType(name)
         holder.values = {}
     if key not in holder.values:
+        others = [k for k in holder.values if k[0] != key[0]]
+        for old in others or list(holder.values)[:-3]:
+            del holder.values[old]
         holder.values[key] = make()
     return holder.values[key]
 
@@ -42,10 +50,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled training rows ``(text, label)``, the same ones on every run.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, text_bytes: int = SAMPLE_BYTES
+) -> DataFrame:
+    """At most ``rows`` distinct labelled training rows ``(doc_id, text, label)``, the same ones on every run.
 
-    Labels of absent documents do not count.  The smallest hashes of the id win, so the sample does not depend on partitioning.
+    Labels of absent documents do not count.  The smallest hashes of the id, then of the text, win, so the sample does
+    not depend on partitioning.  It ends before the row that ``text_bytes`` of text precede; one row is always taken.
     """
     truth = (
         labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -55,8 +66,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return (
+    place = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    held = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(truth), "doc_id")  # at most ``rows`` ids
+        .distinct()
+        .orderBy(*place)
+        .limit(rows)
+    )
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)  # over ``rows`` rows
+    return (
+        held.withColumn("_before", F.coalesce(F.sum(F.octet_length("text").cast("bigint")).over(before), F.lit(0)))
+        .where(F.col("_before") < text_bytes)
         .select("doc_id", "text", F.col("_label").cast("int").alias("label"))
     )

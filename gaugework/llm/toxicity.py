@@ -13,6 +13,7 @@ rows and extra columns need no special care.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -21,13 +22,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugework.llm.shared import kept_by_worker
+
 SAMPLE_ROWS = 4000
 WINDOW, STEP = 64, 48
 HIDDEN, POOL, EMBED = 6, 8, 4
 BUCKETS = 1 << 18
 FOLDS = 4
 WORD_ROWS, CHAR_ROWS = 1 << 12, 64
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 GRAMS = (3, 4, 5, 6)
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¿¡«»„“”…–—"
 
@@ -245,13 +248,6 @@ class Scorer:
         self.slope, self.shift, self.constant = np.float64(1), np.float64(0), None
         self._forget()
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("number", "forth", "back")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._forget()
-
     def _forget(self) -> None:
         self.number = Numbers()
         self.forth = [np.zeros((1, 3 * HIDDEN), np.float32)]
@@ -508,12 +504,14 @@ def _rebuilt(learnt: dict) -> Scorer:
 
 
 def score(text: Column, scorer: Scorer) -> Column:
-    """Probability that a whole text is toxic."""
-    shared = scorer
+    """Probability that a whole text is toxic; a worker keeps the scorer and what it knows of words from task to task."""
+    learnt = _learnt(scorer)
+    name = hashlib.sha256(pickle.dumps(learnt)).hexdigest()
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = kept_by_worker(("toxicity", name), lambda: _rebuilt(learnt))
         for batch in batches:
-            yield pd.Series(shared.scores(batch.tolist()), dtype="float64")
+            yield pd.Series(own.scores(batch.tolist()), dtype="float64")
 
     return scores(text)

@@ -240,6 +240,37 @@ def test_paraphrases_and_edges(spark):
     assert decontaminate.clean(table, benchmark.limit(0)).count() == len(docs)
 
 
+def test_short_answers_count_where_they_are_rare(spark):
+    """Half of a passage and its answer in a row, without it, with its words apart, and with an answer of common words."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    kept = [rng.choices(vocabulary, k=12) for _ in range(2)]
+    gone = [rng.choices(vocabulary, k=10) for _ in range(2)]
+    items = [(1, " ".join(kept[0] + gone[0]) + ". Zyxel Quorvat"), (2, " ".join(kept[1] + gone[1]) + ". " + " ".join(vocabulary[:2]))]
+    fill = lambda n: rng.choices(vocabulary[:2] * 40 + vocabulary, k=n)
+    docs = [(k, " ".join(fill(80))) for k in range(300)]
+    docs += [(1000, " ".join(fill(30) + kept[0] + ["zyxel", "quorvat"] + fill(30))), (1001, " ".join(fill(30) + kept[0] + fill(30))),
+             (1002, " ".join(fill(30) + kept[0] + ["zyxel"] + fill(3) + ["quorvat"] + fill(30))),
+             (1003, " ".join(fill(30) + kept[1] + vocabulary[:2] + fill(30)))]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = decontaminate.search(table, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1000, 1)}
+    assert all(decontaminate.LIKELY <= r["covered"] < decontaminate.SURE and r["answered"] == 1 for r in rows)
+    # An answer may hold words that stand in no passage.
+    own = spark.createDataFrame([(1, " ".join(kept[0] + gone[0]), "Zyxel Quorvat")], "item_id bigint, text string, answer string")
+    assert {r["doc_id"] for r in decontaminate.search(table, own).collect()} == {1000}
+
+
+def test_scripts_without_blanks(spark):
+    item, thai = "机器学习模型需要大量的训练数据才能取得好的效果", "การเรียนรู้ของเครื่องต้องการข้อมูล"
+    others = "今天天气很好我们一起去公园散步然后回家吃饭看书"
+    docs = [(1, others + item + others), (2, others * 3), (3, f"x {thai} y"), (4, item[:4]), (5, "plain words " * 20)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, thai), (3, item[:5])], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(table, benchmark).collect()} == {(1, 1), (3, 2)}
+    assert decontaminate.words_of("Ab_c 日本x ß") == ["ab", "c", "日", "本", "x", "ß"]
+
+
 def test_verbatim_passages_of_a_large_benchmark(spark):
     """2000 items of 6 to 20 common words, planted word for word among words of the same kind."""
     rng = random.Random(9)
@@ -280,3 +311,15 @@ def test_labels_of_absent_documents_leave_the_sample_full(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(1000)], "doc_id bigint, quality int")
     rows = shared.labelled_sample(docs, labels, "quality", 20).collect()
     assert len({r["doc_id"] for r in rows}) == 20
+
+
+def test_repeated_ids_and_long_texts_leave_the_sample_bounded(spark):
+    same = [(1, f"t{k}") for k in range(5000)] + [(2, "copy")] * 3000
+    docs = spark.createDataFrame(same + [(k, "x") for k in range(3, 200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id bigint, toxic int")
+    rows = shared.labelled_sample(docs, labels, "toxic", 50).collect()
+    assert len(rows) == 50 and len({(r["doc_id"], r["text"]) for r in rows}) == 50
+    assert sorted(map(tuple, shared.labelled_sample(docs.repartition(7), labels, "toxic", 50).collect())) == sorted(map(tuple, rows))
+    long = spark.createDataFrame([(k, "é" * 1000) for k in range(100)], "doc_id bigint, text string")
+    assert len(shared.labelled_sample(long, labels, "toxic", 50, text_bytes=10_000).collect()) == 5
+    assert len(shared.labelled_sample(long, labels, "toxic", 50, text_bytes=10).collect()) == 1
