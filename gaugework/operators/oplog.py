@@ -225,27 +225,36 @@ def _known_trace(c: Column) -> Column:
     return F.when(c.rlike(r"^[0-9a-f]{32}$") & (c != "0" * 32), c)
 
 
-def trace_rollup(spans: DataFrame) -> DataFrame:
-    """Per trace and submission trace that it links to: spans, errors, duration, and the link's size.
-
-    A trace without links has one row.
-
-    ``spans``: ``trace_id, span_id, outcome, duration_ms, traceparent``.  Malformed
-    or all-zero ids and links are ignored.
-    """
+def valid_spans(spans: DataFrame) -> DataFrame:
+    """Spans of known traces, with the trace that they link to in ``_link``; malformed or all-zero ids and links are ignored."""
     link = F.col("traceparent")
     whole = link.rlike(TRACEPARENT) & (F.regexp_extract(link, TRACEPARENT, 2) != "0" * 16)
-    valid = spans.select(
+    return spans.select(
         _known_trace(F.col("trace_id")).alias("trace_id"),
         "outcome",
         "duration_ms",
         F.when(whole, _known_trace(F.regexp_extract(link, TRACEPARENT, 1))).alias("_link"),
     ).filter(F.col("trace_id").isNotNull())
-    rolled = valid.groupBy("trace_id").agg(
+
+
+def rolled_traces(valid: DataFrame) -> DataFrame:
+    return valid.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("spans"),
         F.count_if(F.col("outcome") == "error").alias("errors"),
         F.max("duration_ms").alias("duration_ms"),
     )
+
+
+def trace_rollup(spans: DataFrame) -> DataFrame:
+    """Per trace and submission trace that it links to: spans, errors, duration, and the link's size.
+
+    A trace without links has one row.
+
+    ``spans``: ``trace_id, span_id, outcome, duration_ms, traceparent``.  Malformed
+    or all-zero ids and links are ignored.
+    """
+    valid = valid_spans(spans)
+    rolled = rolled_traces(valid)
     # Only traces with links meet the sizes of others, so absent links are no join key.
     links = valid.where("_link IS NOT NULL").select("trace_id", F.col("_link").alias("linked_trace_id")).distinct()
     sizes = rolled.select(

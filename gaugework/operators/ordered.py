@@ -19,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 HOT_ROWS = 4_000_000
 RANGES = 256
-_SALTS = 64
+_CUT_ROWS = 4  # ranges per hot-row limit that a group is cut into, up to RANGES
 
 
 def split_hot_groups(
@@ -32,31 +32,35 @@ def split_hot_groups(
     """Add ``_range``: 0 for normal groups, the value range of ``lead`` for hot ones.
 
     Rows with equal ``lead`` share a range, and ranges follow the order of ``lead``.
-    With no hot group the runtime re-plan drops both joins on the empty side.
+
+    One pass over the keys counts the groups.  Hot groups and their cuts are broadcast,
+    which their number bounds: there is at most one hot group per ``hot_rows`` rows of
+    the input, and about ``_CUT_ROWS`` cuts per ``hot_rows`` rows.  Without a hot group
+    the runtime re-plan drops the pass that makes cuts, and both joins.
     """
-    rows = df.withColumn("_lead", lead.cast("double")).withColumn(
-        "_salt", F.pmod(F.xxhash64("_lead"), F.lit(_SALTS))
-    )
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)
-        .drop("_rows")
     )
+    rows = df.withColumn("_lead", lead.cast("double"))
     points = [i / ranges for i in range(1, ranges)]
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint"))
-    salted_hot = hot.withColumn("_salt", F.explode(salts))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    same_salted = same + [F.col("l._salt") == F.col("r._salt")]
-    cuts = (
-        rows.select(*keys, "_salt", "_lead")
+    same = _all([F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    sketched = (
+        rows.select(*keys, "_lead")
         .alias("l")
-        .join(salted_hot.alias("r"), _all(same_salted), "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_lead", points, 10_000).alias("_cuts"))
-        .withColumn("_salt", F.explode(salts))
+        .join(F.broadcast(hot.alias("r")), same)
+        .groupBy(*[F.col(f"l.{k}").alias(k) for k in keys])
+        .agg(F.percentile_approx("l._lead", points, 10_000).alias("_all_cuts"), F.max("r._rows").alias("_rows"))
+    )
+    wanted = F.least(F.lit(ranges), F.ceil(F.col("_rows") * _CUT_ROWS / hot_rows)).cast("int")
+    cuts = sketched.select(
+        *keys,
+        F.transform(
+            F.sequence(F.lit(1), wanted - 1), lambda i: F.element_at("_all_cuts", F.floor(i * ranges / wanted).cast("int"))
+        ).alias("_cuts"),
     )
-    joined = rows.alias("l").join(cuts.alias("r"), _all(same_salted), "left")
+    joined = rows.alias("l").join(F.broadcast(cuts.alias("r")), same, "left")
     lead_value = F.col("l._lead")
     position = F.size(F.filter(F.col("r._cuts"), lambda cut: cut < lead_value))
     return joined.select(

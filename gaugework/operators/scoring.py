@@ -167,8 +167,11 @@ def _usage() -> Column:
 # reported as ``unsupported_schema`` instead of being ignored.
 ROOT_KEYWORDS = (
     "$schema", "$id", "$comment", "title", "description", "default", "examples",
-    "type", "enum", "const", "required", "properties", "additionalProperties",
+    "type", "enum", "const", "required", "properties", "additionalProperties", "$defs", "definitions",
 )
+# What may stand next to a reference without restricting a value.
+BESIDE_REFERENCE = ("$ref", "$schema", "$id", "$comment", "title", "description", "default", "examples", "$defs", "definitions")
+REFERENCE_STEPS = 16
 PROPERTY_KEYWORDS = (
     "$comment", "title", "description", "default", "examples",
     "type", "enum", "const", "minimum", "maximum", "minLength", "maxLength",
@@ -292,26 +295,104 @@ def _verdict(s: Column) -> Column:
     )
 
 
+def _object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _targets(root: Column) -> Column:
+    """Parts of a schema by the reference that names them."""
+    none = F.map_from_arrays(_strings(), F.array().cast("array<variant>"))
+
+    def of(place: str) -> Column:
+        held = F.coalesce(_object(F.try_element_at(root, F.lit(place))), none)
+        return F.transform_keys(
+            held,
+            lambda k, _: F.concat(F.lit(f"#/{place}/"), F.replace(F.replace(k, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))),
+        )
+
+    return F.map_concat(*[of(place) for place in ("$defs", "definitions", "properties")])
+
+
+def _resolved(v: Column, targets: Column) -> Column:
+    """What local references lead to; NULL where they go round or name a part that is not there.
+
+    References next to other rules, and those that name no direct part of the schema, stay as they are.
+    """
+
+    def reference(at: Column) -> Column:
+        held = _object(at)
+        ref = F.try_variant_get(F.try_element_at(held, F.lit("$ref")), "$", "string")
+        alone = F.forall(F.map_keys(held), lambda k: k.isin(*BESIDE_REFERENCE))
+        return F.when(alone & ref.rlike(r"^#/(\$defs|definitions|properties)/[^/]+$"), ref)
+
+    def followed(at: Column, _: Column) -> Column:
+        return F.when(reference(at).isNotNull(), F.try_element_at(targets, reference(at))).otherwise(at)
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(REFERENCE_STEPS)), v, followed)
+    return _let({"end": end}, lambda s: F.when(reference(s["end"]).isNull(), s["end"]))
+
+
+def _with_references(rules: Column) -> Column:
+    """``rules``, ``properties`` and whether all local references ``lead`` somewhere."""
+
+    def found(s: Column) -> Column:
+        return _let(
+            {"rules": _resolved(s["rules"], s["targets"]), "targets": s["targets"]},
+            lambda t: _let(
+                {
+                    "rules": t["rules"],
+                    "properties": F.transform_values(
+                        _object(F.try_element_at(_object(t["rules"]), F.lit("properties"))), lambda _, p: _resolved(p, t["targets"])
+                    ),
+                },
+                lambda u: F.struct(
+                    u["rules"].alias("rules"),
+                    u["properties"].alias("properties"),
+                    (
+                        u["rules"].isNotNull()
+                        & F.coalesce(F.forall(F.map_values(u["properties"]), lambda p: p.isNotNull()), F.lit(True))
+                    ).alias("lead"),
+                ),
+            ),
+        )
+
+    return _let({"rules": rules, "targets": _targets(_object(rules))}, found)
+
+
 def json_conforms(output: Column | str, schema: Column | str) -> Column:
     """``valid``, ``schema_mismatch``, ``invalid_schema``, ``remote_reference``,
-    ``unsupported_schema`` or NULL without a schema, all inside one row."""
+    ``unsupported_schema`` or NULL without a schema, all inside one row.
+
+    References to the schema's own ``$defs``, ``definitions`` and ``properties`` are followed;
+    those that go round or name nothing make an ``invalid_schema``."""
     out = F.col(output) if isinstance(output, str) else output
     text = F.col(schema) if isinstance(schema, str) else schema
 
     def parts(parsed: Column) -> Column:
-        rules, value = parsed["rules"], parsed["value"]
-        return _let(
+        value = parsed["value"]
+        plain = F.struct(
+            parsed["rules"].alias("rules"),
+            F.try_variant_get(parsed["rules"], "$.properties", "map<string,variant>").alias("properties"),
+            F.lit(True).alias("lead"),
+        )
+        followed = F.when(text.contains('"$ref"'), _with_references(parsed["rules"])).otherwise(plain)
+        return _let({"schema": followed, "value": value}, named)
+
+    def named(parsed: Column) -> Column:
+        rules, value = parsed["schema"]["rules"], parsed["value"]
+        verdict = _let(
             {
                 "rules": rules,
                 "value": value,
                 "root": F.try_variant_get(rules, "$", "map<string,variant>"),
-                "properties": F.try_variant_get(rules, "$.properties", "map<string,variant>"),
+                "properties": parsed["schema"]["properties"],
                 "required": F.try_variant_get(rules, "$.required", "array<string>"),
                 "closed": F.try_variant_get(rules, "$.additionalProperties", "boolean"),
                 "fields": F.try_variant_get(value, "$", "map<string,variant>"),
             },
             _verdict,
         )
+        return F.when(parsed["schema"]["lead"], verdict).otherwise("invalid_schema")
 
     return (
         F.when(text.isNull() | (F.trim(text) == "null"), F.lit(None).cast("string"))

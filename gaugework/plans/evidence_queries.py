@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugework.functions import normalize_text
 from gaugework.operators import aggregates as agg
-from gaugework.operators import checks, distributions, gates, joins, sets
+from gaugework.operators import checks, distributions, gates, joins, kept_quantiles, sets
 from gaugework.operators.ordered import canonical_order
 from gaugework.operators.scoring import (
     PandasScorer,
@@ -18,6 +18,7 @@ from gaugework.operators.scoring import (
 )
 from gaugework.plans.registry import query, rounded
 from gaugework.plans.views import Views
+from gaugework.session import scratch_path
 
 
 def summary(v: Views) -> DataFrame:
@@ -925,6 +926,22 @@ def _(v):
     return rounded(distributions.quantile_summary(v.table("lineitem"), ["l_returnflag", "l_linestatus"], value), "mean")
 
 
+@query(
+    "kept_quantiles",
+    f"""
+    SELECT l_suppkey, {_stats()}, count(x) BETWEEN 1 AND 4 AS suppressed, count(x) < 20 AS small_sample
+    FROM (SELECT l_suppkey, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS x FROM lineitem)
+    GROUP BY l_suppkey""",
+)
+def _(v):
+    """Sketches stored per supplier and flag, read back and merged per supplier; groups stay below a sketch's size."""
+    path = scratch_path(v.spark, "kept")
+    value = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice"))
+    kept_quantiles.kept_distribution(v.table("lineitem"), ["l_suppkey", "l_returnflag"], value).write.parquet(path)
+    merged = kept_quantiles.merged_distribution(v.spark.read.parquet(path), ["l_suppkey"])
+    return rounded(kept_quantiles.read_distribution(merged, ["l_suppkey"], suppress_below=5), "mean")
+
+
 @query(
     "quantile_summary_ranges",
     f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugework.operators import aggregates, checks, history, joins, oplog
+from gaugework.operators import aggregates, chains, checks, history, joins, oplog
 from gaugework.operators.ordered import first_occurrence, keyset_page
 from gaugework.plans.registry import query, rounded
 from gaugework.plans.views import Views
@@ -463,3 +463,42 @@ def _(v):
         link.alias("traceparent"),
     )
     return oplog.trace_rollup(spans)
+
+
+@query(
+    "trace_chains",
+    """
+    SELECT * FROM (WITH RECURSIVE s AS (
+      SELECT md5('c' || user_id) AS trace_id, route = 'error' AS failed,
+             CASE WHEN user_id % 30 = 4 THEN md5('c' || (user_id + 1)) WHEN user_id % 30 = 5 THEN md5('c' || (user_id - 1))
+                  WHEN user_id > 1 THEN md5('c' || (user_id // 2)) END AS link
+      FROM v_log),
+    r AS (SELECT trace_id, count(*) AS spans, count(*) FILTER (failed) AS errors FROM s GROUP BY trace_id),
+    p AS (SELECT trace_id, min(link) AS link FROM s WHERE link IS NOT NULL GROUP BY trace_id),
+    w AS (SELECT trace_id, trace_id AS here, 0 AS depth, [trace_id] AS way FROM r
+          UNION ALL SELECT w.trace_id, p.link, w.depth + 1, list_append(w.way, p.link) FROM w JOIN p ON p.trace_id = w.here WHERE NOT list_contains(w.way, p.link)),
+    e AS (SELECT w.*, p.link FROM w LEFT JOIN p ON p.trace_id = w.here WHERE p.link IS NULL OR list_contains(w.way, p.link)),
+    m AS (SELECT e.trace_id, link IS NOT NULL AS cyclic, CASE WHEN link IS NULL THEN depth END AS depth,
+                 CASE WHEN link IS NULL THEN here ELSE list_min(way[list_position(way, link):]) END AS root_trace_id, spans, errors
+          FROM e JOIN r ON r.trace_id = e.trace_id)
+    SELECT trace_id, root_trace_id, CAST(depth AS BIGINT) AS depth, cyclic, count(*) OVER g AS chain_traces,
+           CAST(sum(spans) OVER g AS BIGINT) AS chain_spans, CAST(sum(errors) OVER g AS BIGINT) AS chain_errors
+    FROM m WINDOW g AS (PARTITION BY root_trace_id))""",
+)
+def _(v):
+    """Traces of users that link to those of half their number; some link to each other."""
+    user = F.col("user_id")
+
+    def trace(u):
+        return F.md5(F.concat(F.lit("c"), u))
+
+    other = F.when(user % 30 == 4, trace(user + 1)).when(user % 30 == 5, trace(user - 1)).when(
+        user > 1, trace(F.floor(user / 2))
+    )
+    spans = v.log_events.select(
+        trace(user).alias("trace_id"),
+        F.when(F.col("route") == "error", "error").otherwise("ok").alias("outcome"),
+        F.floor(F.col("duration_ns") / 1_000_000).alias("duration_ms"),
+        F.concat(F.lit("00-"), other, F.lit("-00000000000000aa-01")).alias("traceparent"),
+    )
+    return chains.trace_chains(spans)

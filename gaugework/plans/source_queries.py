@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions import content_digest
-from gaugework.operators import fingerprint, gates, publication
+from gaugework.operators import fingerprint, gates, merkle, publication
 from gaugework.plans.evidence_queries import comparison, gate_cases, results
 from gaugework.plans.registry import query
 from gaugework.plans.views import Views
 from gaugework.schemas import POLICY, RECORDED_RESPONSE
 from gaugework.session import scratch_path, spread_small
 from gaugework.sources import cases as case_source
-from gaugework.sources import evidence, policies, published
+from gaugework.sources import arrivals, evidence, policies, published
 from gaugework.sources import responses as response_source
 
 
@@ -72,6 +72,26 @@ def _(v):
     return found.select("case_id", "expected", F.array_join("slices", ",").alias("slices"))
 
 
+@query(
+    "arriving_cases",
+    """
+    SELECT CASE doc_id % 20 WHEN 3 THEN 'invalid_json' WHEN 5 THEN 'duplicate_key' WHEN 7 THEN 'non_finite_number'
+           WHEN 9 THEN 'case_not_object' WHEN 11 THEN 'invalid_case' WHEN 13 THEN 'bom' WHEN 15 THEN 'invalid_json'
+           WHEN 16 THEN 'invalid_case' WHEN 17 THEN 'duplicate_case_id' ELSE 'accepted' END AS code, count(*) AS lines
+    FROM documents WHERE doc_id % 20 <> 18 GROUP BY ALL""",
+)
+def _(v):
+    """Case files in four batches; every line is parsed once."""
+    base = scratch_path(v.spark, "arriving")
+    # Blank lines first, since a mark at the start of a file is not part of its first line.
+    raw_lines(v).select("line").repartition(4).sortWithinPartitions("line").write.text(f"{base}/in")
+    writer = arrivals.arriving_cases(v.spark, f"{base}/in", f"{base}/out", "documents", 1, f"{base}/checkpoint", files_at_once=1)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    table = arrivals.CaseTable(v.spark, f"{base}/out", "documents", 1)
+    accepted = table.cases().select(F.lit("accepted").alias("code"))
+    return accepted.unionByName(table.rejects().select("code")).groupBy("code").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(
     "write_cases",
     """
@@ -488,3 +508,24 @@ def _(v):
         rows, "page_id", ["html", "url"], ["note"], flags={"simulated": "true"}
     )
     return publication.publication_report(found)
+
+
+@query(
+    "located_differences",
+    """
+    WITH k AS (SELECT l_orderkey, bool_or(l_linenumber = 1) AS first FROM lineitem GROUP BY l_orderkey)
+    SELECT l_orderkey, CASE WHEN l_orderkey % 101 = 0 THEN 'removed' ELSE 'changed' END AS change FROM k
+    WHERE l_orderkey % 101 = 0 OR (l_orderkey % 997 = 0 AND first)
+    UNION ALL SELECT l_orderkey + 1000000000, 'added' FROM k WHERE l_orderkey % 103 = 0""",
+)
+def _(v):
+    """Two stored readings of the line items: some orders change, vanish or appear."""
+    base = scratch_path(v.spark, "readings")
+    before, key = v.table("lineitem"), F.col("l_orderkey")
+    more = F.when((key % 997 == 0) & (F.col("l_linenumber") == 1), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    after = before.filter(key % 101 != 0).withColumn("l_quantity", more).unionByName(
+        before.filter(key % 103 == 0).withColumn("l_orderkey", key + 1_000_000_000)
+    )
+    merkle.store_reading(before, ["l_orderkey"], f"{base}/before")
+    merkle.store_reading(after, ["l_orderkey"], f"{base}/after")
+    return merkle.located_differences(v.spark, f"{base}/before", f"{base}/after", ["l_orderkey"])

@@ -56,6 +56,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``version=<n>`` tables below a path whose writing ended."""
+    folder, system = _folder(spark, path)
+    if not system.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(folder)]
+    done = [n for n in names if n.startswith("version=") and system.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[0])]
+    return sorted(int(n.split("=")[1]) for n in done)
+
+
 def known_size(df: DataFrame) -> int | None:
     """Catalyst's size bound of the optimized plan in bytes, if it can be read."""
     try:

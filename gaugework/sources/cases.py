@@ -124,15 +124,8 @@ CASE_COLUMNS = (
 )
 
 
-def split_cases(
-    lines: DataFrame, name: str, revision: int
-) -> tuple[DataFrame, DataFrame]:
-    """(cases, rejects).  The first of several equal case ids is kept.
-
-    Cases are one scan and one combinable aggregate; the rejects carry positions
-    and codes only, so they shuffle no content.
-    """
-    parsed = parse_case_lines(lines)
+def split_parsed(parsed: DataFrame, name: str, revision: int) -> tuple[DataFrame, DataFrame]:
+    """(cases, rejects) of lines that ``parse_case_lines`` has read."""
     place = F.struct("file", "position")
     first = parsed.filter(F.col("code").isNull()).groupBy("case_id").agg(
         F.min_by(F.struct(*CASE_COLUMNS[1:]), place).alias("_case")
@@ -151,10 +144,22 @@ def split_cases(
         ["file", "position"],
     )
     code = F.coalesce("code", F.when(~F.col("is_first"), F.lit("duplicate_case_id")))
-    rejects = marked.select("file", "position", code.alias("code")).filter(F.col("code").isNotNull())
+    return cases, marked.select("file", "position", code.alias("code")).filter(F.col("code").isNotNull())
+
+
+def split_cases(
+    lines: DataFrame, name: str, revision: int
+) -> tuple[DataFrame, DataFrame]:
+    """(cases, rejects).  The first of several equal case ids is kept.
+
+    Cases are one scan and one combinable aggregate; the rejects carry positions
+    and codes only, so they shuffle no content.  Each of the two parses the lines;
+    ``arrivals.CaseTable`` parses them once and keeps both.
+    """
+    cases, rejects = split_parsed(parse_case_lines(lines), name, revision)
     empty = lines.filter(F.trim("line") != "").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(
         F.lit(None).cast("string").alias("file"),
-        F.lit(None).cast(dict(slim.dtypes)["position"]).alias("position"),
+        F.lit(None).cast(dict(rejects.dtypes)["position"]).alias("position"),
         F.lit("empty_dataset").alias("code"),
     )
     return cases, rejects.unionByName(empty)

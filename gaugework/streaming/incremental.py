@@ -20,7 +20,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from gaugework.operators.aggregates import aggregate_comparison, merged_partials, slice_partials, with_means
 from gaugework.operators.gates import gate_results
 from gaugework.operators.joins import pair_sides
-from gaugework.session import join_small
+from gaugework.session import delete_folder, join_small, versions
 
 TOTAL_KEYS = ("run_id", "metric", "slice")
 GATE_KEYS = ("pair_id", "position")
@@ -89,14 +89,14 @@ class GateChanges:
             needed = sides.join(live, "pair_id", "left_semi").select("run_id")
             gone = ended.join(needed, "run_id", "left_anti").withColumnRenamed("run_id", "_run")
             totals = join_small(totals, gone, lambda t, g: t["run_id"] == g["_run"], "left_anti", salt_on="slice")
-        before = max((v for v in _versions(spark, f"{self._path}/whole-totals") if v < batch_id), default=None)
+        before = max((v for v in versions(spark, f"{self._path}/whole-totals") if v < batch_id), default=None)
         self._write(totals, "whole-totals", batch_id)
         self._write(_latest(spark, self._path, "gates", GATE_KEYS, batch_id + 1), "whole-gates", batch_id)
         if before is not None:
             for kind in ("deltas", "totals", "gates", "whole-totals", "whole-gates"):
-                for version in _versions(spark, f"{self._path}/{kind}"):
+                for version in versions(spark, f"{self._path}/{kind}"):
                     if version < before or (version == before and not kind.startswith("whole")):
-                        _folder(spark, f"{self._path}/{kind}/version={version}", delete=True)
+                        delete_folder(spark, f"{self._path}/{kind}/version={version}")
 
 
 def _like(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -112,25 +112,10 @@ def _like(rows: DataFrame, others: DataFrame, keys: Sequence[str], how: str) ->
     return join_small(rows, renamed, same, how)
 
 
-def _folder(spark: SparkSession, path: str, delete: bool = False):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if delete:
-        system.delete(folder, True)
-        return []
-    return [status.getPath().getName() for status in system.listStatus(folder)] if system.exists(folder) else []
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions whose writing ended."""
-    names = [n for n in _folder(spark, path) if n.startswith("version=")]
-    return sorted(int(n.split("=")[1]) for n in names if "_SUCCESS" in _folder(spark, f"{path}/{n}"))
-
-
 def _latest(spark: SparkSession, path: str, kind: str, keys: Sequence[str], before: int) -> DataFrame | None:
     """The last row of each key in versions below ``before``."""
-    whole = max((v for v in _versions(spark, f"{path}/whole-{kind}") if v < before), default=-1)
-    folders = [f"{path}/{kind}/version={v}" for v in _versions(spark, f"{path}/{kind}") if whole < v < before]
+    whole = max((v for v in versions(spark, f"{path}/whole-{kind}") if v < before), default=-1)
+    folders = [f"{path}/{kind}/version={v}" for v in versions(spark, f"{path}/{kind}") if whole < v < before]
     if whole >= 0:
         folders.insert(0, f"{path}/whole-{kind}/version={whole}")
     if not folders:

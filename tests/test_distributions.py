@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from helpers import rows
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gaugework.operators import distributions as dist
+from gaugework.operators import kept_quantiles as kept
 from gaugework.operators.ordered import HOT_ROWS
 
 CASES = (
@@ -99,3 +101,28 @@ def test_one_value_for_a_third_of_all_rows(spark):
     )
     plain = rows(dist.quantile_summary(df, ["k"], "v"))
     assert rows(dist.quantile_summary(df, ["k"], "v", hot_rows=100)) == plain
+
+
+def test_kept_distributions_merge_to_the_whole(spark):
+    rng = random.Random(4)
+    data = [(f"r{rng.randrange(5)}", rng.choice("ab"), rng.choice([None, rng.gauss(0, 5)])) for _ in range(600)] + [("r9", "z", None)]
+    df = spark.createDataFrame(data, "run STRING, slice STRING, v DOUBLE")
+    stored = kept.kept_distribution(df, ["run", "slice"], "v")
+    for keys, limit in ((["run", "slice"], 20), (["slice"], None), (["run"], 100)):
+        merged = kept.merged_distribution(kept.merged_distribution(stored, ["run", "slice"]), keys)
+        exact = dist.quantile_summary(df, keys, "v", suppress_below=limit)
+        fields = (*keys, "sample_count", "minimum", "p50", "p95", "maximum", "suppressed", "small_sample")
+        assert rows(kept.read_distribution(merged, keys, limit), *fields) == rows(exact, *fields)
+        means = [[r[-1] for r in rows(x, *keys, "mean")] for x in (kept.read_distribution(merged, keys, limit), exact)]
+        assert [m is None for m in means[0]] == [m is None for m in means[1]]
+        assert [m for m in means[0] if m is not None] == pytest.approx([m for m in means[1] if m is not None])
+
+
+def test_kept_quantiles_stay_within_their_error(spark):
+    df = spark.range(200_000).selectExpr("id % 40 AS run", "CAST(id * 7919 % 200000 AS DOUBLE) AS v")
+    stored = kept.kept_distribution(df, ["run"], "v", size=200)
+    row = kept.read_distribution(kept.merged_distribution(stored, []), []).first()
+    bound = 2 * kept.rank_error(200) * 200_000  # 99 % confidence, and a margin for the rest
+    assert row["sample_count"] == 200_000 and (row["minimum"], row["maximum"]) == (0.0, 199_999.0)
+    assert abs(row["p50"] - 99_999) <= bound and abs(row["p95"] - 189_999) <= bound
+    assert kept.rank_error(4096) < 0.0014

@@ -78,6 +78,12 @@ def test_latency_and_usage(spark):
 SCHEMA = '{"additionalProperties":false,"properties":{"answer":{"type":"integer"},"ok":{"const":true}},"required":["answer","ok"],"type":"object"}'
 
 
+REFERRING = (
+    '{"type":"object","properties":{"a":{"$ref":"#/$defs/pos"},"b":{"$ref":"#/$defs/also"},"c":{"title":"t","$ref":"#/$defs/a~1b~0"}},'
+    '"$defs":{"pos":{"type":"integer","minimum":0},"also":{"$ref":"#/$defs/pos"},"a/b~":{"type":"string"}}}'
+)
+
+
 @pytest.mark.parametrize(
     "output, schema, outcome",
     [
@@ -96,6 +102,20 @@ SCHEMA = '{"additionalProperties":false,"properties":{"answer":{"type":"integer"
         ("7", '{"$ref":"http://example.com/x"}', ("error", None, None, "remote_reference")),
         ("7", '{"allOf":[]}', ("error", None, None, "unsupported_schema")),
         ("7", None, ("skipped", None, "no_schema", None)),
+        ('{"a":5}', REFERRING, ("scored", 1.0, "valid", None)),
+        ('{"a":-5}', REFERRING, ("scored", 0.0, "schema_mismatch", None)),
+        ('{"a":5,"b":"x"}', REFERRING, ("scored", 0.0, "schema_mismatch", None)),
+        ('{"b":6}', REFERRING, ("scored", 1.0, "valid", None)),
+        ('{"c":"x"}', REFERRING, ("scored", 1.0, "valid", None)),
+        ('{"a":1}', '{"$ref":"#/definitions/r","definitions":{"r":{"type":"object","required":["a"]}}}', ("scored", 1.0, "valid", None)),
+        ('{"b":1}', '{"$ref":"#/definitions/r","definitions":{"r":{"type":"object","required":["a"]}}}', ("scored", 0.0, "schema_mismatch", None)),
+        ("1", '{"$ref":"#/$defs/a","$defs":{"a":{"$ref":"#/$defs/b"},"b":{"$ref":"#/$defs/a"}}}', ("error", None, None, "invalid_schema")),
+        ('{"a":1}', '{"properties":{"a":{"$ref":"#/$defs/none"}},"$defs":{}}', ("error", None, None, "invalid_schema")),
+        ('{"a":1}', '{"properties":{"a":{"$ref":"#/properties/a"}}}', ("error", None, None, "invalid_schema")),
+        ('{"a":1}', '{"properties":{"a":{"$ref":"#"}}}', ("error", None, None, "unsupported_schema")),
+        ('{"a":1}', '{"properties":{"a":{"$ref":"#/$defs/n","minimum":0}},"$defs":{"n":{"type":"integer"}}}', ("error", None, None, "unsupported_schema")),
+        ('{"a":1}', '{"properties":{"a":{"$ref":"other.json"}}}', ("error", None, None, "remote_reference")),
+        ('{"a":"$ref"}', '{"properties":{"a":{"const":"$ref"}}}', ("scored", 1.0, "valid", None)),
     ],
 )
 def test_json_schema(spark, output, schema, outcome):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import checks, fingerprint, joins, publication, sets
 from gaugework.sources import cases as src
-from gaugework.sources import evidence, policies, responses
+from gaugework.sources import arrivals, evidence, policies, responses
 
 GOOD = {"case_id": "c1", "input": {"q": "x"}, "expected": {"b": 1, "a": [1.0, "ß"]}, "slices": ["z", "a"]}
 
@@ -50,6 +50,33 @@ def test_reading_keeps_good_cases_and_codes_the_rest(spark, tmp_path):
     )
 
 
+def test_files_that_arrive_are_parsed_once_and_repeats_change_nothing(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    batches = [[GOOD, {**GOOD, "case_id": "c2"}], [{**GOOD, "input": "other"}, {**GOOD, "case_id": "c3"}, {**GOOD, "case_id": "c3"}], [{**GOOD, "case_id": "c2"}]]
+    for number, batch in enumerate(batches):
+        write(source / f"{number}.jsonl", "{oops", "", *map(json.dumps, batch))
+        writer = arrivals.arriving_cases(spark, str(source), out, "d", 3, str(tmp_path / "check"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    table = arrivals.CaseTable(spark, out, "d", 3)
+
+    def state():
+        return rows(table.cases(), "case_id", "input", "dataset_revision"), sorted(r["code"] for r in table.rejects().collect())
+
+    first = state()
+    assert [c[0] for c in first[0]] == ["c1", "c2", "c3"] and first[0][0][1] == json.dumps(GOOD["input"], separators=(",", ":"), ensure_ascii=False)
+    assert first[1] == ["duplicate_case_id"] * 3 + ["invalid_json"] * 3
+    table.take(src.read_lines(spark, str(source / "1.jsonl")), 1)
+    assert state() == first
+
+
+def test_one_pass_equals_the_two_tables(spark, tmp_path):
+    path = write(tmp_path / "cases.jsonl", json.dumps(GOOD), json.dumps({**GOOD, "case_id": "c 6"}), json.dumps(GOOD), "[1]")
+    cases, rejects = src.read_cases(spark, path, "d", 1)
+    table = arrivals.ingest_cases(spark, path, str(tmp_path / "out"), "d", 1)
+    assert rows(table.cases()) == rows(cases) and rows(table.rejects(), "code") == rows(rejects, "code")
+
+
 def test_bom_and_empty_files(spark, tmp_path):
     path = write(tmp_path / "bom.jsonl", "﻿" + json.dumps(GOOD))
     assert [r.code for r in src.read_cases(spark, path, "d", 1)[1].collect()] in (["bom"], [])
