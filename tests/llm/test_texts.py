@@ -35,6 +35,21 @@ CASES = [
     ("Licensed under CC BY-NC 4.0. All rights reserved. Licensed under CC BY-NC 4.0.",
      ["cc-by-nc", "reserved", "cc-by-nc"], "CC-BY-NC-4.0,Proprietary"),
     (None, [], ""), ("", [], ""),
+    # A heading, list marks and other lines in the paragraph of a wrapped sentence.
+    ("MIT License\nCopyright (c) 2020 A B\n" + MIT.replace(" ", "\n", 5), ["mit-grant"], "MIT"),
+    ("BSD text\n" + " ".join(licences.SENTENCES["bsd-grant"][0].split()[:9]) + "\n" + " ".join(licences.SENTENCES["bsd-grant"][0].split()[9:]) + "\n* "
+     + licences.SENTENCES["bsd-source"][0].replace(" this list", "\n  this list") + "\n* " + licences.SENTENCES["bsd-binary"][0],
+     ["bsd-grant", "bsd-source", "bsd-binary"], "BSD-2-Clause"),
+    # A known line inside a longer known run does not count again.
+    ("note\n" + licences.SENTENCES["mit-grant"][0].replace(" The above", "\nThe above"), ["mit-grant"], "MIT"),
+    ("permission is\nhereby granted\nor not\nAll rights reserved\nmore", ["reserved"], "Proprietary"),
+    ("# SPDX-License-Identifier: BSD-3-Clause\nx = 1", ["bsd3-notice"], "BSD-3-Clause"), ("x\nSPDX-License-Identifier: BSD-3-Clause\nx = 1", ["bsd3-notice"], "BSD-3-Clause"),
+    ("SPDX-License-Identifier: ISC", ["isc-notice"], "ISC"),
+    ("Licensed under the GNU General Public License, version 2.", ["gpl2-notice"], "GPL-2.0"),
+    (licences.SENTENCES["lgpl21-terms"][0] + " " + licences.SENTENCES["lgpl-hope"][0], ["lgpl21-terms", "lgpl-hope"], "LGPL-2.1"),
+    (licences.SENTENCES["agpl3-terms"][0] + " " + licences.SENTENCES["gpl-hope"][0], ["agpl3-terms", "gpl-hope"], "AGPL-3.0"),
+    (licences.SENTENCES["epl-terms"][0], ["epl-terms"], "EPL-2.0"), (licences.SENTENCES["cddl-terms"][0], ["cddl-terms"], "CDDL-1.0"),
+    (licences.SENTENCES["bsl-notice"][0], ["bsl-notice"], "BSL-1.0"), (licences.SENTENCES["unlicense"][0], ["unlicense"], "Unlicense"),
 ]
 
 
