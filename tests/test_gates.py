@@ -222,3 +222,21 @@ def test_pairs_with_differing_labels_and_repeats(spark):
     pairs = spark.createDataFrame([("p", "base", "cand", "release")], PAIRS)
     found = rows(joins.pair_runs(spark.createDataFrame(data, ddl), pairs), "case_id", "slices", "baseline_status", "candidate_status", "candidate_value")
     assert found == [("a", ["x", "y"], "scored", "scored", 0.0), ("b", ["x"], "scored", "error", None)]
+
+
+def test_datasets_may_share_case_ids(spark):
+    observations = spark.createDataFrame(
+        [("r1", "c1", "m", "scored", 1.0), ("r2", "c1", "m", "scored", 0.0)],
+        "run_id STRING, case_id STRING, metric STRING, status STRING, value DOUBLE",
+    )
+    cases = spark.createDataFrame(
+        [("one", 1, "c1", ["a/x"]), ("two", 1, "c1", ["a/y"])],
+        "dataset_name STRING, dataset_revision INT, case_id STRING, slices ARRAY<STRING>",
+    )
+    runs = spark.createDataFrame([("r1", "one", 1), ("r2", "two", 1)], "run_id STRING, dataset_name STRING, dataset_revision INT")
+    want = [("r1", "a/x", 1, 1.0), ("r1", None, 1, 1.0), ("r2", "a/y", 1, 0.0), ("r2", None, 1, 0.0)]
+    assert rows(aggregates.slice_summary(observations, cases, runs), "run_id", "slice", "attempted", "mean") == want
+    named = observations.join(runs, "run_id")
+    assert rows(aggregates.slice_summary(named, cases), "run_id", "slice", "attempted", "mean") == want
+    with pytest.raises(ValueError, match="datasets"):
+        aggregates.slice_summary(observations, cases)

@@ -214,3 +214,30 @@ def test_cases_without_an_output_are_errors(spark):
     found = rows(sqlscore.sql_observations(evidence), "case_id", "status", "error_code")
     assert found.count(("a", "error", "missing_output")) == 8
     assert sum(r[0] == "b" and r[1] != "error" for r in found) == 8
+
+
+def test_expectations_belong_to_the_dataset_of_the_run(spark):
+    """Two datasets share a case id; each run is judged by its own."""
+    expectations = spark.createDataFrame(
+        [("one", 1, "a", "refusal", None, None, None, True), ("two", 1, "a", "clarification", None, None, ["provider_clarification"], True)],
+        "dataset_name STRING, dataset_revision INT, case_id STRING, behavior STRING, expected_columns ARRAY<STRING>, result_order STRING, "
+        "accepted_clarification_codes ARRAY<STRING>, expectation_valid BOOLEAN",
+    )
+    outputs = spark.createDataFrame(
+        [("r1", "a", "refusal", "refused", None), ("r2", "a", "refusal", "refused", None)],
+        "run_id STRING, case_id STRING, kind STRING, outcome STRING, clarification_code STRING",
+    )
+    executions = spark.createDataFrame(
+        [], "run_id STRING, case_id STRING, execution_idx BIGINT, sql STRING, parse_valid BOOLEAN, succeeded BOOLEAN, columns ARRAY<STRING>"
+    )
+    results = spark.createDataFrame([], "run_id STRING, case_id STRING, side STRING, row_idx INT, row_key STRING")
+    broken = spark.createDataFrame([], "case_id STRING")
+    audited = sqltext.sql_text_audit(executions)
+    wanted = spark.createDataFrame(
+        [("r1", "one", 1, "a"), ("r2", "two", 1, "a")], "run_id STRING, dataset_name STRING, dataset_revision INT, case_id STRING"
+    )
+    evidence = sqlscore.sql_evidence(expectations, outputs, audited, results, broken, wanted)
+    found = rows(sqlscore.sql_observations(evidence).filter("metric = 'interaction.decision_correct'"), "run_id", "value")
+    assert found == [("r1", 1.0), ("r2", 0.0)]
+    with pytest.raises(ValueError, match="datasets"):
+        sqlscore.sql_evidence(expectations, outputs, audited, results, broken, wanted.select("run_id", "case_id"))
