@@ -17,9 +17,9 @@ HOUR_MS = 3_600_000
 
 
 def arriving(v: Views, name: str) -> DataFrame:
-    """A table of the data directory as a file stream."""
-    reader = v.spark.readStream.schema(v.table(name).schema)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(v.sf_dir)
+    """A table of the data directory, one file or a folder of them, as a file stream."""
+    # A plain path has to be a folder, a pattern may be either.
+    return v.spark.readStream.schema(v.table(name).schema).parquet(f"{v.sf_dir}/{name}.parque[t]")
 
 
 def arriving_observations(v: Views) -> DataFrame:

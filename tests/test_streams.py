@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import aggregates, oplog
 from gaugework.operators.gates import gate_results
+from gaugework.plans.stream_queries import arriving
+from gaugework.plans.views import Views
 from gaugework.streaming import incremental, reordered, streams
 
 START = datetime(2026, 1, 1)
@@ -26,6 +28,21 @@ def at(minutes):
     return START + timedelta(minutes=minutes)
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_tables_of_one_file_or_a_folder_arrive(spark, tmp_path, files):
+    import pyarrow.parquet as pq
+
+    ids = spark.range(9).withColumnRenamed("id", "event_id")
+    if files == 1:
+        pq.write_table(ids.toArrow(), str(tmp_path / "events.parquet"))
+    else:
+        ids.repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(4).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "pages.parquet"))
+    stream = arriving(Views(spark, str(tmp_path)), "events")
+    found = streams.run_to_table(stream.groupBy().agg(F.count("*").alias("n"), F.sum("event_id").alias("s")), "complete")
+    assert rows(found) == [(9, 36)]
+
+
 def test_late_requests_are_dropped(spark, tmp_path):
     ddl = "ts TIMESTAMP, route STRING, status INT, duration_ns BIGINT"
     batches = [
