@@ -64,13 +64,12 @@ def _without_literals(sql: Column) -> Column:
     return F.regexp_replace(sql, _QUOTES, "$3 ")
 
 
-def _clean(sql: Column) -> Column:
-    """Lower-case text without literals, comments and simple quotes around names.
+def _clean(bare: Column) -> Column:
+    """Lower-case text, given without literals, without comments and simple quotes around names.
 
     A quoted name that is not plain lower case can match no allowed name, so it
     becomes a marker.
     """
-    bare = _without_literals(sql)
     plain = F.regexp_replace(bare, r'"([a-z_][a-z0-9_$]*)"', "$1")
     marked = F.regexp_replace(plain, r'"(?:[^"]++|"")*+"', "_quoted_name_")
     uncommented = F.regexp_replace(marked, r"--[^\n]*|/\*[\s\S]*?\*/", " ")
@@ -100,10 +99,16 @@ def _flat_parts(clean: Column) -> Column:
         text = state["left"]
         plain = F.regexp_replace(text, r"\b(?:extract|substring|trim|overlay|position)\s*\([^()]*\)", " @ ")
         plain = F.regexp_replace(plain, rf"\b(from|join)\s*\((?!\s*{_QUERY})([^()]*)\)", "$1 $2 ")
-        inner = F.regexp_extract_all(plain, F.lit(r"\(([^()]*)\)"), F.lit(1))
-        left = F.regexp_replace(plain, rf"\(\s*{_QUERY}[^()]*\)", " @q ")
-        left = F.regexp_replace(left, r"\([^()]*\)", " @ ")
-        return F.struct(F.concat(state["parts"], inner).alias("parts"), left.alias("left"))
+
+        def taken(plain: Column) -> Column:
+            inner = F.regexp_extract_all(plain, F.lit(r"\(([^()]*)\)"), F.lit(1))
+            left = F.regexp_replace(plain, rf"\(\s*{_QUERY}[^()]*\)", " @q ")
+            left = F.regexp_replace(left, r"\([^()]*\)", " @ ")
+            return F.struct(F.concat(state["parts"], inner).alias("parts"), left.alias("left"))
+
+        # One element, so that ``plain`` is made once; without a parenthesis nothing is left to take.
+        once = F.element_at(F.transform(F.array(plain), taken), 1)
+        return F.when(F.contains(text, F.lit("(")), once).otherwise(state)
 
     start = F.regexp_replace(clean, r"\bis\s+(not\s+)?distinct\s+from\b", " = ")
     begin = F.struct(F.array().cast("array<string>").alias("parts"), start.alias("left"))
@@ -117,9 +122,15 @@ def table_names(clean: Column) -> Column:
     A source that is neither a name nor a subquery, and a text nested too deeply, give
     ``UNKNOWN_SOURCE``, which no policy allows.
     """
+    return F.element_at(F.transform(F.array(_flat_parts(clean)), _names_in), 1)
+
+
+def _names_in(flat: Column) -> Column:
+    """``table_names`` of a text's ``_flat_parts``."""
 
     def of_part(part: Column) -> Column:
-        lists = _matches(part, rf"\bfrom\b((?:(?!{_CLAUSE_END})[\s\S])*)")
+        # Letters that begin no clause pass without a look ahead.
+        lists = _matches(part, rf"\bfrom\b((?:[^wgohlueifr]++|(?!{_CLAUSE_END})[\s\S])*+)")
         sources = F.flatten(F.transform(lists, lambda text: F.split(text, r",|\bjoin\b")))
         bare = F.transform(sources, lambda s: F.regexp_replace(F.trim(s), r"^(?:lateral|only)\b\s*", ""))
         named = F.transform(
@@ -133,7 +144,6 @@ def table_names(clean: Column) -> Column:
         )
         return F.concat(named, commands)
 
-    flat = _flat_parts(clean)
     parts = F.concat(flat["parts"], F.array(flat["left"]))
     deep = F.when(flat["left"].rlike(r"[()]"), F.array(F.lit(UNKNOWN_SOURCE)))
     return F.concat(
@@ -152,7 +162,7 @@ def function_names(clean: Column) -> Column:
     """Names before a parenthesis; the column list of a common table expression is no call."""
     without_heads = F.regexp_replace(clean, _CTE_HEAD, " (")
     return F.array_except(
-        _matches(without_heads, rf"\b({_NAME})\s*\("), F.array(*[F.lit(w) for w in _NOT_FUNCTIONS])
+        _matches(without_heads, rf"\b({_NAME}+)\s*+\("), F.array(*[F.lit(w) for w in _NOT_FUNCTIONS])
     )
 
 
@@ -174,11 +184,12 @@ def sql_text_audit(
     """
     own_columns = [c for c in executions.columns if c not in ("allowed", "reason_code", "parse_valid")]
     recorded = F.col("parse_valid") if "parse_valid" in executions.columns else F.lit(True)
-    sql = F.col("sql")
-    texts = executions.select(
-        *own_columns,
-        F.coalesce(recorded, F.lit(True)).alias("_recorded"),
-        F.inline(F.array(F.struct(_without_literals(sql).alias("_bare"), _clean(sql).alias("_clean")))),
+    bared = executions.select(
+        *own_columns, F.coalesce(recorded, F.lit(True)).alias("_recorded"),
+        F.inline(F.array(F.struct(_without_literals(F.col("sql")).alias("_bare")))),
+    )
+    texts = bared.select(
+        *own_columns, "_recorded", "_bare", F.inline(F.array(F.struct(_clean(F.col("_bare")).alias("_clean")))),
     )
     clean = F.col("_clean")
     own = cte_names(clean)
@@ -204,7 +215,9 @@ def sql_text_audit(
             )
         ),
     )
-    foreign = F.filter("_tables", lambda p: (F.size(p) > 1) | ~F.array_contains("_own", F.element_at(p, 1)))
+    kept = F.filter("_tables", lambda p: (F.size(p) > 1) | ~F.array_contains("_own", F.element_at(p, 1)))
+    foreign = F.col("_foreign")
+    facts = facts.select("*", F.inline(F.array(F.struct(kept.alias("_foreign")))))
     system = F.exists(
         foreign,
         lambda p: (F.size(p) > 1)

@@ -14,7 +14,7 @@ from gaugework.functions import estimated_units
 from gaugework.operators.joins import attach_responses
 from gaugework.operators.scoring import score
 from gaugework.operators.sqlscore import row_key
-from gaugework.session import spread_small
+from gaugework.session import spread_heavy, spread_small
 
 FLAGSHIP = ("exact_match", "refusal", "latency")
 GATE_ROWS = """
@@ -255,7 +255,7 @@ class Views:
     def sql_executions(self) -> DataFrame:
         """One or two SQL texts per query answer, from twelve statement shapes."""
         key, cust, idx = F.col("_key"), F.col("_cust"), F.col("execution_idx")
-        queries = spread_small(self.sql_outputs.filter(F.col("kind") == "query")).withColumn(
+        queries = spread_heavy(self.sql_outputs.filter(F.col("kind") == "query")).withColumn(
             "execution_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), key % 2))
         )
         shape = F.when(cust % 3 == 0, (cust + idx) % 12).otherwise(key % 3)

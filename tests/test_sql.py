@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from gaugework.operators import sqlscore, sqltext
 
@@ -241,3 +242,28 @@ def test_expectations_belong_to_the_dataset_of_the_run(spark):
     assert found == [("r1", 1.0), ("r2", 0.0)]
     with pytest.raises(ValueError, match="datasets"):
         sqlscore.sql_evidence(expectations, outputs, audited, results, broken, wanted.select("run_id", "case_id"))
+
+
+def test_executions_are_spread_however_many_fit_one_read_task(spark, tmp_path):
+    from gaugework.plans.views import Views
+    from gaugework.session import spread_heavy
+
+    spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    orders = Views(spark, str(tmp_path)).table("orders")
+    assert spread_heavy(orders).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread_heavy(orders, 100).rdd.getNumPartitions() > 40
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        spread = Views(spark, str(tmp_path)).sql_executions
+        assert "RoundRobinPartitioning" in spread._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_nested_parts_are_taken_once(spark):
+    texts = ["select f (a) from (select x from t1, (t2 join t3 on (1=1))) where g( 1 ) is not distinct from h(2)", "select 1", "select (1", "table only s . t"]
+    plan = sqltext.table_names(F.col("sql"))
+    df = spark.createDataFrame([(t,) for t in texts], "sql STRING")
+    assert [sorted(r[0]) for r in df.select(plan).collect()] == [["t1", "t2", "t3"], [], ["?"], ["s.t"]]
+    text = df.select(plan.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("aggregate(") == 1
