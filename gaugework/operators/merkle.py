@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,9 @@ def rows_in(spark: SparkSession, path: str, buckets: Sequence[int]) -> DataFrame
     """Rows of some buckets of a stored reading; folders without them are not opened."""
     folders = sorted({b >> LEVELS * STEP - FOLDER_BITS for b in buckets})
     rows = spark.read.parquet(f"{path}/rows").where(F.col("_folder").isin(*folders))
-    return rows.where(F.col("_bucket").isin(*buckets)).drop("_bucket", "_folder")
+    # A small table, since tens of thousands of literals would be planned one by one.
+    wanted = spark.createDataFrame(pd.DataFrame({"_bucket": pd.Series(buckets, dtype="int32")}), "_bucket int")
+    return rows.join(F.broadcast(wanted), "_bucket", "left_semi").drop("_bucket", "_folder")
 
 
 def located_differences(spark: SparkSession, before: str, after: str, keys: Sequence[str]) -> DataFrame:

@@ -60,3 +60,13 @@ def test_every_level_adds_up(spark, tmp_path):
         tree = spark.read.parquet(f"{one}/tree/{level}")
         assert tree.agg(F.sum("rows")).first()[0] == 3000
         assert tree.filter(F.col("node") >= 1 << level * merkle.STEP).count() == 0
+
+
+def test_many_buckets_are_joined_and_not_written_into_the_plan(spark, tmp_path):
+    df = spark.range(300).selectExpr("id AS k", "id AS x")
+    merkle.store_reading(df, ["k"], str(tmp_path / "one"))
+    buckets = [r[0] for r in df.select(merkle._bucket(["k"])).distinct().collect()]
+    found = merkle.rows_in(spark, str(tmp_path / "one"), buckets)
+    assert found.count() == 300
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert merkle.rows_in(spark, str(tmp_path / "one"), []).count() == 0
