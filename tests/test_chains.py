@@ -61,3 +61,9 @@ def test_a_chain_of_a_thousand_links_and_a_large_ring(spark):
 def test_no_links_and_no_spans(spark):
     assert rows(chains.trace_chains(table(spark, [(1, "ok", None)]))) == [(name(1), name(1), 0, False, 1, 1, 0)]
     assert chains.trace_chains(table(spark, [])).count() == 0
+
+
+def test_rounds_send_nothing_to_the_driver_but_counts(spark):
+    found = chains.trace_chains(table(spark, [(1, "ok", 2), (2, "ok", 3), (3, "error", None)]))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["depth"] for r in found.orderBy("depth").collect()] == [0, 1, 2]
