@@ -18,7 +18,7 @@ from gaugework.operators.scoring import (
 )
 from gaugework.plans.registry import query, rounded
 from gaugework.plans.views import Views
-from gaugework.session import scratch_path
+from gaugework.session import scratch_path, spread_tasks
 
 
 def summary(v: Views) -> DataFrame:
@@ -1061,13 +1061,13 @@ def _(v):
 @query("multiset_equal_all", f"SELECT count(*) = 0 AS equal, count(*) AS differing_rows FROM ({_DIFFERING.format(right='true')})")
 def _(v):
     rows = v.table("lineitem")
-    return sets.multiset_equal(rows, rows.repartition(5, "l_suppkey"), rows.columns)
+    return sets.multiset_equal(rows, rows.repartition(spread_tasks(rows), "l_suppkey"), rows.columns)
 
 
 @query("multiset_equal", "SELECT true AS equal, CAST(0 AS BIGINT) AS differing_rows")
 def _(v):
     rows = v.table("lineitem")
-    shuffled = rows.repartition(5, "l_suppkey")
+    shuffled = rows.repartition(spread_tasks(rows), "l_suppkey")
     return sets.multiset_equal(rows, shuffled, rows.columns)
 
 

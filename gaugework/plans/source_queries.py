@@ -11,7 +11,7 @@ from gaugework.plans.evidence_queries import comparison, gate_cases, results
 from gaugework.plans.registry import query
 from gaugework.plans.views import Views
 from gaugework.schemas import POLICY, RECORDED_RESPONSE
-from gaugework.session import scratch_path, spread_small
+from gaugework.session import scratch_path, spread_small, spread_tasks
 from gaugework.sources import cases as case_source
 from gaugework.sources import arrivals, evidence, policies, published
 from gaugework.sources import responses as response_source
@@ -84,8 +84,10 @@ def _(v):
     """Case files in four batches; every line is parsed once."""
     base = scratch_path(v.spark, "arriving")
     # Blank lines first, since a mark at the start of a file is not part of its first line.
-    raw_lines(v).select("line").repartition(4).sortWithinPartitions("line").write.text(f"{base}/in")
-    writer = arrivals.arriving_cases(v.spark, f"{base}/in", f"{base}/out", "documents", 1, f"{base}/checkpoint", files_at_once=1)
+    lines = raw_lines(v).select("line")
+    at_once = -(-spread_tasks(lines) // 4)
+    lines.repartition(4 * at_once).sortWithinPartitions("line").write.text(f"{base}/in")
+    writer = arrivals.arriving_cases(v.spark, f"{base}/in", f"{base}/out", "documents", 1, f"{base}/checkpoint", files_at_once=at_once)
     writer.trigger(availableNow=True).start().awaitTermination()
     table = arrivals.CaseTable(v.spark, f"{base}/out", "documents", 1)
     accepted = table.cases().select(F.lit("accepted").alias("code"))

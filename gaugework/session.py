@@ -109,11 +109,15 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism)
 
 
+def spread_tasks(df: DataFrame, task_bytes: int = 32 << 20) -> int:
+    """A task per ``task_bytes`` of stored input, and one per core at least."""
+    size, cores = input_size(df), df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-size // task_bytes)) if size is not None else 32 * cores
+
+
 def spread_heavy(df: DataFrame, task_bytes: int = 2 << 20) -> DataFrame:
-    """Spread narrow rows that cost much work each: a task per ``task_bytes`` of stored input, and one per core at least."""
-    spark = df.sparkSession
-    size, cores = input_size(df), spark.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-size // task_bytes)) if size is not None else 32 * cores)
+    """Spread narrow rows that cost much work each."""
+    return df.repartition(spread_tasks(df, task_bytes))
 
 
 def join_small(

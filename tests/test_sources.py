@@ -307,3 +307,37 @@ def test_lineitem_queries_read_every_column(spark, tmp_path, monkeypatch):
     for query in ("changed_content", "multiset_equal", "multiset_equal_all", "multiset_difference_all"):
         catalog.QUERIES[query](spark, data)
     assert len(read) >= 5 and all(r == set(lineitem.columns) for r in read)
+
+
+def _shuffles_follow_the_input(spark, tmp_path, monkeypatch, names):
+    from gaugework.plans import catalog, evidence_queries
+
+    found = []
+    spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "l_orderkey BIGINT, l_suppkey BIGINT, l_comment STRING").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(evidence_queries, "spread_tasks", lambda rows: 37)
+    monkeypatch.setattr(sets, "multiset_equal", lambda a, b, keys: found.append(b.rdd.getNumPartitions()))
+    for name in names:
+        catalog.QUERIES[name](spark, str(tmp_path))
+    return found
+
+
+def test_the_shuffled_copy_has_tasks_by_size(spark, tmp_path, monkeypatch):
+    assert _shuffles_follow_the_input(spark, tmp_path, monkeypatch, ["multiset_equal", "multiset_equal_all"]) == [37, 37]
+
+
+def test_arriving_case_files_grow_in_number_and_not_in_size(spark, monkeypatch):
+    import os
+
+    from gaugework.plans import catalog, source_queries
+
+    seen = []
+    kept = arrivals.arriving_cases
+
+    def watched(session, source, *more, files_at_once):
+        seen.append((len([n for n in os.listdir(source) if n.startswith("part-")]), files_at_once))
+        return kept(session, source, *more, files_at_once=files_at_once)
+
+    monkeypatch.setattr(source_queries, "spread_tasks", lambda rows: 10)
+    monkeypatch.setattr(arrivals, "arriving_cases", watched)
+    catalog.QUERIES["arriving_cases"](spark, "/root/testdata/sf0.001").collect()
+    assert seen == [(12, 3)]
