@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,14 +33,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(StringType())
-def _unicode_fold(values: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _unicode_fold(values: pa.Array) -> pa.Array:
+    """One text at a time is a Python string; a batch stays in Arrow."""
+
     def fold(text):
         if text is None:
             return None
         return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
-    return values.map(fold)
+    return pa.array((fold(value.as_py()) for value in values), pa.string())
 
 
 def normalize_text(c: Column | str) -> Column:
