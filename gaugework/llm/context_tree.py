@@ -38,7 +38,7 @@ SHARED = 3
 PART_GRAMS = 100_000  # grams whose subtrees a task weights at once, on average
 COMMON_WORDS = 1 << 18
 COMMON_GRAMS = 1 << 20
-PIECE_BYTES = 1 << 20  # bytes whose grams are made at once
+PIECE_BYTES = 1 << 18  # bytes whose grams are made at once
 KEPT = 1 << 18  # distinct words, and twice as many grams, that a task holds before it hands them on
 END = b"\n"
 ROWS = 1 << 16  # rows of an Arrow batch
