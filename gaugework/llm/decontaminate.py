@@ -2,7 +2,7 @@
 
 Benchmark texts are cut into passages of at most ``PASSAGE`` words.  Document frequencies of their words are
 counted over all documents.  A randomised singular value decomposition of TF-IDF passages (all benchmark
-passages and those of a bounded sample of documents) gives a latent space, whose rank grows with the passages; its
+passages and those of all documents) gives a latent space, whose rank grows with the passages; its
 power steps run over a written table of passages, and each task adds up its part of the product.  Every document is
 then searched by overlapping windows of several lengths, each for passages that are at least as long: windows whose
 latent cosine to a benchmark passage is high are candidates, and so is every place that shares ``LEAST_WORDS``
@@ -45,7 +45,6 @@ PASSAGE = 64
 HALVES = {4: 0.45, 8: 0.5, 16: 0.55}  # words of half a window, and the least cosine of its candidates
 LEAST_WORDS = 6
 BLOCK = 2048
-SAMPLE_DOCS = 2000
 RANK, MOST_RANK, EXTRA = 64, 256, 16
 BITS = 2048  # of a set of words; words may share a bit
 PER_DIRECTION = 4  # passages that share a direction of the latent space, within the bounds of its rank
@@ -350,11 +349,10 @@ def _frequencies(texts: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, i
     return frequency, total
 
 
-def _sample_passages(docs: DataFrame, number: dict[str, int], passages: list[Passage]) -> DataFrame:
-    """Known words of passages: all of the benchmark, and those of a bounded sample of documents."""
+def _all_passages(docs: DataFrame, number: dict[str, int], passages: list[Passage]) -> DataFrame:
+    """Known words of passages: all of the benchmark and of all documents."""
     spark = docs.sparkSession
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("text")
+    texts = docs.select("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +403,7 @@ def latent_words(
     vocabulary = list(number)
     frequency, total = _frequencies(docs.select("text"), vocabulary)
     idf = np.log((total + 1) / (frequency + 1)) + 1e-3
-    table = _sample_passages(docs, number, passages)
+    table = _all_passages(docs, number, passages)
     counts = {r["sought"]: r["count"] for r in table.groupBy("sought").count().collect()}
     weight = math.sqrt(max(1.0, counts.get(False, 0) / max(1, counts.get(True, 1))))
     wanted = min(MOST_RANK, max(RANK, len(passages) // PER_DIRECTION))
