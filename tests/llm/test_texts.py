@@ -338,3 +338,11 @@ def test_repeated_ids_and_long_texts_leave_the_sample_bounded(spark):
     long = spark.createDataFrame([(k, "é" * 1000) for k in range(100)], "doc_id bigint, text string")
     assert len(shared.labelled_sample(long, labels, "toxic", 50, text_bytes=10_000).collect()) == 5
     assert len(shared.labelled_sample(long, labels, "toxic", 50, text_bytes=10).collect()) == 1
+
+
+def test_the_latent_space_learns_from_all_documents(spark):
+    from gaugework.llm import decontaminate as dc
+
+    docs = spark.range(2100).selectExpr("id AS doc_id", "'one two' AS text")
+    found = dc._all_passages(docs, {"one": 0, "two": 1}, [dc.Passage(1, ["one"], ["two"])])
+    assert {r["sought"]: r["count"] for r in found.groupBy("sought").count().collect()} == {True: 1, False: 2100}
