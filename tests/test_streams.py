@@ -204,6 +204,27 @@ def test_a_key_is_free_again_after_it_was_kept(spark, tmp_path):
     assert rows(found, "submission_id", "outcome")[:4] == [(1, "first"), (2, "conflict"), (3, "first"), (4, "first")]
 
 
+@pytest.mark.parametrize("buckets", [1, 8])
+def test_keys_of_a_bucket_share_a_timer_and_are_judged_and_forgotten_one_by_one(spark, tmp_path, monkeypatch, buckets):
+    monkeypatch.setattr(reordered, "BUCKETS", buckets)
+    monkeypatch.setattr(reordered, "AT_ONCE", 7)
+    ddl = "submission_id BIGINT, kind STRING, key STRING, digest STRING, at TIMESTAMP"
+    first = [(k, "run", f"k{k}", "d", at(k)) for k in range(100)] + [(100, "run", None, "d", at(50)), (101, "run", None, "e", at(51))]
+    again = [(1000 + k, "run", f"k{k}", "e", at(130 + k)) for k in range(100)]
+    ends = [[(2000 + k, "end", f"e{k}", "d", at(400 * k))] for k in range(1, 4)]
+    stream = reordered.submission_outcomes_stream(feed(spark, tmp_path, [first, again, *ends], ddl), "10 minutes", "140 minutes")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check"))
+    query = query.trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    states = [p["stateOperators"][0] for p in query.recentProgress]
+    assert max(s["customMetrics"]["numRegisteredTimers"] for s in states) <= 2 * buckets  # one is set anew in a batch
+    assert states[-1]["numRowsTotal"] <= 8
+    outcomes = {r["submission_id"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert outcomes == (
+        {k: "first" for k in range(101)} | {101: "conflict"} | {1000 + k: "conflict" for k in range(100)} | {2001: "first", 2002: "first"}
+    )
+
+
 OBSERVED = "run_id STRING, case_id STRING, slices ARRAY<STRING>, metric STRING, status STRING, value DOUBLE"
 GATES = "policy STRING, position INT, metric STRING, slice STRING, direction STRING, threshold DOUBLE, allowed_regression DOUBLE"
 
