@@ -1,7 +1,7 @@
 """Benchmark passages in documents by latent semantic retrieval and alignment checks.
 
 Benchmark texts are cut into passages of at most ``PASSAGE`` words.  Document frequencies of their words are
-counted over all documents.  A randomised singular value decomposition of TF-IDF passages (all benchmark
+counted over all documents, whose words are numbered once and kept in a written table.  A randomised singular value decomposition of TF-IDF passages (all benchmark
 passages and those of all documents) gives a latent space, whose rank grows with the passages; its
 power steps run over a written table of passages, and each task adds up its part of the product.  Every document is
 then searched by overlapping windows of several lengths, each for passages that are at least as long: windows whose
@@ -25,8 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -40,11 +39,14 @@ from gaugework.llm.shared import written
 
 # Blocks of scripts without blanks between words.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
 WORD = re.compile(f"[^\\W_{UNSPACED}]+|[{UNSPACED}]")
 PASSAGE = 64
 HALVES = {4: 0.45, 8: 0.5, 16: 0.55}  # words of half a window, and the least cosine of its candidates
 LEAST_WORDS = 6
 BLOCK = 2048
+AT_ONCE = 1 << 17  # words that are searched at once
+COMMON = 256  # words whose columns are multiplied as a dense matrix
 RANK, MOST_RANK, EXTRA = 64, 256, 16
 BITS = 2048  # of a set of words; words may share a bit
 PER_DIRECTION = 4  # passages that share a direction of the latent space, within the bounds of its rank
@@ -53,12 +55,20 @@ RARE = 8.0  # least sum of inverse document frequencies (natural logarithms) of
 FOUND = "doc_id bigint, item_id bigint, cosine double, covered double, answered double, first_word bigint, n_words bigint"
 
 
-ASCII_WORD = re.compile("[a-z0-9]+")
+ASCII_WORDS = {c: chr(c).lower() if chr(c).isalnum() else " " for c in range(128)}
 
 
 def words_of(text: str | None) -> list[str]:
-    low = (text or "").lower()
-    return (ASCII_WORD if low.isascii() else WORD).findall(low)
+    text = text or ""
+    if text.isascii():
+        return text.translate(ASCII_WORDS).split()
+    text = text.lower()
+    if UNSPACED_LETTER.search(text):
+        return WORD.findall(text)
+    for letter in set(text):
+        if not letter.isalnum():
+            text = text.replace(letter, " ")
+    return text.split()
 
 
 @dataclass
@@ -149,21 +159,25 @@ class Detector:
     def matches(self, texts: list[str | None]) -> Iterator[list[tuple[int, float, float, float, int, int]]]:
         """Per text its matches ``(item, cosine, covered, answered, first word, words)``, one per item."""
         for group in _grouped(texts):
-            yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[list]:
+            yield from self._group(*_numbers(group, self.number))
+
+    def matches_of_numbers(self, flat: np.ndarray, sizes: np.ndarray) -> Iterator[list[tuple]]:
+        """``matches`` of texts whose words are numbered already, one text after the other."""
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(sizes):
+            begin = ends[at] - sizes[at]
+            to = max(at + 1, int(np.searchsorted(ends, begin + AT_ONCE, side="right")))
+            yield from self._group(flat[begin : ends[to - 1]], sizes[at:to])
+            at = to
+
+    def _group(self, flat: np.ndarray, sizes: np.ndarray) -> Iterator[list]:
         unknown = len(self.number)
         widest, half = max(HALVES), min(self.by_half)
-        flat: list[int] = []
-        sizes = []
-        for t in texts:
-            words = words_of(t)
-            sizes.append(len(words))
-            flat += map(self.number.get, words, repeat(unknown))
-            flat += [unknown] * (-len(words) % widest)
-        sizes = np.array(sizes, np.int64)
         blocks = -(-sizes // widest)
-        ids = np.array(flat, np.int64)
+        ids = np.full(int(blocks.sum()) * widest, unknown, np.int64)
+        shift = (np.cumsum(blocks) - blocks) * widest - (np.cumsum(sizes) - sizes)
+        ids[np.arange(len(flat)) + np.repeat(shift, sizes)] = flat
         sums = np.zeros((len(ids) // half, self.latent.shape[1]), np.float32)
         for place in ids.reshape(-1, half).T:
             sums += self.latent[place]  # the row of unknown words is zero
@@ -176,7 +190,7 @@ class Detector:
             sums, half = sums[::2] + sums[1::2], 2 * half
         found += self._shared(ids, blocks * widest)
         first = np.cumsum(blocks) - blocks
-        best: list[dict[int, tuple]] = [{} for _ in texts]
+        best: list[dict[int, tuple]] = [{} for _ in sizes]
         if found:
             candidates = [np.concatenate(c) for c in zip(*found)]
             bits = _bits(np.where(ids == unknown, BITS, ids % BITS).reshape(-1, widest))
@@ -323,23 +337,60 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def _frequencies(texts: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
+def _numbers(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of texts, one text after the other (unknown words: one more than the last), and their counts."""
+    flat: list[int] = []
+    sizes = []
+    for text in texts:
+        words = words_of(text)
+        sizes.append(len(words))
+        flat += map(number.get, words, repeat(len(number)))
+    return np.array(flat, np.int32), np.array(sizes, np.int64)
+
+
+def _numbered(docs: DataFrame, number: dict[str, int]) -> DataFrame:
+    """Ids of documents and numbers of all their words, so that texts are cut into words once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = _numbers(batch.column(1).to_pylist(), number)
+            ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), words], names=["doc_id", "words"])
+
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(plain.mapInArrow(cut, "doc_id bigint, words array<int>"), "numbers")
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of lists, one list after the other, and their counts."""
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).astype(np.int64)
+
+
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
+    return codes[first], np.diff(np.r_[first, len(codes)])
+
+
+def _frequencies(numbered: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Number of documents with each word, and of all documents."""
-    number = {w: k for k, w in enumerate(vocabulary)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, known, held = 0, set(number), Counter()
+        docs, held = 0, np.zeros(size + 1, np.int64)
         for batch in batches:
             docs += batch.num_rows
-            for text in batch.column(0):
-                held.update(known.intersection(words_of(text.as_py())))
-        ids = [-1, *(number[w] for w in held)]
+            flat, sizes = _lists(batch.column(0))
+            codes, _ = _counted(np.repeat(np.arange(len(sizes)), sizes) * (size + 1) + flat)
+            held += np.bincount(codes % (size + 1), minlength=size + 1)
+        ids = np.flatnonzero(held[:size])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int32()), pa.array([docs, *held.values()], pa.int64())], names=["word", "docs"]
+            [pa.array(np.r_[-1, ids], pa.int32()), pa.array(np.r_[docs, held[ids]], pa.int64())], names=["word", "docs"]
         )
 
-    found = texts.mapInArrow(count, "word int, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs")).collect()
-    frequency = np.zeros(len(vocabulary))
+    found = numbered.select("words").mapInArrow(count, "word int, docs bigint").groupBy("word").agg(F.sum("docs").alias("docs")).collect()
+    frequency = np.zeros(size)
     total = 0
     for word, docs in found:
         if word < 0:
@@ -350,88 +401,149 @@ def _frequencies(texts: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, i
 
 
 def _all_passages(docs: DataFrame, number: dict[str, int], passages: list[Passage]) -> DataFrame:
-    """Known words of passages: all of the benchmark and of all documents."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
+    """Known words of passages: all of the benchmark and of all documents, whose words may be numbered already."""
+    size = len(number)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                rows += [[number[w] for w in words[k : k + PASSAGE] if w in number] for k in range(0, len(words), PASSAGE)]
-            rows = [r for r in rows if r]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.int32())), pa.array([False] * len(rows), pa.bool_())], names=["words", "sought"]
-            )
+            flat, sizes = _lists(batch.column(0))
+            parts = -(-sizes // PASSAGE)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            part = np.repeat(np.cumsum(parts) - parts, sizes) + place // PASSAGE
+            known = np.flatnonzero(flat < size)
+            _, held = _counted(part[known])
+            words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held)].astype(np.int32)), pa.array(flat[known]))
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.zeros(len(held), bool))], names=["words", "sought"])
+
+    numbered = docs if "words" in docs.columns else _numbered(docs, number)
+    rows = [([number[w] for w in p.words], True) for p in passages]
+    own = docs.sparkSession.createDataFrame(rows, "words array<int>, sought boolean")
+    return written(numbered.select("words").mapInArrow(cut, "words array<int>, sought boolean").union(own), "passages")
+
+
+class Rows:
+    """Products with the matrix A of unit TF-IDF rows, benchmark rows weighted, for some rows at a time.
+
+    Columns of the ``common`` words, which hold most entries, are multiplied as a dense matrix, the others entry by entry,
+    in single precision (as the latent vectors are); sums over rows are double.
+    """
+
+    def __init__(self, idf: np.ndarray, weight: float, basis: np.ndarray, common: np.ndarray):
+        self.idf, self.weight, self.basis, self.common = idf, weight, basis.astype(np.float32), common
+        self.place = np.full(len(idf), -1)
+        self.place[common] = np.arange(len(common))
+
+    def parts(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        """For some rows: dense columns, row, word and value of other entries, and A times the basis."""
+        flat, sizes = _lists(batch.column(0))
+        weights = np.where(np.array(batch.column(1).to_pylist(), bool), self.weight, 1.0)
+        ends = np.cumsum(sizes)
+        for k in range(0, len(sizes), 1024):
+            held, size = sizes[k : k + 1024], len(self.idf)
+            words = flat[ends[k] - sizes[k] : ends[k + len(held) - 1]]
+            codes, times = _counted(np.repeat(np.arange(len(held)), held) * size + words)
+            row, word = np.divmod(codes, size)
+            value = times * self.idf[word]
+            norm = np.sqrt(np.bincount(row, value * value, minlength=len(held)))
+            value *= (weights[k : k + 1024] / np.maximum(norm, 1e-300))[row]
+            place = self.place[word]
+            value = value.astype(np.float32)
+            dense = np.zeros((len(held), len(self.common)), np.float32)
+            often, seldom = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            dense[row[often], place[often]] = value[often]
+            row, word, value = row[seldom], word[seldom], value[seldom]
+            found = dense @ self.basis[self.common]
+            _add(found, row, value[:, None] * self.basis[word])
+            yield dense, row, word, value, found
+
+    def back(self, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """A'A times the basis."""
+        total, often = np.zeros(self.basis.shape), np.zeros((len(self.common), self.basis.shape[1]))
+        for batch in batches:
+            for dense, row, word, value, found in self.parts(batch):
+                often += dense.T @ found
+                order = np.argsort(word, kind="stable")
+                _add(total, word[order], value[order, None] * found[row[order]])
+        total[self.common] += often
+        return total
+
+    def square(self, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """The basis' own product with A'A times the basis, which needs no way back to the words."""
+        total = np.zeros((self.basis.shape[1],) * 2)
+        for batch in batches:
+            for *_, found in self.parts(batch):
+                total += found.T @ found
+        return total
 
-    own = spark.createDataFrame([([number[w] for w in p.words], True) for p in passages], "words array<int>, sought boolean")
-    return written(texts.mapInArrow(cut, "words array<int>, sought boolean").union(own), "passages")
 
+def _add(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of ``total`` at ascending places."""
+    if len(at):
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        total[at[first]] += np.add.reduceat(rows, first, axis=0)
 
-def _product(passages: DataFrame, idf: np.ndarray, weight: float, basis: np.ndarray) -> np.ndarray:
-    """A'A times ``basis`` for the matrix A of unit TF-IDF rows, benchmark rows weighted."""
-    size, rank = basis.shape
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(basis.shape)
-        for batch in batches:
-            for words, sought in zip(batch["words"], batch["sought"]):
-                ids, times = np.unique(np.asarray(words), return_counts=True)
-                value = times * idf[ids]
-                norm = np.sqrt((value * value).sum())
-                if norm > 0:
-                    value = value / norm * (weight if sought else 1.0)
-                    total[ids] += np.outer(value, value @ basis[ids])
-        yield pd.DataFrame({"part": [0], "total": [total.tobytes()]})
+def _summed(passages: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum of what each task makes of its passages."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0], pa.int32()), pa.array([work(batches).tobytes()], pa.binary())], names=["part", "total"]
+        )
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b) for b in parts["total"])
         return pd.DataFrame({"part": [0], "total": [total.tobytes()]})
 
-    parts = passages.mapInPandas(multiply, "part int, total binary")
+    parts = passages.select("words", "sought").mapInArrow(make, "part int, total binary")
     # A few parts at a time: each has the fixed size of the basis.
     step = parts.withColumn("part", F.spark_partition_id() % 8).groupBy("part").applyInPandas(add, "part int, total binary")
-    rows = step.collect()
-    return sum((np.frombuffer(r["total"]) for r in rows), np.zeros(size * rank)).reshape(basis.shape)
+    return sum((np.frombuffer(r["total"]) for r in step.collect()), np.zeros(shape[0] * shape[1])).reshape(shape)
 
 
 def latent_words(
     docs: DataFrame, passages: list[Passage], number: dict[str, int], steps: int = 2
 ) -> tuple[np.ndarray, np.ndarray]:
     """A latent vector for every word, its idf times its row of the leading right singular vectors, and the idf."""
-    vocabulary = list(number)
-    frequency, total = _frequencies(docs.select("text"), vocabulary)
+    size = len(number)
+    numbered = docs if "words" in docs.columns else _numbered(docs, number)
+    frequency, total = _frequencies(numbered, size)
     idf = np.log((total + 1) / (frequency + 1)) + 1e-3
-    table = _all_passages(docs, number, passages)
+    common = np.argsort(-frequency, kind="stable")[:COMMON]
+    table = _all_passages(numbered, number, passages)
     counts = {r["sought"]: r["count"] for r in table.groupBy("sought").count().collect()}
     weight = math.sqrt(max(1.0, counts.get(False, 0) / max(1, counts.get(True, 1))))
     wanted = min(MOST_RANK, max(RANK, len(passages) // PER_DIRECTION))
-    rank = min(wanted + EXTRA, len(vocabulary))
-    basis = np.linalg.qr(np.random.default_rng(17).standard_normal((len(vocabulary), rank)))[0]
+    rank = min(wanted + EXTRA, size)
+    basis = np.linalg.qr(np.random.default_rng(17).standard_normal((size, rank)))[0]
     for _ in range(steps):
-        basis = np.linalg.qr(_product(table, idf, weight, basis))[0]
-    values, vectors = np.linalg.eigh(basis.T @ _product(table, idf, weight, basis))
+        basis = np.linalg.qr(_summed(table, Rows(idf, weight, basis, common).back, basis.shape))[0]
+    values, vectors = np.linalg.eigh(_summed(table, Rows(idf, weight, basis, common).square, (rank, rank)))
     leading = basis @ vectors[:, np.argsort(values)[::-1][:wanted]]
     return leading * idf[:, None], idf
 
 
-def detectors(docs: DataFrame, benchmark: DataFrame) -> Iterator[Detector]:
-    """A detector for each block of the benchmark."""
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _detectors(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Detector, DataFrame]]:
+    """A detector for each block of the benchmark, and the documents in the numbers of its words."""
     for items in _blocks(benchmark):
         passages = passages_of(items)
         number = {w: k for k, w in enumerate(sorted({w for p in passages for w in chain(p.words, p.answer)}))}
         if passages:
-            yield Detector(passages, number, *latent_words(plain, passages, number))
+            numbered = _numbered(docs, number)
+            yield Detector(passages, number, *latent_words(numbered, passages, number)), numbered
+
+
+def detectors(docs: DataFrame, benchmark: DataFrame) -> Iterator[Detector]:
+    """A detector for each block of the benchmark."""
+    for detector, _ in _detectors(docs, benchmark):
+        yield detector
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it."""
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], FOUND)
-    for detector in detectors(docs, benchmark):
-        out = out.unionByName(plain.mapInArrow(_finder(detector), FOUND))
+    for detector, numbered in _detectors(docs, benchmark):
+        out = out.unionByName(numbered.mapInArrow(_finder(detector), FOUND))
     return out
 
 
@@ -442,7 +554,7 @@ def _finder(detector: Detector):
         for batch in batches:
             rows = [
                 (doc, *match)
-                for doc, matches in zip(batch.column(0).to_pylist(), detector.matches(batch.column(1).to_pylist()))
+                for doc, matches in zip(batch.column(0).to_pylist(), detector.matches_of_numbers(*_lists(batch.column(1))))
                 for match in matches
             ]
             columns = zip(*rows) if rows else [[] for _ in kinds]

@@ -346,3 +346,45 @@ def test_the_latent_space_learns_from_all_documents(spark):
     docs = spark.range(2100).selectExpr("id AS doc_id", "'one two' AS text")
     found = dc._all_passages(docs, {"one": 0, "two": 1}, [dc.Passage(1, ["one"], ["two"])])
     assert {r["sought"]: r["count"] for r in found.groupBy("sought").count().collect()} == {True: 1, False: 2100}
+
+
+def test_products_and_search_over_numbered_words():
+    import pyarrow as pa
+
+    from gaugework.llm import decontaminate as dc
+
+    rng, size = np.random.default_rng(4), 50
+    words = [rng.integers(0, size, n).tolist() for n in (5, 1, 40, 64, 0, 7)] * 300
+    sought = [k % 3 == 0 for k in range(len(words))]
+    idf, basis = rng.random(size) + 0.1, rng.standard_normal((size, 7))
+    a = np.zeros((len(words), size))
+    for k, row in enumerate(words):
+        a[k] = np.bincount(row, minlength=size) * idf
+        a[k] *= (1.5 if sought[k] else 1.0) / max(np.linalg.norm(a[k]), 1e-300)
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), pa.array(sought)], names=["words", "sought"])
+    for common in (0, 11, size):
+        rows = dc.Rows(idf, 1.5, basis, np.arange(common))
+        assert np.allclose(rows.back([batch.slice(0, 700), batch.slice(700)]), a.T @ a @ basis)
+        assert np.allclose(rows.square([batch]), basis.T @ a.T @ a @ basis)
+    vocabulary = [f"w{k}" for k in range(60)]
+    number = {w: k for k, w in enumerate(vocabulary[:size])}
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (0, 30, 300, 7, 90)] * 20
+    passages = [dc.Passage(k, texts[1].split()[4 * k : 4 * k + 12], ["w1"]) for k in range(4)]
+    passages = [dc.Passage(p.item, [w for w in p.words if w in number], p.answer) for p in passages]
+    detector = dc.Detector(passages, number, rng.standard_normal((size, 8)), idf)
+    flat, sizes = dc._numbers(texts, number)
+    found = list(detector.matches_of_numbers(flat, sizes))
+    assert found == list(detector.matches(texts)) and any(found)
+    dc.AT_ONCE, kept = 100, dc.AT_ONCE
+    try:
+        assert [[m[0] for m in t] for t in detector.matches_of_numbers(flat, sizes)] == [[m[0] for m in t] for t in found]
+    finally:
+        dc.AT_ONCE = kept
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(12)
+    ranges = [range(128), range(400), range(0x300, 0x3400), range(0xE00, 0xF00), [0x212A, 0x130, 0x4E00, 0x2028, 0x85, 0x20000]]
+    texts = ["".join(chr(rng.choice(rng.choice(ranges))) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for text in [*texts, "".join(map(chr, range(0x3100)))]:
+        assert decontaminate.words_of(text) == decontaminate.WORD.findall(text.lower())
