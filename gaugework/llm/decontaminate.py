@@ -217,7 +217,7 @@ class Detector:
             known = np.flatnonzero(norm > 1e-9)
             place = place[known]
             cosine = (window[known] / norm[known, None]) @ sought
-            i, p = np.nonzero(cosine >= HALVES[half])
+            i, p = np.divmod(np.flatnonzero(cosine >= HALVES[half]), len(passages))
             if len(i):
                 text = owner[place]
                 first = (place - starts[text]) * half

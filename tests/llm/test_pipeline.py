@@ -7,6 +7,7 @@ import unicodedata
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from brute import common, linked
 from gaugework.llm import decontaminate, rule_quality, toxicity
@@ -109,3 +110,20 @@ def test_stages_with_odd_rows(spark, tmp_path):
                 assert out.columns == given.columns
     given_ids = sorted(str(r["doc_id"]) for r in corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect())
     assert given_ids == sorted(str(r[0]) for r in rows)
+
+
+def test_stages_work_on_small_batches_and_leave_the_setting(spark, tmp_path, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def stage(session, docs, sf_dir):
+        seen.append(int(session.conf.get(name)))
+        if len(seen) == 2:
+            raise ValueError("stop")
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    spark.createDataFrame([(1, "a")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError, match="stop"):
+        corpus_pipeline.run(spark, str(tmp_path))
+    assert max(seen) <= 1000 and spark.conf.get(name) == before
