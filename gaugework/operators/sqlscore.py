@@ -66,7 +66,9 @@ def _cell(field: T.StructField) -> tuple[Column, Column]:
         return F.concat(F.lit('"'), text, F.lit('"')), none
     if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
         listed = F.to_json(F.array(c))
-        return F.substring(listed, F.lit(2), F.length(listed) - 2), none
+        escaped = F.substring(listed, F.lit(2), F.length(listed) - 2)
+        # Printable ASCII but quote and backslash stands for itself.
+        return F.when(c.rlike(r"^[ !#-\[\]-~]*+\z"), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(escaped), none
     return F.lit(None).cast("string"), c.isNotNull()
 
 
@@ -94,13 +96,14 @@ def result_set_comparison(
 
     ``rows``: keys, ``side, row_idx, row_key``.  Positional equality is multiset
     equality of (row_idx, row_key); folding positions away gives the unordered
-    form.  Copies and huge results combine before every shuffle.
+    form.  Places that agree say no more than that their result has rows, so they
+    go on without their row.  Copies and huge results combine before every shuffle.
     """
     sign = F.when(F.col("side") == left, 1).when(F.col("side") == right, -1)
     by_place = rows.groupBy(*keys, "row_idx", "row_key").agg(F.sum(sign).alias("_s"))
-    by_row = by_place.groupBy(*keys, "row_key").agg(
-        F.sum("_s").alias("_s"), F.bool_or(F.col("_s") != 0).alias("_moved")
-    )
+    moved = F.col("_s") != 0
+    open_rows = by_place.select(*keys, "_s", moved.alias("_moved"), F.when(moved, F.col("row_key")).alias("_row"))
+    by_row = open_rows.groupBy(*keys, "_moved", "_row").agg(F.sum("_s").alias("_s"))
     return by_row.groupBy(*keys).agg(
         F.bool_and(~F.col("_moved")).alias("ordered_equal"),
         F.bool_and(F.col("_s") == 0).alias("unordered_equal"),

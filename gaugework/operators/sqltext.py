@@ -50,18 +50,27 @@ _NOT_FUNCTIONS = (
     "then", "union", "using", "values", "varchar", "when", "where", "with", "within",
 )
 
-# A backslash escapes only in E'..' strings.
+# A backslash escapes only in E'..' strings; other letters pass without trying the four forms.
 _QUOTES = (
-    r"((?<![A-Za-z0-9_$])[eE]'(?:[^'\\]++|\\[\s\S]|'')*+'|'(?:[^']++|'')*+'"
+    r"(?=[eE'$\"])(?:((?<![A-Za-z0-9_$])[eE]'(?:[^'\\]++|\\[\s\S]|'')*+'|'(?:[^']++|'')*+'"
     r"|\$((?:[A-Za-z_][A-Za-z0-9_]*)?)\$[\s\S]*?\$\2\$)"
-    r'|("(?:[^"]++|"")*+")'
+    r'|("(?:[^"]++|"")*+"))'
 )
+_QUOTED_NAME = r'"(?:[^"]++|"")*+"'
 _NAME = r"[a-z_][a-z0-9_$]*"
 
 
+def _holds(text: Column, *parts: str) -> Column:
+    """Whether a text holds any of the parts: far cheaper than a pattern that needs one of them."""
+    found = F.contains(text, F.lit(parts[0]))
+    for part in parts[1:]:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
 def _without_literals(sql: Column) -> Column:
     """Text with strings replaced by '' and quoted names kept."""
-    return F.regexp_replace(sql, _QUOTES, "$3 ")
+    return F.when(_holds(sql, "'", '"', "$"), F.regexp_replace(sql, _QUOTES, "$3 ")).otherwise(sql)
 
 
 def _clean(bare: Column) -> Column:
@@ -71,9 +80,15 @@ def _clean(bare: Column) -> Column:
     becomes a marker.
     """
     plain = F.regexp_replace(bare, r'"([a-z_][a-z0-9_$]*)"', "$1")
-    marked = F.regexp_replace(plain, r'"(?:[^"]++|"")*+"', "_quoted_name_")
+    marked = F.when(_holds(bare, '"'), F.regexp_replace(plain, _QUOTED_NAME, "_quoted_name_")).otherwise(bare)
+    # Names take the place of names, so no comment begins that did not before.
     uncommented = F.regexp_replace(marked, r"--[^\n]*|/\*[\s\S]*?\*/", " ")
-    return F.lower(uncommented)
+    return F.lower(F.when(_holds(bare, "--", "/*"), uncommented).otherwise(marked))
+
+
+def _unquoted(bare: Column) -> Column:
+    """Text, given without literals, without its quoted names."""
+    return F.when(_holds(bare, '"'), F.regexp_replace(bare, _QUOTED_NAME, " ")).otherwise(bare)
 
 
 def _matches(text: Column, pattern: str, group: int = 1) -> Column:
@@ -81,8 +96,9 @@ def _matches(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 _ITEM = rf"{_NAME}(?:\s*\.\s*{_NAME})*"
+_BEFORE = r"^ *+(?:(?:lateral|only)\b\s*+)?+"
 _QUERY = r"(?:select|with|values|table)\b"
-_CLAUSE_END = r"\b(?:where|group|order|having|limit|offset|union|except|intersect|window|fetch|for|returning|from)\b"
+_CLAUSE_END = r"\b(?=[wgohlueifr])(?:where|group|order|having|limit|offset|union|except|intersect|window|fetch|for|returning|from)\b"
 # Nesting of parentheses that is looked into; deeper texts are refused.
 MAX_DEPTH = 16
 UNKNOWN_SOURCE = "?"
@@ -97,7 +113,8 @@ def _flat_parts(clean: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         text = state["left"]
-        plain = F.regexp_replace(text, r"\b(?:extract|substring|trim|overlay|position)\s*\([^()]*\)", " @ ")
+        plain = F.regexp_replace(text, r"\b(?=[estop])(?:extract|substring|trim|overlay|position)\s*\([^()]*\)", " @ ")
+        plain = F.when(_holds(text, "extract", "substring", "trim", "overlay", "position"), plain).otherwise(text)
         plain = F.regexp_replace(plain, rf"\b(from|join)\s*\((?!\s*{_QUERY})([^()]*)\)", "$1 $2 ")
 
         def taken(plain: Column) -> Column:
@@ -110,10 +127,12 @@ def _flat_parts(clean: Column) -> Column:
         once = F.element_at(F.transform(F.array(plain), taken), 1)
         return F.when(F.contains(text, F.lit("(")), once).otherwise(state)
 
-    start = F.regexp_replace(clean, r"\bis\s+(not\s+)?distinct\s+from\b", " = ")
+    unlike = F.regexp_replace(clean, r"\bis\s+(not\s+)?distinct\s+from\b", " = ")
+    start = F.when(_holds(clean, "distinct"), unlike).otherwise(clean)
     begin = F.struct(F.array().cast("array<string>").alias("parts"), start.alias("left"))
-    steps = F.sequence(F.lit(1), F.least(F.lit(MAX_DEPTH), F.length(F.regexp_replace(clean, r"[^(]", "")) + 1))
-    return F.aggregate(steps, begin, step)
+    opened = F.length(clean) - F.length(F.replace(clean, F.lit("("), F.lit("")))
+    steps = F.sequence(F.lit(1), F.least(F.lit(MAX_DEPTH), opened + 1))
+    return F.when(_holds(clean, "("), F.aggregate(steps, begin, step)).otherwise(begin)
 
 
 def table_names(clean: Column) -> Column:
@@ -129,41 +148,44 @@ def _names_in(flat: Column) -> Column:
     """``table_names`` of a text's ``_flat_parts``."""
 
     def of_part(part: Column) -> Column:
-        # Letters that begin no clause pass without a look ahead.
-        lists = _matches(part, rf"\bfrom\b((?:[^wgohlueifr]++|(?!{_CLAUSE_END})[\s\S])*+)")
-        sources = F.flatten(F.transform(lists, lambda text: F.split(text, r",|\bjoin\b")))
-        bare = F.transform(sources, lambda s: F.regexp_replace(F.trim(s), r"^(?:lateral|only)\b\s*", ""))
+        # A clause ends before a word, so only words are looked at.
+        lists = _matches(part, rf"\bfrom\b((?:\W++|(?!{_CLAUSE_END})\w++)*+)")
+        sources = F.flatten(F.transform(lists, lambda text: F.split(F.regexp_replace(text, r"\bjoin\b", ","), ",")))
         named = F.transform(
-            F.filter(bare, lambda s: ~s.rlike(r"^@q\b")),
+            F.filter(sources, lambda s: ~s.rlike(rf"{_BEFORE}@q\b")),
             lambda s: F.when(
-                s.rlike(rf"^{_NAME}"), F.regexp_replace(F.regexp_extract(s, rf"^({_ITEM})", 1), r"\s", "")
+                s.rlike(rf"{_BEFORE}{_NAME}"), F.regexp_replace(F.regexp_extract(s, rf"{_BEFORE}({_ITEM})", 1), r"\s", "")
             ).otherwise(UNKNOWN_SOURCE),
         )
         commands = F.transform(
             _matches(part, rf"\btable\s+(?:only\s+)?({_ITEM})"), lambda n: F.regexp_replace(n, r"\s", "")
         )
-        return F.concat(named, commands)
+        return F.when(_holds(part, "table"), F.concat(named, commands)).otherwise(named)
 
-    parts = F.concat(flat["parts"], F.array(flat["left"]))
-    deep = F.when(flat["left"].rlike(r"[()]"), F.array(F.lit(UNKNOWN_SOURCE)))
-    return F.concat(
-        F.flatten(F.transform(parts, of_part)), F.coalesce(deep, F.array().cast("array<string>"))
+    parts = F.filter(
+        F.concat(flat["parts"], F.array(flat["left"])), lambda part: part.isNull() | _holds(part, "from", "table")
     )
+    named = F.flatten(F.transform(parts, of_part))
+    return F.when(_holds(flat["left"], "(", ")"), F.concat(named, F.array(F.lit(UNKNOWN_SOURCE)))).otherwise(named)
 
 
 _CTE_HEAD = rf"(?:\bwith|\brecursive|,)\s+({_NAME})\s*(?:\([^()]*\)\s*)?as\s*(?:(?:not\s+)?materialized\s*)?\("
 
 
+def _may_name_ctes(clean: Column) -> Column:
+    return _holds(clean, "(") & clean.rlike(r"as\s*(?:(?:not\s+)?materialized\s*)?\(")
+
+
 def cte_names(clean: Column) -> Column:
-    return _matches(clean, _CTE_HEAD)
+    return F.when(clean.isNull() | _may_name_ctes(clean), _matches(clean, _CTE_HEAD)).otherwise(F.array().cast("array<string>"))
 
 
 def function_names(clean: Column) -> Column:
     """Names before a parenthesis; the column list of a common table expression is no call."""
-    without_heads = F.regexp_replace(clean, _CTE_HEAD, " (")
-    return F.array_except(
-        _matches(without_heads, rf"\b({_NAME}+)\s*+\("), F.array(*[F.lit(w) for w in _NOT_FUNCTIONS])
-    )
+    without_heads = F.when(_may_name_ctes(clean), F.regexp_replace(clean, _CTE_HEAD, " (")).otherwise(clean)
+    before = _matches(without_heads, rf"\b({_NAME}+)\s*+\(")
+    called = F.array_distinct(F.filter(before, lambda name: ~name.isin(*_NOT_FUNCTIONS)))
+    return F.when(clean.isNull() | _holds(clean, "("), called).otherwise(F.array().cast("array<string>"))
 
 
 def _words(values: Sequence[str]) -> Column:
@@ -188,36 +210,42 @@ def sql_text_audit(
         *own_columns, F.coalesce(recorded, F.lit(True)).alias("_recorded"),
         F.inline(F.array(F.struct(_without_literals(F.col("sql")).alias("_bare")))),
     )
+    bare = F.col("_bare")
+    # Quoted names are names, whatever word they spell.
     texts = bared.select(
-        *own_columns, "_recorded", "_bare", F.inline(F.array(F.struct(_clean(F.col("_bare")).alias("_clean")))),
+        *own_columns, "_recorded",
+        F.inline(F.array(F.struct(_clean(bare).alias("_clean"), F.lower(_unquoted(bare)).alias("_unquoted")))),
     )
-    clean = F.col("_clean")
-    own = cte_names(clean)
-    # Quoted names are names, whatever word they spell.
-    unquoted = F.lower(F.regexp_replace("_bare", r'"(?:[^"]++|"")*+"', " "))
-    facts = texts.select(
-        *own_columns,
-        "_recorded",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.size(F.filter(F.split(clean, ";"), lambda s: s.rlike(r"\S"))).alias("_statements"),
-                    F.regexp_extract(clean, rf"^[\s(]*({_NAME})", 1).alias("_first"),
-                    F.regexp_replace(F.col("_bare"), r'"(?:[^"]++|"")*+"', " ").rlike(r"--|/\*").alias("_comment"),
-                    (
-                        F.arrays_overlap(_matches(unquoted, rf"\b({_NAME})\b"), _words(PROHIBITED_WORDS))
-                        | clean.rlike(LOCKING)
-                    ).alias("_operation"),
-                    own.alias("_own"),
-                    F.transform(table_names(clean), lambda n: F.split(n, r"\.")).alias("_tables"),
-                    function_names(clean).alias("_called"),
-                )
-            )
-        ),
+    clean, unquoted = F.col("_clean"), F.col("_unquoted")
+    initials = "".join(sorted({word[0] for word in PROHIBITED_WORDS}))
+    spelled = rf"\b(?=[{initials}])(?:{'|'.join(PROHIBITED_WORDS)})\b"
+    # The first failing rule is the reason, so that later rules scan only texts that passed the ones before.
+    early = (
+        F.when(F.octet_length("sql") > max_bytes, "sql_too_large")
+        .when(~F.col("_recorded") | ~clean.rlike(r"[^\s;]"), "invalid_sql")
+        .when(_holds(clean, ";") & clean.rlike(r"[^\s;][^;]*+;[\s;]*+[^\s;]"), "multiple_statements")
+        .when(_holds(unquoted, "--", "/*"), "comments_not_allowed")
+        .when(~F.regexp_extract(clean, rf"^[\s(]*({_NAME})", 1).isin("select", "with"), "non_query_statement")
+        .when(
+            # A name may hold such a word next to a dollar sign.
+            unquoted.rlike(spelled)
+            & F.arrays_overlap(_matches(unquoted, rf"\b({_NAME})\b"), _words(PROHIBITED_WORDS))
+            | _holds(clean, "for") & clean.rlike(LOCKING),
+            "prohibited_operation",
+        )
     )
-    kept = F.filter("_tables", lambda p: (F.size(p) > 1) | ~F.array_contains("_own", F.element_at(p, 1)))
+    begun = texts.select(*own_columns, "_clean", F.inline(F.array(F.struct(early.alias("_early")))))
+
+    def not_own(names: Column) -> Column:
+        return F.filter(
+            names["sources"], lambda p: (F.size(p) > 1) | ~F.array_contains(names["own"], F.element_at(p, 1))
+        )
+
+    sources = F.transform(table_names(clean), lambda n: F.split(n, r"\."))
+    named = F.array(F.struct(cte_names(clean).alias("own"), sources.alias("sources")))
+    passed = F.when(F.col("_early").isNull(), F.element_at(F.transform(named, not_own), 1))
+    facts = begun.select(*own_columns, "_clean", "_early", F.inline(F.array(F.struct(passed.alias("_foreign")))))
     foreign = F.col("_foreign")
-    facts = facts.select("*", F.inline(F.array(F.struct(kept.alias("_foreign")))))
     system = F.exists(
         foreign,
         lambda p: (F.size(p) > 1)
@@ -230,14 +258,9 @@ def sql_text_audit(
         | ~F.element_at(p, -1).isin(*tables),
     )
     prefixed = "^(?:" + "|".join(PROHIBITED_PREFIXES) + ")"
-    refused = F.exists("_called", lambda f: f.isin(*denied) | f.rlike(prefixed) | ~f.isin(*functions))
+    refused = F.exists(function_names(clean), lambda f: f.isin(*denied) | f.rlike(prefixed) | ~f.isin(*functions))
     reason = (
-        F.when(F.octet_length("sql") > max_bytes, "sql_too_large")
-        .when(~F.col("_recorded") | (F.col("_statements") == 0), "invalid_sql")
-        .when(F.col("_statements") > 1, "multiple_statements")
-        .when(F.col("_comment"), "comments_not_allowed")
-        .when(~F.col("_first").isin("select", "with"), "non_query_statement")
-        .when(F.col("_operation"), "prohibited_operation")
+        F.when(F.col("_early").isNotNull(), F.col("_early"))
         .when(system, "system_schema")
         .when(unknown, "table_not_allowed")
         .when(refused, "prohibited_function")

@@ -267,3 +267,43 @@ def test_nested_parts_are_taken_once(spark):
     assert [sorted(r[0]) for r in df.select(plan).collect()] == [["?", "t1"], [], ["?"], ["s.t"]]
     text = df.select(plan.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("aggregate(") == 1
+
+
+def test_texts_that_fail_an_early_rule_are_not_scanned_for_sources(spark):
+    texts = [
+        (";; ; ", "invalid_sql"), (" SELECT 1;\n ;", "allowed"), ("SELECT 1 ;\n; x", "multiple_statements"),
+        ("SELECT 1 /* x", "comments_not_allowed"), ("UPDATE accounts SET a = 1", "non_query_statement"),
+        ("SELECT a INTO accounts FROM b", "prohibited_operation"), ("SELECT drop$x FROM accounts", "table_not_allowed"),
+        ("SELECT relname FROM pg_catalog.pg_class", "system_schema"), ("SELECT distinctly(1) FROM projects", "prohibited_function"),
+        ("SELECT 1 FROM only projects JOIN lateral (SELECT 1) q ON true", "allowed"), (None, "allowed"),
+    ]
+    df = spark.createDataFrame(texts, "sql STRING, expected STRING")
+    audited = sqltext.sql_text_audit(df)
+    assert [(r.sql, r.reason_code) for r in audited.collect()] == texts
+    plan = audited._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(_early" in plan
+
+
+def test_strings_in_row_keys_are_as_json_writes_them(spark):
+    texts = ["", "R", "a b~!", 'say "x"', "back\\slash", "tab\t", "end\n", "é", " ", "\x7f", None]
+    keyed = sqlscore.row_key(spark.createDataFrame([(t,) for t in texts], "t STRING"), ["t"])
+    pairs = keyed.select("row_key", F.to_json(F.array("t"))).collect()
+    assert [r[0] for r in pairs] == [r[1] for r in pairs]
+    assert "RLIKE" in keyed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_that_agree_leave_their_row_behind(spark):
+    data = [
+        ("same", side, i, "long row") for side in ("expected", "actual") for i in range(3)
+    ] + [
+        ("moved", "expected", 0, "a"), ("moved", "expected", 1, "b"), ("moved", "actual", 0, "b"), ("moved", "actual", 1, "a"),
+        ("other", "expected", 0, "a"), ("other", "actual", 0, "b"), ("copies", "expected", 0, "a"), ("copies", "expected", 0, "a"),
+        ("copies", "actual", 0, "a"), (None, "expected", 0, None), (None, "actual", 0, None),
+    ]
+    df = spark.createDataFrame(data, "case_id STRING, side STRING, row_idx INT, row_key STRING")
+    compared = sqlscore.result_set_comparison(df, ["case_id"])
+    assert {r.case_id: (r.ordered_equal, r.unordered_equal) for r in compared.collect()} == {
+        None: (True, True), "same": (True, True), "moved": (False, True), "other": (False, False), "copies": (False, False)
+    }
+    plan = compared._jdf.queryExecution().optimizedPlan().toString()
+    assert "THEN row_key" in plan
