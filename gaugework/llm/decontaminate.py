@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.shared import written
+from gaugework.llm.shared import kept_by_worker, written
 
 # Blocks of scripts without blanks between words.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -348,10 +348,16 @@ def _numbers(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarra
     return np.array(flat, np.int32), np.array(sizes, np.int64)
 
 
+def _begin(step: str) -> None:
+    """A worker that comes from other operators or steps drops and gives back what it has of them."""
+    kept_by_worker(("decontaminate", step), lambda: None)
+
+
 def _numbered(docs: DataFrame, number: dict[str, int]) -> DataFrame:
     """Ids of documents and numbers of all their words, so that texts are cut into words once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin("numbers")
         for batch in batches:
             flat, sizes = _numbers(batch.column(1).to_pylist(), number)
             ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
@@ -378,6 +384,7 @@ def _frequencies(numbered: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Number of documents with each word, and of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin("frequencies")
         docs, held = 0, np.zeros(size + 1, np.int64)
         for batch in batches:
             docs += batch.num_rows
@@ -416,7 +423,11 @@ def _all_passages(docs: DataFrame, number: dict[str, int], passages: list[Passag
             yield pa.RecordBatch.from_arrays([words, pa.array(np.zeros(len(held), bool))], names=["words", "sought"])
 
     numbered = docs if "words" in docs.columns else _numbered(docs, number)
-    rows = [([number[w] for w in p.words], True) for p in passages]
+    # As an Arrow table, which needs no Python workers of its own kind beside those of the other steps.
+    rows = pa.table({
+        "words": pa.array([[number[w] for w in p.words] for p in passages], pa.list_(pa.int32())),
+        "sought": pa.array([True] * len(passages), pa.bool_()),
+    })
     own = docs.sparkSession.createDataFrame(rows, "words array<int>, sought boolean")
     return written(numbered.select("words").mapInArrow(cut, "words array<int>, sought boolean").union(own), "passages")
 
@@ -487,6 +498,7 @@ def _summed(passages: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.n
     """The sum of what each task makes of its passages."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin("products")
         yield pa.RecordBatch.from_arrays(
             [pa.array([0], pa.int32()), pa.array([work(batches).tobytes()], pa.binary())], names=["part", "total"]
         )
@@ -549,6 +561,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _finder(detector: Detector):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin("search")
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         names = [c.split(" ")[0] for c in FOUND.split(", ")]
         for batch in batches:
@@ -568,6 +581,7 @@ def contaminated(text: Column, detector: Detector) -> Column:
 
     @F.pandas_udf("boolean")
     def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _begin("search")
         for batch in batches:
             yield pd.Series([bool(m) for m in detector.matches(batch.tolist())], dtype=bool)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +30,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system, which else stays with it from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def kept_by_worker(key: tuple, make: Callable):
     """A value built once per Python worker; workers outlive their tasks.
 
-    A worker holds values of one operator at a time, which ``key`` names first, and four of them at most.
+    A worker holds values of one operator at a time, which ``key`` names first, and four of them at most.  What it
+    freed before goes back to the system.
     """
     name = "_gaugework_worker_values"
     holder = sys.modules.get(name)
@@ -41,6 +54,7 @@ def kept_by_worker(key: tuple, make: Callable):
         others = [k for k in holder.values if k[0] != key[0]]
         for old in others or list(holder.values)[:-3]:
             del holder.values[old]
+        give_back()
         holder.values[key] = make()
     return holder.values[key]
 

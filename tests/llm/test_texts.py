@@ -1,6 +1,7 @@
 """Licence rules, quality, toxicity and decontamination, with their edge cases."""
 
 import random
+import uuid
 import zlib
 
 import duckdb
@@ -388,3 +389,26 @@ def test_words_are_those_of_the_pattern():
     texts = ["".join(chr(rng.choice(rng.choice(ranges))) for _ in range(rng.randrange(30))) for _ in range(3000)]
     for text in [*texts, "".join(map(chr, range(0x3100)))]:
         assert decontaminate.words_of(text) == decontaminate.WORD.findall(text.lower())
+
+
+def test_workers_give_back_what_they_freed_before_another_operator():
+    def held() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    pieces = [bytes(2000) for _ in range(100_000)]
+    last = bytes(2000)  # stays above the others, so that freeing them does not shrink the heap
+    del pieces
+    before = held()
+    assert shared.kept_by_worker(("test", uuid.uuid4().hex), lambda: 7) == 7
+    assert len(last) == 2000 and held() < before - 100_000_000
+
+
+def test_passages_of_the_benchmark_need_no_other_kind_of_workers(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "written", lambda df, label: df)
+    docs = spark.createDataFrame([(1, [0, 1, 2, 0])], "doc_id bigint, words array<int>")
+    docs = docs.where(F.col("doc_id") > 1)
+    table = decontaminate._all_passages(docs, {"a": 0, "b": 1}, [decontaminate.Passage(5, ["a", "b", "a"], []), decontaminate.Passage(6, [], [])])
+    plans = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plans.count("LogicalRDD") == 1  # the documents
+    assert sorted((r["words"], r["sought"]) for r in table.collect()) == [([], True), ([0, 1, 0], True)]
