@@ -16,6 +16,7 @@ from gaugework.operators.scoring import score
 from gaugework.operators.sqlscore import row_key
 from gaugework.session import spread_heavy, spread_small
 
+AUDIT_BYTES = 256 << 10  # of stored orders whose SQL texts are audited in one task
 FLAGSHIP = ("exact_match", "refusal", "latency")
 GATE_ROWS = """
   ('release', 0, 'quality.exact_match', CAST(NULL AS STRING), 'higher_is_better', 0.70D, 0.05D),
@@ -194,7 +195,9 @@ class Views:
         kind, idx = F.col("l_orderkey") % 5, F.col("l_linenumber")
         changed = F.when((kind == 2) & (idx == 1), 1).otherwise(0)
         moved = F.when((kind == 1) & (idx <= 2), 3 - idx).otherwise(idx)
-        sides = self.spread("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").select(
+        # Rows are many to a stored byte, so that read tasks of a fixed size would take long; only copies share a hash.
+        columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"]
+        sides = spread_heavy(self.table("lineitem").select(*columns), by=columns).select(
             "l_orderkey",
             "l_quantity",
             "l_returnflag",
@@ -255,7 +258,7 @@ class Views:
     def sql_executions(self) -> DataFrame:
         """One or two SQL texts per query answer, from twelve statement shapes."""
         key, cust, idx = F.col("_key"), F.col("_cust"), F.col("execution_idx")
-        queries = spread_heavy(self.sql_outputs.filter(F.col("kind") == "query")).withColumn(
+        queries = spread_heavy(self.sql_outputs.filter(F.col("kind") == "query"), AUDIT_BYTES).withColumn(
             "execution_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), key % 2))
         )
         shape = F.when(cust % 3 == 0, (cust + idx) % 12).otherwise(key % 3)

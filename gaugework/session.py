@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,9 +116,9 @@ def spread_tasks(df: DataFrame, task_bytes: int = 32 << 20) -> int:
     return max(cores, -(-size // task_bytes)) if size is not None else 32 * cores
 
 
-def spread_heavy(df: DataFrame, task_bytes: int = 2 << 20) -> DataFrame:
-    """Spread narrow rows that cost much work each."""
-    return df.repartition(spread_tasks(df, task_bytes))
+def spread_heavy(df: DataFrame, task_bytes: int = 2 << 20, by: Sequence[str] = ()) -> DataFrame:
+    """Spread narrow rows that cost much work each: evenly, or by hashes of columns that few rows share."""
+    return df.repartition(spread_tasks(df, task_bytes), *by)
 
 
 def join_small(

@@ -260,6 +260,27 @@ def test_executions_are_spread_however_many_fit_one_read_task(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_rows_of_results_and_audited_texts_are_spread_in_small_tasks(spark, tmp_path, monkeypatch):
+    import re
+
+    from gaugework.plans import views
+
+    lines = "id % 40 AS l_orderkey, id AS l_linenumber, id AS l_partkey, 1D AS l_quantity, 'A' AS l_returnflag"
+    spark.range(600_000).selectExpr(*lines.split(", ")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(views, "AUDIT_BYTES", 100)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100kb")
+    try:
+        own = views.Views(spark, str(tmp_path))
+        plan = own.result_rows._jdf.queryExecution().executedPlan().toString()
+        # A hash over all columns: the 40 orders are no hot keys.
+        assert re.search(r"hashpartitioning\(l_orderkey#\d+L, l_linenumber#\d+L, l_partkey#\d+L, l_quantity#\d+, l_returnflag#\d+, \d+\)", plan)
+        plan = own.sql_executions._jdf.queryExecution().executedPlan().toString()
+        assert int(re.search(r"RoundRobinPartitioning\((\d+)\)", plan)[1]) > 40
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_nested_parts_are_taken_once(spark):
     texts = ["select f (a) from (select x from t1, (t2 join t3 on (1=1))) where g( 1 ) is not distinct from h(2)", "select 1", "select (1", "table only s . t"]
     plan = sqltext.table_names(F.col("sql"))
