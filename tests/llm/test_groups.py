@@ -192,6 +192,32 @@ def test_neighbours_are_exact_past_the_walk(spark, tmp_path, kind, monkeypatch):
     assert got == nearest_by_search(np.arange(50_000), matrix, asked)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_need_no_table_of_candidates(spark, kind, monkeypatch):
+    plans, write = [], multi_index.written
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(multi_index, "written", seen)
+    monkeypatch.setattr(multi_index, "VISITS", 60, raising=False)
+    rng = np.random.default_rng(12)
+    matrix = rng.standard_normal((3000, 16))
+    matrix[2900:] = matrix[0] + 1e-4 * rng.standard_normal((100, 16))  # scores differ by less than single precision tells
+    if kind == "float":
+        matrix = matrix.astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], f"vec_id bigint, embedding array<{kind}>")
+    asked = [*range(0, 3000, 60), 2990]
+    got = {}
+    rows = multi_index.nearest(table, table.where("vec_id % 60 = 0 OR vec_id = 2990"), wanted=100).collect()
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == nearest_by_search(np.arange(3000), matrix, asked)
+    assert not [p for p in plans if "Join" in p]
+    assert len(plans) > 8  # several blocks
+
+
 def test_neighbours_of_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(k, [1.0, 0.0, 2.0]) for k in range(20, 0, -1)] + [
